@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidebar.llm.common import table
 from tidebar.llm import substring_dedup as op1
+from tidebar.llm import suffix_dedup as op3
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -36,3 +37,8 @@ SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(len(w.ws) - coalesce
        sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    return op3.digest(op3.suffix_dedup(table(spark, sf_dir, "documents")))
