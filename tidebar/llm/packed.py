@@ -83,7 +83,7 @@ def _unwire(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _slices(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+def slices(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) for the buckets that have keys; a bucket is the key's highest bits."""
     if not bits:
         if len(key):
@@ -98,7 +98,7 @@ def _slices(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 def _messages(block: int, elements: Elements, bits: int, width: int) -> pa.Table:
     rows = {"bucket": [], "block": [], "keys": [], "extra": []}
-    for bucket, s, e in _slices(elements.key, bits):
+    for bucket, s, e in slices(elements.key, bits):
         rows["bucket"].append(bucket)
         rows["block"].append(block)
         rows["keys"].append(_wire(elements.key[s:e], width))

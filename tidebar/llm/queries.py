@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidebar.llm.common import table
 from tidebar.llm import substring_dedup as op1
+from tidebar.llm import ngram_jaccard as op8
 from tidebar.llm import suffix_dedup as op3
 
 QUERIES = {}
@@ -42,3 +43,26 @@ FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 @query
 def op3_suffix_dedup(spark, sf_dir):
     return op3.digest(op3.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_ngram_jaccard(spark, sf_dir):
+    return op8.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: Pairs are found through any shared shingle, and paths through links by repeated steps to the smallest id.
+ORACLE_SQL["op8_ngram_jaccard"] = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+    UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id
+"""
