@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidebar.llm.common import table
-from tidebar.llm import substring_dedup as op1
+from tidebar.llm import decontaminate as op4
+from tidebar.llm import mixing as op6
 from tidebar.llm import ngram_jaccard as op8
+from tidebar.llm import sharding as op10
+from tidebar.llm import substring_dedup as op1
 from tidebar.llm import suffix_dedup as op3
+from tidebar.llm.common import table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -66,3 +69,58 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reac
 SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id
 """
+
+
+@query
+def op10_sharding(spark, sf_dir):
+    return op10.shard(table(spark, sf_dir, "documents"), 40)
+
+
+@query
+def op6_mixing(spark, sf_dir):
+    return op6.mix_plan(table(spark, sf_dir, "documents")).select(*op6.OUT)
+
+
+ORACLE_SQL["op6_mixing"] = f"""
+WITH d AS (SELECT doc_id, source, CAST(len({SQL_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS w, 2.0::DOUBLE * source_size AS most FROM s),
+r AS (SELECT *, most / w AS ratio FROM w),
+l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE)
+                 - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r),
+t AS (SELECT source, source_size, most, w, (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio) AS level FROM l),
+a AS (SELECT source, source_size, coalesce(least(most, level * w), most) AS target FROM t),
+k AS (SELECT d.doc_id, d.size, a.source_size, a.target,
+             CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS each,
+             CAST(row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS DOUBLE) AS rank
+      FROM d JOIN a ON d.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (floor(each * (rank + 1) + {op6.offset(17)!r}::DOUBLE) - floor(each * rank + {op6.offset(17)!r}::DOUBLE)) AS BIGINT) AS taken
+FROM k
+"""
+
+
+@query
+def op4_decontaminate(spark, sf_dir):
+    return op4.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+_LOWER = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES = "CASE WHEN len({0}) >= 5 THEN list_transform(range(1, len({0}) - 3), lambda i: array_to_string({0}[i:i + 4], ' ')) ELSE [array_to_string({0}, ' ')] END"
+ORACLE_SQL["op4_decontaminate"] = f"""
+WITH i AS (SELECT item_id, ws, len(ws) AS n FROM (SELECT item_id, {_LOWER} AS ws FROM benchmark) WHERE len(ws) > 0),
+ish AS (SELECT item_id, n, unnest(sh) AS s, unnest(range(0, len(sh))) AS off FROM (SELECT item_id, n, {_SHINGLES.format('ws')} AS sh FROM i)),
+d AS (SELECT doc_id, ws FROM (SELECT doc_id, {_LOWER} AS ws FROM documents) WHERE len(ws) > 0),
+dsh AS (SELECT doc_id, unnest(sh) AS s, unnest(range(0, len(sh))) AS pos FROM (SELECT doc_id, {_SHINGLES.format('ws')} AS sh FROM d)),
+spot AS (SELECT DISTINCT doc_id, greatest(pos - off, 0) AS start, n FROM dsh JOIN (SELECT DISTINCT n, s, off FROM ish) m USING (s)),
+win AS (SELECT doc_id, start, n, ws[start + 1:start + n] AS ww FROM spot JOIN d USING (doc_id)),
+wsh AS (SELECT doc_id, start, n, len(ww) AS lw, {_SHINGLES.format('ww')} AS sh FROM win),
+wc AS (SELECT doc_id, start, n, lw, s, count(*) AS c, any_value(total) AS total FROM (SELECT doc_id, start, n, lw, unnest(sh) AS s, len(sh) AS total FROM wsh) GROUP BY ALL),
+ic AS (SELECT item_id, n, s, count(*) AS c, any_value(total) AS total FROM (SELECT *, count(*) OVER (PARTITION BY item_id) AS total FROM ish) GROUP BY item_id, n, s),
+j AS (SELECT doc_id, item_id, start, lw, CAST(sum(least(wc.c, ic.c)) AS DOUBLE) AS inter, any_value(wc.total) AS tw, any_value(ic.total) AS ti FROM wc JOIN ic USING (n, s) GROUP BY doc_id, item_id, start, lw),
+k AS (SELECT *, inter / (tw + ti - inter) AS similarity FROM j)
+SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(lw AS BIGINT) AS n_words, similarity
+FROM k WHERE similarity >= 0.75
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+"""
