@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tidebar.llm import chat as op2
 from tidebar.llm import decontaminate as op4
 from tidebar.llm import mixing as op6
 from tidebar.llm import ngram_jaccard as op8
 from tidebar.llm import sharding as op10
 from tidebar.llm import substring_dedup as op1
 from tidebar.llm import suffix_dedup as op3
+from tidebar.llm import token_counts as op7
 from tidebar.llm.common import table
 
 QUERIES = {}
@@ -124,3 +128,31 @@ SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(lw AS BIGINT)
 FROM k WHERE similarity >= 0.75
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return op7.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_chat_format(spark, sf_dir):
+    """Each row is logged as one message event; conversation -7 has control strings in its texts."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
+    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    return op2.digest(op2.format_chat(events))
+
+
+ORACLE_SQL["op2_chat_format"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '\0'), '</s>', '\1'), '[INST]', '\2'), '[/INST]', '\3'), '<<SYS>>', '\4'), '<</SYS>>', '\5') AS safe FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(safe) + 22) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
