@@ -8,6 +8,7 @@ from tidebar.llm import chat as op2
 from tidebar.llm import decontaminate as op4
 from tidebar.llm import mixing as op6
 from tidebar.llm import ngram_jaccard as op8
+from tidebar.llm import quality_rules as op5
 from tidebar.llm import sharding as op10
 from tidebar.llm import substring_dedup as op1
 from tidebar.llm import suffix_dedup as op3
@@ -156,3 +157,10 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(length(role) + length(safe) + 22) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+
+@query
+def op5_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rules = op5.fit(docs, table(spark, sf_dir, "labels"))
+    return op5.judged(docs, rules).select("doc_id", *op5.BASE, "base_failed", "kept")
