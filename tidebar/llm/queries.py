@@ -8,6 +8,7 @@ from tidebar.llm import chat as op2
 from tidebar.llm import decontaminate as op4
 from tidebar.llm import mixing as op6
 from tidebar.llm import ngram_jaccard as op8
+from tidebar.llm import quality_model as op9
 from tidebar.llm import quality_rules as op5
 from tidebar.llm import sharding as op10
 from tidebar.llm import substring_dedup as op1
@@ -164,3 +165,11 @@ def op5_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rules = op5.fit(docs, table(spark, sf_dir, "labels"))
     return op5.judged(docs, rules).select("doc_id", *op5.BASE, "base_failed", "kept")
+
+
+@query
+def op9_quality_model(spark, sf_dir):
+    """Grade 2: good and clean; 1: one of low quality and toxic; 0: both. Grade 2 is selected."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = op9.fit(docs, labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade")))
+    return op9.score(docs, model, 2)
