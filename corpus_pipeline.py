@@ -2,9 +2,54 @@
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidebar.llm import decontaminate, mixing, ngram_jaccard, quality_rules, sharding
+from tidebar.llm.common import shared_folder, table
+
+SHARDS = 40
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    keep = tuple(c for c in docs.columns if c != "doc_id")
+    return quality_rules.judged(docs, rules, keep=keep).where("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return ngram_jaccard.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their targets: documents appear as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each row of the mix."""
+    return sharding.shard(docs, SHARDS).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+STAGES = [("quality_rules", quality), ("ngram_jaccard", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
+
+#: A learned decision list is no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what a stage returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

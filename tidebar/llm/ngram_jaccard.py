@@ -24,7 +24,7 @@ from tidebar.llm.packed import Elements
 #: Shingles to a cell in the largest document of a band; more make fewer keys, but leave less to the pigeonhole.
 LOAD = 2.5
 _CELL = U64(0xA0761D6478BD642F)
-FACTS = "doc_id long, n_shingles long, node long, text string, bucket int, keys binary, nodes binary"
+FACTS = "doc_id long, text_hash long, n_shingles long, node long, text string, bucket int, keys binary, nodes binary"
 
 
 def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,20 +149,17 @@ def _meetings(rows: pa.Table) -> pa.Table:
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs (a, b) with linked (boolean): the exact test on the shingle sets. texts: (node, text)."""
 
+    def members(text: str) -> np.ndarray:
+        return shingles([text], size)[1]
+
     def test(batches):
+        known = (None, None)  # a join by a brings a's pairs one after another
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            sets: dict[tuple[str, int], np.ndarray] = {}
             out = []
-            for a, b, x, y in zip(*(t[c].to_pylist() for c in ("a", "b", "ta", "tb"))):
-                for node, text in ((a, x), (b, y)):
-                    if node not in sets:
-                        if len(sets) > 256:
-                            sets.clear()
-                        sets[node] = shingles([text], size)[1]
-                    if a not in sets:
-                        sets[a] = shingles([x], size)[1]
-                p, q = sets[a], sets[b]
+            for a, x, y in zip(batch["a"].to_pylist(), batch["ta"], batch["tb"]):
+                if a != known[0]:
+                    known = a, members(x.as_py())
+                p, q = known[1], members(y.as_py())
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 out.append(100 * both >= percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(out, pa.bool_())], ["a", "b", "linked"])
@@ -172,14 +169,8 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long, linked boolean")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, block_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach) of each row of docs.
-
-    Words are lower-cased in A-Z only; a text of fewer than ``size`` words is one shingle; null and empty texts have none
-    and link with nothing. Rows link if percent or more of their shingles' union is shared. A row with a null id takes
-    part, but never names a component unless all of its rows have null ids. Rows that repeat an id are judged each on its
-    own and may name different components. Other columns are ignored; an empty table gives no rows.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block_bytes: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles and class (rows that links join have the same) of each row of docs."""
     layout = packed.deal(docs, id_col, text_col, block_bytes, 0.11)
     bits = layout.bits
 
@@ -206,6 +197,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.table(
             [
                 pa.array(block.doc_id + empty, pa.int64()),
+                pa.array(rows["text_hash"].to_pylist() + empty, pa.int64()),
                 pa.array(block.n.tolist() + empty, pa.int64()),
                 pa.array(block.node.tolist() + empty, pa.int64()),
                 pa.array([t if w else None for t, w in zip(block.texts, wanted & shown)] + empty, pa.string()),
@@ -213,12 +205,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 pa.array([None] * n + [key[s:e].tobytes() for _, s, e in parts], pa.binary()),
                 pa.array([None] * n + [node[s:e].tobytes() for _, s, e in parts], pa.binary()),
             ],
-            ["doc_id", "n_shingles", "node", "text", "bucket", "keys", "nodes"],
+            ["doc_id", "text_hash", "n_shingles", "node", "text", "bucket", "keys", "nodes"],
         )
 
     again = packed.ask(layout, 1, cells, ["u1"], _recurs, width=6)
     known = durable(packed.conclude(layout, again, facts, FACTS))
-    rows = known.where("bucket is null").select("doc_id", "n_shingles", "node")
+    rows = known.where("bucket is null").select("doc_id", "text_hash", "n_shingles", "node")
     texts = known.where("text is not null").groupBy("node").agg(F.first("text").alias("text"))
     lists = known.where("bucket is not null").repartition(layout.partitions, "bucket").groupBy("bucket").applyInArrow(_meetings, "nodes binary").distinct()
 
@@ -241,7 +233,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
     more = verify(cross, texts, size, percent).where("linked").select("a", "b")
     root = components(links.unionByName(more))
-    named = rows.join(root, "node", "left").withColumn("class", F.coalesce("root", "node"))
+    return rows.join(root, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("class"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, block_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id that links reach) of each row of docs.
+
+    Words are lower-cased in A-Z only; a text of fewer than ``size`` words is one shingle; null and empty texts have none
+    and link with nothing. Rows link if percent or more of their shingles' union is shared. A row with a null id takes
+    part, but never names a component unless all of its rows have null ids. Rows that repeat an id are judged each on its
+    own and may name different components. Other columns are ignored; an empty table gives no rows.
+    """
+    named = _classes(docs, id_col, text_col, size, percent, block_bytes)
     # Documents of equal sets are linked; texts without shingles stand alone.
     least = named.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "class", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs, all columns, with one row of each component: that of the smallest id (null last; then by the text's hash).
+
+    Rows without shingles stay. Rows that repeat both id and text count as one, whichever it is.
+    """
+    named = _classes(docs, id_col, text_col, size, percent, block_bytes)
+    first = named.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m"))
+    stay = first.select(F.col("m.doc_id").alias("_d"), F.col("m.text_hash").alias("_t")).unionByName(named.where("n_shingles = 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct())
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_d2"), F.xxhash64(text_col).alias("_t2"))
+    found = keyed.join(stay, F.col("_d2").eqNullSafe(F.col("_d")) & (F.col("_t2") == F.col("_t")), "left_semi")
+    return found.groupBy("_d2", "_t2").agg(F.first("_row").alias("_row")).select("_row.*")

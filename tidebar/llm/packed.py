@@ -35,8 +35,8 @@ class Layout:
 
 
 def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, keys_per_byte: float, bucket_keys: int = 1 << 19) -> Layout:
-    """(block, doc_id, text) of every row, dealt by a hash of id and text, so that a hot source or a group of copies spreads."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(block, doc_id, text_hash, text) of every row, dealt by a hash of id and text, so that a hot source or a group of copies spreads."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).first()
     total = size["b"] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -44,7 +44,7 @@ def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, keys_per
     # Not fewer than Spark's own number, or Spark would deal the texts anew to join them with replies.
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 << 20)))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
-    return Layout(docs.select(block, "doc_id", "text").repartition(partitions, "block"), size["n"], bits, partitions)
+    return Layout(docs.select(block, "doc_id", "text_hash", "text").repartition(partitions, "block"), size["n"], bits, partitions)
 
 
 @dataclass
