@@ -24,8 +24,10 @@ from tidebar.llm.packed import Elements
 
 Q = 64
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-#: Documents are worked on in slices of at most so many bytes.
-SLICE = 1 << 20
+#: Documents are worked on in slices of so many bytes, whose identifiers fit a core's cache.
+SLICE = 1 << 16
+#: Blocks of up to so many bytes keep the identifiers of their slices; larger ones (of very long texts) make them anew.
+KEEP = 8 << 20
 UNIQUE, REPEATED, OPEN, MODEL = 0, 1, 2, 3
 _A, _B = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 
@@ -120,7 +122,7 @@ class _Block:
         self.n = np.array([len(x) for x in self.texts], np.int64)
         self.start = np.cumsum(self.n) - self.n
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
-        self._last = None
+        self._made = {}
 
     def slices(self):
         """(first byte in the block, slice): every window that lies in one document is in one slice."""
@@ -129,12 +131,15 @@ class _Block:
         while at < total:
             stop = min(total, at + SLICE)
             upto = min(total, stop + self.length - 1)  # windows that start before stop
-            if self._last is None or self._last[0] != at:
+            made = self._made.get(at)
+            if made is None:
                 d = slice(int(np.searchsorted(doc_end, at, "right")), int(np.searchsorted(self.start, stop, "left")))
                 starts, ends = np.maximum(self.start[d], at) - at, np.minimum(doc_end[d], upto) - at
                 long = ends - starts >= self.length
-                self._last = at, _Slice(self.data[at:upto], starts[long], ends[long], self.length)
-            yield at, self._last[1]
+                made = _Slice(self.data[at:upto], starts[long], ends[long], self.length)
+                if total <= KEEP:
+                    self._made[at] = made
+            yield at, made
             at = stop
 
     def elements(self, replies: pa.Table | None, level: int):
