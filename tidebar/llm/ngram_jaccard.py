@@ -13,6 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from tidebar.llm.packed import Elements
 #: Shingles to a cell in the largest document of a band; more make fewer keys, but leave less to the pigeonhole.
 LOAD = 2.5
 _CELL = U64(0xA0761D6478BD642F)
-FACTS = "doc_id long, text_hash long, n_shingles long, node long, text string, bucket int, keys binary, nodes binary"
+FACTS = "doc_id long, text_hash long, n_shingles long, node long, text binary, bucket int, keys binary, nodes binary"
 
 
 def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,10 +148,10 @@ def _meetings(rows: pa.Table) -> pa.Table:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs (a, b) with linked (boolean): the exact test on the shingle sets. texts: (node, text)."""
+    """pairs (a, b) with linked (boolean): the exact test on the shingle sets. texts: (node, text, compressed)."""
 
-    def members(text: str) -> np.ndarray:
-        return shingles([text], size)[1]
+    def members(data: bytes) -> np.ndarray:
+        return shingles([zstandard.decompress(data).decode()], size)[1]
 
     def test(batches):
         known = (None, None)  # a join by a brings a's pairs one after another
@@ -200,7 +201,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 pa.array(rows["text_hash"].to_pylist() + empty, pa.int64()),
                 pa.array(block.n.tolist() + empty, pa.int64()),
                 pa.array(block.node.tolist() + empty, pa.int64()),
-                pa.array([t if w else None for t, w in zip(block.texts, wanted & shown)] + empty, pa.string()),
+                pa.array([zstandard.compress(t.encode(), 3) if w else None for t, w in zip(block.texts, wanted & shown)] + empty, pa.binary()),
                 pa.array([None] * n + [p[0] for p in parts], pa.int32()),
                 pa.array([None] * n + [key[s:e].tobytes() for _, s, e in parts], pa.binary()),
                 pa.array([None] * n + [node[s:e].tobytes() for _, s, e in parts], pa.binary()),
