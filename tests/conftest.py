@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-DATA = "/root/testdata/sf0.001"
+from helpers import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -33,22 +33,3 @@ def duck():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
-
-
-def same_rows(got, expected):
-    """Rows of two pandas frames are the same in any order; doubles to nine digits."""
-    import pandas as pd
-
-    def text(v):
-        if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
-            return "null"
-        if isinstance(v, float):
-            return f"{v + 0.0:.9g}"
-        return str(v)
-
-    assert sorted(got.columns) == sorted(expected.columns)
-    cols = sorted(got.columns)
-    rows = lambda df: sorted(tuple(map(text, r)) for r in df[cols].astype(object).itertuples(index=False, name=None))
-    a, b = rows(got), rows(expected)
-    assert len(a) == len(b)
-    assert a == b

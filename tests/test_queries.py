@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import DATA, same_rows
+from helpers import DATA, same_rows
 from tidebar.queries import ORACLE_SQL, QUERIES
 
 

@@ -3,7 +3,7 @@ import pytest
 from pyarrow import feather
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from helpers import DATA
 from tidebar.plans import runs
 from tidebar.sources import fixtures, market_data, tables
 

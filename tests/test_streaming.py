@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DATA
+from helpers import DATA
 from tidebar.operators import bars, folds, ticks
 from tidebar.operators.folds import Thresholds
 from tidebar.sources import fixtures
