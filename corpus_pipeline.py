@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidebar.llm import decontaminate, mixing, ngram_jaccard, quality_rules, sharding
 from tidebar.llm.common import shared_folder, table
@@ -15,8 +16,8 @@ SHARDS = 40
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learned decision list reject go."""
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    return quality_rules.judged(docs, rules, keep=keep).where("kept").select(docs.columns)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("_row"))
+    return quality_rules.judged(rows, rules, keep=("_row",)).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,45 @@
+import random
+
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns that operators use inside, as strangers to them.
+CLASH = ["block", "bucket", "node", "keys", "text_hash", "part", "place", "_at", "_read", "copies", "size", "n_words", "kept", "_row", "w", "h", "item_id", "start", "grade", "_id", "_label"]
+
+
+def prose(rng, n, vocabulary=400):
+    return [f"w{int(vocabulary * rng.random() ** 2)}" for _ in range(n)]
+
+
+def corpus(seed=7):
+    """Small documents with copies, near copies, shared passages, repeats inside, odd spaces, null and empty texts."""
+    rng = random.Random(seed)
+    texts = [" ".join(prose(rng, rng.randint(1, 120))) for _ in range(40)]
+    passage = " ".join(prose(rng, 60))
+    texts += [f"{' '.join(prose(rng, 20))} {passage} {' '.join(prose(rng, 20))}" for _ in range(6)]
+    base = prose(rng, 150)
+    for _ in range(8):
+        near = list(base)
+        near[rng.randrange(150)] = "other"
+        texts.append(" ".join(near))
+    texts += [texts[3], texts[3], texts[41], " ".join(base)]
+    texts += [" ".join(base[:100]), "one two three", "One two THREE", "x " * 300, "ab" * 400, "é" * 250 + " ende", "a\x1cb\u00a0c\td\x0be\n\n f", "line one here\nline one here\nlast # $ line!\n", None, "", "   \n ", None]
+    return [(k if k != 50 else None, t, "en", f"s{k % 4}" if k % 9 else None, len(t or "")) for k, t in enumerate(texts)] + [(3, texts[3], "en", "s3", 1), (3, texts[5], "en", "s3", 1)]
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    return df.select("*", *(F.lit("stranger").alias(c) for c in CLASH))
+
+
+@pytest.fixture(scope="session")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)

@@ -228,7 +228,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     tried = durable(verify(star, texts, size, percent))
     links = tried.where("linked").select("a", "b")
     root = components(links)
-    parts = groups.select(F.monotonically_increasing_id().alias("g"), F.explode("nodes").alias("node")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # the number first: in one select, it would be given to the exploded rows
+    parts = groups.withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("nodes").alias("node")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = durable(parts.groupBy("g").agg(F.collect_list(F.struct("root", "node")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("m"))
     cross = split.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y["root"] > F.col("x.root"))).alias("y"))
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")

@@ -78,7 +78,7 @@ def train(texts: list[str], grades: list[int], n_grades: int, bits: int, rounds:
     features = Features(bits)
     rows = [features(t) for t in texts]
     size = (1 << bits) + 11 * len(SHAPES)
-    y = np.array(grades)
+    y = np.array(grades, np.int64)
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n = np.bincount(flat, minlength=size)
@@ -120,7 +120,8 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_labels: int
     ratings: id and grade (0 to n_grades - 1; null is ignored). What comes back to the driver are 2**bits weights.
     """
     some = ratings.select(F.col(id_col).cast("long").alias("_id"), F.col("grade").cast("int").alias("_grade")).where("_id is not null and _grade is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
-    known = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col("_id").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col("_grade").alias("grade"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known = rows.join(F.broadcast(some), F.col("id") == F.col("_id")).select("id", "text", F.col("_grade").alias("grade"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["grade"].to_pylist()))

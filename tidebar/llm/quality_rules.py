@@ -144,14 +144,15 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 8, max_
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", **options) -> list[Rule]:
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", **options) -> list[Rule]:
     """Rules learned from at most max_labels labelled documents (those with the smallest hashes of their ids).
 
     labels: id and label (0 is bad, null is ignored). Documents that the base rules reject teach nothing.
     """
     some = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label")).where("_label is not null and _id is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
-    known = docs.join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(F.col(id_col).alias("_doc"), "text", "_label")
-    stats = statistics(known, "_doc", "text", ("_label",)).where("not base_failed")
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
+    known = rows.join(F.broadcast(some), F.col("_doc") == F.col("_id"))
+    stats = statistics(known, "_doc", "_text", ("_label",)).where("not base_failed")
     rows = stats.select("doc_id", "_label", *(F.expr(e).alias(f) for f, e in FEATURES.items())).toPandas()
     if not len(rows):
         return []
