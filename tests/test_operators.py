@@ -144,3 +144,12 @@ def test_empty_tables(spark):
     t = frame(spark, [], TICK).withColumn("price_jma", F.col("price"))
     assert bars.sampled_bars(t, ["symbol"], Thresholds(renko_size=1.0)).count() == 0
     assert ticks.mad_running(t, ["symbol"]).count() == 0
+
+
+def test_a_column_of_sizes_is_a_size(spark):
+    rng = np.random.default_rng(4)
+    rows = [(1, f"2024-01-01 {k // 60:02d}:{k % 60:02d}:00", k, float(p), 5, 1) for k, p in enumerate(50 + rng.normal(0, 2, 300).cumsum())]
+    t = frame(spark, rows, TICK).withColumn("price_jma", F.col("price")).withColumn("my_size", F.lit(3.0))
+    a = bars.bar_ids(t, ["symbol"], Thresholds(renko_size=3.0, reversal=2)).select("seq", "bar_id", "bar_trigger")
+    b = bars.bar_ids(t, ["symbol"], Thresholds(reversal=2), "my_size").select("seq", "bar_id", "bar_trigger")
+    assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)

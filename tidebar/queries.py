@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tidebar.functions import scalars
 from tidebar.operators import bars, cluster, features, folds, joins, labels, matrix, ticks, universe
 from tidebar.operators.folds import Thresholds
-from tidebar.sources import fixtures
+from tidebar.sources import fixtures, market_data
 from tidebar.sources.fixtures import SQL_DAILY, SQL_DETAILS, SQL_TICKS, table
+from tidebar.streaming import folds as stream_folds
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -729,3 +730,51 @@ def fracdiff(spark, sf_dir):
 @query(f"WITH {SQL_DAILY}, w AS (SELECT *, least(open, close) - low AS wick FROM daily) SELECT symbol, date, round(wick, 4) AS wick FROM w WHERE wick > (SELECT quantile_cont(wick, 0.99) FROM w)", date=True)
 def low_wick_markers(spark, sf_dir):
     return rounded(features.low_wick_markers(fixtures.daily(spark, sf_dir)).select("symbol", "date", "wick"), 4)
+
+
+@query(f"WITH {SQL_TICKS}, f AS (SELECT symbol, price, {' + '.join(f'lag(price, {k}) OVER w * ({x!r})::DOUBLE' for k, x in enumerate(_WEIGHTS))} AS fd FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)) SELECT symbol, round(corr(price, fd), 6) AS corr FROM f WHERE fd IS NOT NULL GROUP BY symbol")
+def fracdiff_correlation(spark, sf_dir):
+    t = fixtures.ticks(spark, sf_dir)
+    d = t.withColumn("fd", features.fracdiff(t, ["symbol"], ["ts", "seq"], "price", 0.4, 6)).where("fd is not null")
+    return rounded(d.groupBy("symbol").agg(F.corr("price", "fd").alias("corr")))
+
+
+@query(f"WITH l AS ({_sql_barrier()}) SELECT CAST(label_start_at AS DATE) AS date, {', '.join(f'''round(avg(CASE WHEN label_outcome = '{v}' THEN 1.0::DOUBLE ELSE 0 END), 6) AS {v}''' for v in ('profit', 'neutral', 'unknown'))} FROM l GROUP BY 1", date=True)
+def label_fractions(spark, sf_dir):
+    t = fixtures.ticks(spark, sf_dir).withColumn("price_jma", F.col("price"))
+    out = labels.triple_barrier(day_bars(spark, sf_dir).select("symbol", "bar_id", "close_at"), t, ["symbol"], RISK, HORIZON, 5 * DAY, REWARDS)
+    return rounded(features.fractions(out.withColumn("date", F.to_date("label_start_at")), ["date"], "label_outcome", ["profit", "neutral", "unknown"]))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(event_id AS VARCHAR) AS trade_id, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume, epoch_us(ts) + 23000 - epoch_us(ts) // 1000 * 1000 AS latency_us FROM events WHERE event_type <> 'click'")
+def ws_log_parse(spark, sf_dir):
+    """Events as captured lines; clicks are messages of another kind."""
+    t, us = table(spark, sf_dir, "events"), F.unix_micros(F.col("ts").cast("timestamp"))
+    kind = F.when(F.col("event_type") == "click", "Q").otherwise("T")
+    line = F.format_string('%d000||[{"ev":"%s","sym":"%d","x":4,"i":"%d","p":%s,"s":%d,"c":[14],"t":%d}]', us + 23_000, kind, F.col("user_id"), F.col("event_id"), F.col("value").cast("string"), F.get_json_object("props", "$.k").cast("long"), F.call_function("div", us, F.lit(1000)))
+    return market_data.parse_log(t.select(line.alias("value"))).select("symbol", "trade_id", "price", "volume", "latency_us")
+
+
+@query("SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(range(DATE '2024-01-01', DATE '2024-04-01', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19', DATE '2024-03-29')", date=True)
+def trading_calendar(spark, sf_dir):
+    off = spark.createDataFrame([("2024-01-01",), ("2024-01-15",), ("2024-02-19",), ("2024-03-29",)], "date string")
+    return market_data.open_dates(spark, "2024-01-01", "2024-03-31", off)
+
+
+@query(f"WITH {SQL_TICKS} SELECT symbol, date_trunc('day', ts) AS start, first(price ORDER BY ts, seq) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM ticks GROUP BY 1, 2")
+def day_candles(spark, sf_dir):
+    t = fixtures.ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stream_folds.candles(t, "1 day")
+    return out.select("symbol", F.col("window.start").cast("timestamp_ntz").alias("start"), "open", "high", "low", "close", "volume")
+
+
+@query(f"WITH {SQL_TICKS}, {SQL_DAYBARS}, large AS (SELECT * FROM db WHERE symbol % 25 = 0 AND tick_count >= 2), t AS (SELECT *, CAST(ts AS DATE) AS date FROM ticks), i AS (SELECT c.symbol AS clock_symbol, c.date, t.symbol, t.ts, t.seq, t.price, t.volume FROM large c JOIN t ON c.date = t.date AND t.ts > c.open_at AND t.ts <= c.close_at AND t.symbol <> c.symbol) SELECT clock_symbol, date, symbol, CAST(sum(volume) * count(*) AS DOUBLE) AS dollar_value, round(first(price ORDER BY ts, seq) - last(price ORDER BY ts, seq), 6) AS price_return FROM i GROUP BY clock_symbol, date, symbol", date=True)
+def sync_bars_legacy(spark, sf_dir):
+    t = fixtures.ticks(spark, sf_dir).withColumn("date", F.to_date("ts"))
+    clock = day_bars(spark, sf_dir).where("symbol % 25 = 0 and tick_count >= 2")
+    return bars.synchronised(clock, t, "date", DAY // 8, legacy=True).select("clock_symbol", "date", "symbol", "dollar_value", r("price_return").alias("price_return"))
+
+
+@query(f"WITH {SQL_SEGMENTS.replace('x > m', 'd > m')} SELECT symbol, segment FROM sg WHERE segment IS NOT NULL")
+def segment_symbols_legacy(spark, sf_dir):
+    return universe.segments(market(spark, sf_dir), legacy=True).select("symbol", "segment")

@@ -19,13 +19,13 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as a market table: supplier is the symbol, the month the date."""
+    """lineitem as a market table: supplier is the symbol, the month the date. Money is summed exactly."""
     at = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     price, n = F.col("l_extendedprice"), F.col("l_quantity")
     rows = table(spark, sf_dir, "lineitem").withColumn("at", at).withColumn("date", F.trunc(F.to_date("l_shipdate"), "month"))
     return rows.groupBy(F.col("l_suppkey").alias("symbol"), "date").agg(
         F.min_by(price, "at").alias("open"), F.max_by(price, "at").alias("close"), F.max(price).alias("high"), F.min(price).alias("low"),
-        (F.sum(price * n) / F.sum(n)).alias("vwap"), F.sum(n).cast("long").alias("volume"),
+        (F.sum((price * n).cast("decimal(20,2)")).cast("double") / F.sum(n)).alias("vwap"), F.sum(n).cast("long").alias("volume"),
     )
 
 
@@ -43,7 +43,7 @@ SQL_TICKS = """ticks AS (SELECT user_id AS symbol, ts, event_id AS seq, value AS
 SQL_DAILY = """daily AS (SELECT l_suppkey AS symbol, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
   first(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS open,
   last(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS close,
-  max(l_extendedprice) AS high, min(l_extendedprice) AS low, sum(l_extendedprice * l_quantity) / sum(l_quantity) AS vwap,
+  max(l_extendedprice) AS high, min(l_extendedprice) AS low, CAST(sum(CAST(l_extendedprice * l_quantity AS DECIMAL(20, 2))) AS DOUBLE) / sum(l_quantity) AS vwap,
   CAST(sum(l_quantity) AS BIGINT) AS volume FROM lineitem GROUP BY ALL)"""
 
 SQL_DETAILS = """details AS (SELECT s_suppkey AS symbol, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'etf' ELSE 'cs' END AS type,
