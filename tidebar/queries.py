@@ -451,9 +451,9 @@ def market(spark, sf_dir) -> DataFrame:
     return universe.with_range(universe.normalised(broken))
 
 
-@query(f"WITH {SQL_UNIVERSE} SELECT symbol, date, round(midprice, 4) AS midprice, round(vwap, 4) AS vwap, round(dollar_total, 4) AS dollar_total FROM nd", date=True)
+@query(f"WITH {SQL_UNIVERSE} SELECT symbol, date, round(midprice, 4) AS midprice, round(vwap, 6) AS vwap, round(dollar_total, 4) AS dollar_total FROM nd", date=True)
 def daily_normalise_vwap_repair(spark, sf_dir):
-    return market(spark, sf_dir).select("symbol", "date", r("midprice", 4).alias("midprice"), r("vwap", 4).alias("vwap"), r("dollar_total", 4).alias("dollar_total"))
+    return market(spark, sf_dir).select("symbol", "date", r("midprice", 4).alias("midprice"), r("vwap", 6).alias("vwap"), r("dollar_total", 4).alias("dollar_total"))
 
 
 @query(f"WITH {SQL_UNIVERSE} SELECT symbol, date, round(range, 4) AS range, round(range_value_pct, 6) AS range_value_pct FROM nd", date=True)
