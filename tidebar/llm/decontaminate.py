@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import words
 
-#: Fingerprints of 64 bits are compared within this radius: one of four blocks of 16 bits then differs in 3 bits at most.
-RADIUS, BLOCKS, BLOCK_BITS = 15, 4, 16
+#: Fingerprints of 64 bits are compared within this radius: one of eight blocks of 8 bits then differs in 1 bit at most.
+RADIUS, BLOCKS, BLOCK_BITS = 15, 8, 8
 #: Benchmarks of up to so many words are broadcast to the documents' scan; a larger one is joined by shuffling.
 BROADCAST_WORDS = 1_000_000
 
@@ -29,7 +29,8 @@ def with_simhash(df: DataFrame, w: str, name: str) -> DataFrame:
     """df with the 64-bit SimHash of the word array w: a bit is the majority of that bit in the words' hashes."""
     bit = "if(2 * aggregate(_h, 0, (n, x) -> n + cast(shiftright(x, b) & 1 as int)) > size(_h), 1L, 0L)"
     hashed = df.withColumn("_h", F.transform(w, lambda x: F.xxhash64(x)))
-    return hashed.withColumn(name, F.expr(f"aggregate(sequence(0, 63), 0L, (bits, b) -> bits | shiftleft({bit}, b))")).drop("_h")
+    # coalesced, as a value that may be null gets a test for null in every join below, each with the whole expression
+    return hashed.withColumn(name, F.expr(f"coalesce(aggregate(sequence(0, 63), 0L, (bits, b) -> bits | shiftleft({bit}, b)), 0L)")).drop("_h")
 
 
 def _block(fp: str, k: int) -> Column:
@@ -68,13 +69,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     windows = found.select("doc_id", "text_hash", "start", "n", F.slice(words(lowered(F.col("text"))), F.col("start") + 1, F.col("n")).alias("ww")).distinct()
     windows = with_simhash(windows, "ww", "wfp")
     near = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda m: F.bit_count(m) <= RADIUS // BLOCKS)
-    index = items.select("item_id", "n", "ish", "ifp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _block("ifp", k).alias("v")) for k in range(BLOCKS)))).alias("b"))
-    index = index.select("item_id", "n", "ish", "ifp", "b.k", F.explode(F.transform(near, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
-    probe = windows.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _block("wfp", k).alias("v")) for k in range(BLOCKS)))).alias("b")).select("doc_id", "text_hash", "start", "n", "ww", "wfp", "b.k", "b.v")
+    blocks = lambda fp: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _block(fp, k).alias("v")) for k in range(BLOCKS))))
+    index = items.select("item_id", "n", "ifp", blocks("ifp").alias("b")).select("item_id", "n", "ifp", "b.k", F.explode(F.transform(near, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
+    probe = windows.select("*", blocks("wfp").alias("b")).select("doc_id", "text_hash", "start", "n", "ww", "wfp", "b.k", "b.v")
     pairs = probe.join(index, ["n", "k", "v"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
     pairs = pairs.dropDuplicates(["doc_id", "text_hash", "start", "item_id"])
     a, b = _numbered(shingle_hashes(F.col("ww"), size)), _numbered(F.col("ish"))
-    scored = pairs.withColumn("a", a).withColumn("b", b).withColumn("similarity", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
+    scored = pairs.join(items.select("item_id", "ish"), "item_id").withColumn("a", a).withColumn("b", b).withColumn("similarity", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
     best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("start", F.size("ww").alias("n"), "similarity"), F.struct("similarity", -F.col("start"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.start").cast("long").alias("start_word"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"), "text_hash")
 
@@ -82,4 +83,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of docs, all columns, without those that hold a benchmark item."""
     bad = leaks(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_t")), "left_anti")
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_d2"), F.xxhash64(text_col).alias("_t2"))
+    return keyed.join(bad, F.col("_d2").eqNullSafe(F.col("_d")) & (F.col("_t2") == F.col("_t")), "left_anti").select("_row.*")
