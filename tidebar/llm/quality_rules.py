@@ -59,21 +59,35 @@ def _counts(texts: list[str]) -> list[np.ndarray]:
     return [n, chars, symbols, dups, repeat.astype(np.int64), lines, upper, marks]
 
 
+def _in_parts(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in order, in parts of about limit characters."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t) > limit:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
+def _count(text: pa.Array) -> pa.Array:
+    parts = [_counts(p) for p in _in_parts(text.to_pylist())]
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(COUNTS)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], COUNTS)
+
+
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in keep, COUNTS and base_failed of each row of docs, from whole texts; null is empty."""
-    names = [f"_k{i}" for i in range(len(keep))]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(n) for c, n in zip(keep, names)))
-    kept = ["doc_id", *names]
-    kinds = dict(rows.dtypes)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *map(pa.array, _counts(batch["text"].to_pylist()))], [*kept, *COUNTS])
-
-    out = rows.mapInArrow(count, ", ".join([*(f"{c} {kinds[c]}" for c in kept), *(f"{c} long" for c in COUNTS)]))
-    out = out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
-    return out.withColumnsRenamed(dict(zip(names, keep)))
+    """doc_id, the columns in keep, COUNTS and base_failed of each row of docs, from whole texts; null is empty.
+
+    Only texts go to Python; the kept columns stay in Spark.
+    """
+    # not deterministic, so that Spark does not run it once for a filter and again for the columns
+    count = F.arrow_udf(_count, ", ".join(f"{c} long" for c in COUNTS)).asNondeterministic()
+    counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), count(F.coalesce(F.col(text_col), F.lit(""))).alias("_n"))
+    out = counted.select("doc_id", *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_n.*")
+    return out.withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
 
 
 @dataclass(frozen=True)
