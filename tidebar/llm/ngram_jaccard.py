@@ -24,8 +24,8 @@ from tidebar.llm.packed import Elements
 
 #: Shingles to a cell in the largest document of a band; more make fewer keys, but leave less to the pigeonhole.
 LOAD = 2.5
-_CELL = U64(0xA0761D6478BD642F)
-FACTS = "doc_id long, text_hash long, n_shingles long, node long, text binary, bucket int, keys binary, nodes binary"
+_CELL, _BIT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
+FACTS = "doc_id long, text_hash long, n_shingles long, node long, text binary, sketch binary, bucket int, keys binary, nodes binary"
 
 
 def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 class _Block:
     def __init__(self, rows: pa.Table, size: int, percent: int):
-        self.doc_id, self.texts = rows["doc_id"].to_pylist(), rows["text"].to_pylist()
+        self.doc_id, self.texts = rows["doc_id"].to_pylist(), packed.texts(rows)
         self.doc, self.shingle = shingles(self.texts, size)
         self.n = np.bincount(self.doc, minlength=len(self.texts))
         # equal sets are one node, so copies never meet as a pair
@@ -110,6 +110,13 @@ class _Block:
         self.need = np.concatenate(need) if need else np.zeros(0, np.int64)
         self.key = np.where(self.key == 0, U64(1), self.key)
 
+    def sketch(self, k: int) -> bytes:
+        """Bits of which each shingle of text k turns one: two to four a shingle, a power of two in all."""
+        lo, hi = np.searchsorted(self.doc, [k, k + 1])
+        bits = 1 << max(3, int(hi - lo).bit_length() + 1)
+        place = (mix(self.shingle[lo:hi] ^ _BIT) & U64(bits - 1)).astype(np.int64)
+        return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
     def first(self) -> Elements:
         key, order, starts = packed.distinct(self.key)
         node = self.node[self.key_doc[order]]
@@ -121,7 +128,14 @@ class _Block:
         found = self.first()
         again = packed.states(replies, 1, len(found.key))[found.place] > 0
         times = np.bincount(self.key_group[again], minlength=len(self.need))
-        return again & (times >= self.need)[self.key_group]
+        # Two sets of keys that share at least need of them share one among the first (all - need + 1) in any one order.
+        order = np.lexsort((self.key, self.key_group))
+        group = self.key_group[order]
+        size = np.bincount(self.key_group, minlength=len(self.need))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order)) - (np.cumsum(size) - size)[group]
+        first = place <= (size - self.need)[self.key_group]
+        return again & first & (times >= self.need)[self.key_group]
 
 
 def _recurs(key: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -147,6 +161,42 @@ def _meetings(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(sorted(lists), pa.binary())], ["nodes"])
 
 
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch of fewer bits: a place's lowest bits are its place there, and parities add up."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _possible(percent: int, strays: bool):
+    """Pairs of a group's members in different components that sizes and sketches do not rule out. strays: for each member
+    outside the group's largest component only its closest one inside."""
+
+    def run(batches):
+        for batch in batches:
+            out = [np.zeros((0, 2), np.int64)]
+            for members in batch["m"].to_pylist():
+                root, node, n = (np.array([x[f] for x in members], np.int64) for f in ("root", "node", "n"))
+                size = min(len(x["sketch"]) for x in members)
+                bits = np.array([_folded(x["sketch"], size) for x in members])
+                roots, count = np.unique(root, return_counts=True)
+                largest = root == roots[count.argmax()]
+                for i in np.flatnonzero(~largest) if strays else range(len(root)):
+                    j = np.flatnonzero(largest if strays else root > root[i])
+                    j = j[(percent * n[j] <= 100 * n[i]) & (percent * n[i] <= 100 * n[j])]
+                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+                    near = (100 + percent) * differ <= (100 - percent) * (n[j] + n[i])
+                    j, differ = j[near], differ[near]
+                    if strays and len(j):
+                        j = j[[differ.argmin()]]
+                    out.append(np.sort(np.stack([node[j], np.full(len(j), node[i])], 1), axis=1))
+            pairs = np.unique(np.concatenate(out), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs (a, b) with linked (boolean): the exact test on the shingle sets. texts: (node, text, compressed)."""
 
@@ -202,14 +252,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 pa.array(block.n.tolist() + empty, pa.int64()),
                 pa.array(block.node.tolist() + empty, pa.int64()),
                 pa.array([zstandard.compress(t.encode(), 3) if w else None for t, w in zip(block.texts, wanted & shown)] + empty, pa.binary()),
+                pa.array([block.sketch(k) if w else None for k, w in enumerate(wanted & shown)] + empty, pa.binary()),
                 pa.array([None] * n + [p[0] for p in parts], pa.int32()),
                 pa.array([None] * n + [key[s:e].tobytes() for _, s, e in parts], pa.binary()),
                 pa.array([None] * n + [node[s:e].tobytes() for _, s, e in parts], pa.binary()),
             ],
-            ["doc_id", "text_hash", "n_shingles", "node", "text", "bucket", "keys", "nodes"],
+            ["doc_id", "text_hash", "n_shingles", "node", "text", "sketch", "bucket", "keys", "nodes"],
         )
 
-    again = packed.ask(layout, 1, cells, ["u1"], _recurs, width=6)
+    again = packed.ask(layout, 1, cells, ["u1"], _recurs, width=5)
     known = durable(packed.conclude(layout, again, facts, FACTS))
     rows = known.where("bucket is null").select("doc_id", "text_hash", "n_shingles", "node")
     texts = known.where("text is not null").groupBy("node").agg(F.first("text").alias("text"))
@@ -223,18 +274,21 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))], ["nodes"])
 
     groups = durable(lists.mapInArrow(members, "nodes array<bigint>"))
-    # Each member against the first of its group; what these links leave apart is then compared across the parts.
-    star = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, F.size("nodes") - 1)).alias("b")).distinct()
-    tried = durable(verify(star, texts, size, percent))
-    links = tried.where("linked").select("a", "b")
-    root = components(links)
     # the number first: in one select, it would be given to the exploded rows
-    parts = groups.withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("nodes").alias("node")).join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = durable(parts.groupBy("g").agg(F.collect_list(F.struct("root", "node")).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("m"))
-    cross = split.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: y["root"] > F.col("x.root"))).alias("y"))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = verify(cross, texts, size, percent).where("linked").select("a", "b")
-    root = components(links.unionByName(more))
+    members_of = groups.withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("nodes").alias("node"))
+    info = known.where("sketch is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    # Each member against the first of its group; then what is left outside a group's largest component against the
+    # closest inside; then all that is still apart.
+    pairs = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, F.size("nodes") - 1)).alias("b")).distinct()
+    tried = durable(verify(pairs, texts, size, percent))
+    root = components(tried.where("linked"))
+    for strays in (True, False):
+        parts = members_of.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = parts.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
+        whole = parts.join(split, "g", "left_semi").join(info, "node").groupBy("g").agg(F.collect_list(F.struct("root", "node", "n", "sketch")).alias("m"))
+        pairs = whole.select("m").mapInArrow(_possible(percent, strays), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        tried = tried.unionByName(durable(verify(pairs, texts, size, percent)))
+        root = components(tried.where("linked"))
     return rows.join(root, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("class"))
 
 

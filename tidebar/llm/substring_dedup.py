@@ -33,7 +33,7 @@ class _Block:
         ids = rows["doc_id"].to_pylist()
         self.doc_id = ids
         self.rank = np.array([LAST if x is None else x for x in ids], np.int64)
-        self.words = [t.encode().split() for t in rows["text"].to_pylist()]
+        self.words = [t.encode().split() for t in packed.texts(rows)]
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.start = np.cumsum(self.n) - self.n
         total = int(self.n.sum())

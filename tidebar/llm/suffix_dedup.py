@@ -116,7 +116,7 @@ class _Block:
     def __init__(self, rows: pa.Table, length: int):
         self.length = length
         # in an order of their own: slices must be the same each time, and rows come as the shuffle brings them
-        known = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        known = sorted(zip(rows["doc_id"].to_pylist(), packed.texts(rows)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         self.doc_id = [x for x, _ in known]
         self.texts = [x.encode() for _, x in known]
         self.n = np.array([len(x) for x in self.texts], np.int64)
