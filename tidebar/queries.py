@@ -302,7 +302,7 @@ i AS (SELECT c.symbol AS clock_symbol, c.date, c.open_at AS clock_open_at, c.clo
 SELECT clock_symbol, date, clock_open_at, symbol, count(*) AS tick_count, CAST(sum(volume) AS BIGINT) AS volume, round(sum(price * volume), 4) AS dollar_value, round(last(price ORDER BY ts, seq) - first(price ORDER BY ts, seq), 6) AS price_return, min(ts) AS open_at, max(ts) AS close_at FROM i GROUP BY clock_symbol, date, clock_open_at, symbol""", date=True)
 def sync_bars(spark, sf_dir):
     t = fixtures.ticks(spark, sf_dir).withColumn("date", F.to_date("ts"))
-    clock = day_bars(spark, sf_dir).where("symbol % 10 = 0 and tick_count >= 2")
+    clock = day_bars(spark, sf_dir).where("tick_count >= 2")
     out = bars.synchronised(clock, t, "date", DAY // 8)
     return out.select("clock_symbol", "date", "clock_open_at", "symbol", "tick_count", "volume", r("dollar_value", 4).alias("dollar_value"), r("price_return").alias("price_return"), "open_at", "close_at")
 
@@ -507,7 +507,7 @@ def filter_market_counts(spark, sf_dir):
 
 @query(f"WITH {SQL_UNIVERSE}, m AS (SELECT symbol, median(range_value_pct) AS x, median(dollar_total) AS y FROM nd GROUP BY symbol) SELECT m.symbol, name, type, sector, industry, round(x, 6) AS range_value_pct_median, round(y, 3) AS dollar_total_median FROM (SELECT * FROM details WHERE symbol % 2 = 0) d RIGHT JOIN m ON d.symbol = m.symbol")
 def symbol_stats_right_join(spark, sf_dir):
-    out = universe.symbol_stats(market(spark, sf_dir), fixtures.details(spark, sf_dir).where("symbol % 2 = 0"))
+    out = universe.symbol_stats(market(spark, sf_dir), fixtures.details(spark, sf_dir))
     return out.select("symbol", "name", "type", "sector", "industry", r("range_value_pct_median").alias("range_value_pct_median"), r("dollar_total_median", 3).alias("dollar_total_median"))
 
 
@@ -518,7 +518,8 @@ rt AS (SELECT *, greatest(least(zscore, 4), -4) + tanh(zscore - greatest(least(z
 
 
 def price_returns(spark, sf_dir) -> DataFrame:
-    return universe.returns(market(spark, sf_dir).where("symbol <= 8"))
+    """Returns of the universe that all_dates derives: a symbol without a row on some date would take that date from all."""
+    return universe.returns(universe.all_dates(market(spark, sf_dir)))
 
 
 @query(f"WITH {SQL_RETURNS} SELECT symbol, date, round(value, 4) AS value, round(diff, 4) AS diff, round(log_return, 6) AS log_return, round(zscore, 6) AS zscore, round(squeezed, 6) AS squeezed FROM rt", date=True)
@@ -612,8 +613,11 @@ def top_clusters(spark, sf_dir):
 
 @query(f"WITH {SQL_UNIVERSE} SELECT date, {', '.join(f'round(max(CASE WHEN symbol = {k} THEN close END), 4) AS s{k}' for k in range(1, 6))} FROM nd WHERE symbol <= 5 GROUP BY date", date=True)
 def price_pivot(spark, sf_dir):
-    out = market(spark, sf_dir).where("symbol <= 5").groupBy("date").pivot("symbol", list(range(1, 6))).agg(F.max("close"))
-    return rounded(out.withColumnsRenamed({str(k): f"s{k}" for k in range(1, 6)}), 4)
+    """A column for every symbol; the driver gets their list, as columns need names."""
+    rows = market(spark, sf_dir)
+    symbols = [x.symbol for x in rows.select("symbol").distinct().orderBy("symbol").collect()]
+    out = rows.groupBy("date").pivot("symbol", symbols).agg(F.max("close"))
+    return rounded(out.withColumnsRenamed({str(k): f"s{k}" for k in symbols}), 4)
 
 
 # --- daily statistics, planning, joins ----------------------------------------------------------------------------------------------
@@ -771,7 +775,7 @@ def day_candles(spark, sf_dir):
 @query(f"WITH {SQL_TICKS}, {SQL_DAYBARS}, large AS (SELECT * FROM db WHERE symbol % 25 = 0 AND tick_count >= 2), t AS (SELECT *, CAST(ts AS DATE) AS date FROM ticks), i AS (SELECT c.symbol AS clock_symbol, c.date, t.symbol, t.ts, t.seq, t.price, t.volume FROM large c JOIN t ON c.date = t.date AND t.ts > c.open_at AND t.ts <= c.close_at AND t.symbol <> c.symbol) SELECT clock_symbol, date, symbol, CAST(sum(volume) * count(*) AS DOUBLE) AS dollar_value, round(first(price ORDER BY ts, seq) - last(price ORDER BY ts, seq), 6) AS price_return FROM i GROUP BY clock_symbol, date, symbol", date=True)
 def sync_bars_legacy(spark, sf_dir):
     t = fixtures.ticks(spark, sf_dir).withColumn("date", F.to_date("ts"))
-    clock = day_bars(spark, sf_dir).where("symbol % 25 = 0 and tick_count >= 2")
+    clock = day_bars(spark, sf_dir).where("tick_count >= 2")
     return bars.synchronised(clock, t, "date", DAY // 8, legacy=True).select("clock_symbol", "date", "symbol", "dollar_value", r("price_return").alias("price_return"))
 
 
