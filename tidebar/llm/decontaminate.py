@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import words
@@ -45,8 +46,8 @@ def _numbered(a: Column) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 5, similarity: float = 0.75) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity and text_hash of each row of docs that holds a benchmark item.
 
-    Windows as long as an item are taken wherever the text has a shingle of an item of that length at the place where the
-    item has it; windows without any shingle of the benchmark cannot be similar and are never looked at. Windows and items
+    Of all windows as long as an item, those are looked at that hold enough shingles of items of that length, at any place:
+    the union has as many as the item at least, so the others cannot be similar enough. Windows and items
     get SimHash fingerprints of their words; multi-index blocks find all pairs within the radius; what is returned has a
     weighted Jaccard similarity (shingles count as often as they occur) of ``similarity`` or more. Of several windows of
     a row, the most similar and then the first is given. Windows at the ends of a text are cut there.
@@ -56,14 +57,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     items = benchmark.select(F.col(item_id_col).alias("item_id"), words(lowered(F.col(item_text_col))).alias("iw")).where(F.size("iw") > 0)
     items = with_simhash(items.withColumn("n", F.size("iw")).withColumn("ish", shingle_hashes(F.col("iw"), size)), "iw", "ifp")
-    marks = items.select("n", F.posexplode("ish").alias("off", "h")).distinct()
+    marks = items.select("n", F.explode("ish").alias("h")).distinct()
     total = items.agg(F.sum("n")).first()[0] or 0
     marks = F.broadcast(marks) if total <= BROADCAST_WORDS else marks
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), words(lowered(F.col("text"))).alias("w"))
     hits = keyed.select("doc_id", "text_hash", F.posexplode(shingle_hashes(F.col("w"), size)).alias("pos", "h")).join(marks, "h")
-    # the map side has each window of a row once already; a window starts at 0 at the least
-    spots = hits.select("doc_id", "text_hash", F.greatest(F.col("pos") - F.col("off"), F.lit(0)).alias("start"), "n").distinct()
+    # a row that is repeated counts once
+    hits = hits.select("doc_id", "text_hash", "n", "pos").distinct()
+    span = F.greatest(F.col("n") - size, F.lit(0))  # how far before a shingle a window that holds it starts, at most
+    enough = F.col("c") >= similarity * (span + 1)
+    # texts without enough shingles at all go before windows are made of the rest
+    hits = hits.withColumn("c", F.count("*").over(W.partitionBy("doc_id", "text_hash", "n"))).where(enough)
+    starts = hits.select("doc_id", "text_hash", "n", F.explode(F.sequence(F.greatest(F.col("pos") - span, F.lit(0)), F.col("pos"))).alias("start"))
+    spots = starts.groupBy("doc_id", "text_hash", "n", "start").agg(F.count("*").alias("c")).where(enough)
     rows = spots.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "start", "n")
     found = texts.withColumn("text_hash", F.xxhash64("text")).join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
     windows = found.select("doc_id", "text_hash", "start", "n", F.slice(words(lowered(F.col("text"))), F.col("start") + 1, F.col("n")).alias("ww")).distinct()
