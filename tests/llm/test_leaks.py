@@ -27,3 +27,9 @@ def test_moved_blocks_and_edited_ends(spark):
     texts = [" ".join(t) for t in texts]
     got, expected = leaks_and_brute(spark, texts + texts[:1], [(k, " ".join(w)) for k, w in enumerate(item)])
     assert bag(got) == bag(expected) and any(d == 0 for d, *_ in got)
+
+
+def test_items_shorter_than_a_shingle(spark):
+    texts = ["a b c d e f g h", "x A  b", "b c d e", "h g f e d", "q", "a", "z z z z z z a b c", "", None]
+    got, expected = leaks_and_brute(spark, texts, [(1, "a"), (2, "c D"), (3, "a b c"), (4, "b c d e"), (5, "z z z z"), (6, "d e f g h"), (7, "")])
+    assert bag(got) == bag(expected) and (0, 3, 1.0) in got

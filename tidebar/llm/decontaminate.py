@@ -26,6 +26,12 @@ def shingle_hashes(w: Column, size: int) -> Column:
     return F.when(F.size(w) >= size, parts).otherwise(whole)
 
 
+def short_windows(w: Column, n: int) -> Column:
+    """Place and hash of every window of n words, fewer than a shingle: hashed like an item of n words."""
+    at = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(w, i + 1, n)).alias("h")))
+    return F.when(F.size(w) >= n, at).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+
+
 def with_simhash(df: DataFrame, w: str, name: str) -> DataFrame:
     """df with the 64-bit SimHash of the word array w: a bit is the majority of that bit in the words' hashes."""
     bit = "if(2 * aggregate(_h, 0, (n, x) -> n + cast(shiftright(x, b) & 1 as int)) > size(_h), 1L, 0L)"
@@ -58,11 +64,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(F.col(item_id_col).alias("item_id"), words(lowered(F.col(item_text_col))).alias("iw")).where(F.size("iw") > 0)
     items = with_simhash(items.withColumn("n", F.size("iw")).withColumn("ish", shingle_hashes(F.col("iw"), size)), "iw", "ifp")
     marks = items.select("n", F.explode("ish").alias("h")).distinct()
-    total = items.agg(F.sum("n")).first()[0] or 0
-    marks = F.broadcast(marks) if total <= BROADCAST_WORDS else marks
+    total, short = items.agg(F.sum("n"), F.collect_set(F.when(F.col("n") < size, F.col("n")))).first()
+    marks = F.broadcast(marks) if (total or 0) <= BROADCAST_WORDS else marks
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     keyed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), words(lowered(F.col("text"))).alias("w"))
-    hits = keyed.select("doc_id", "text_hash", F.posexplode(shingle_hashes(F.col("w"), size)).alias("pos", "h")).join(marks, "h")
+    placed = F.transform(shingle_hashes(F.col("w"), size), lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
+    # items of fewer words than a shingle are looked for as windows of their own length
+    placed = F.concat(placed, *(short_windows(F.col("w"), n) for n in short)) if short else placed
+    hits = keyed.select("doc_id", "text_hash", F.inline(placed)).join(marks, "h")
     # a row that is repeated counts once
     hits = hits.select("doc_id", "text_hash", "n", "pos").distinct()
     span = F.greatest(F.col("n") - size, F.lit(0))  # how far before a shingle a window that holds it starts, at most
