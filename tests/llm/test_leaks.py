@@ -33,3 +33,14 @@ def test_items_shorter_than_a_shingle(spark):
     texts = ["a b c d e f g h", "x A  b", "b c d e", "h g f e d", "q", "a", "z z z z z z a b c", "", None]
     got, expected = leaks_and_brute(spark, texts, [(1, "a"), (2, "c D"), (3, "a b c"), (4, "b c d e"), (5, "z z z z"), (6, "d e f g h"), (7, "")])
     assert bag(got) == bag(expected) and (0, 3, 1.0) in got
+
+
+def test_long_items_at_the_threshold(spark):
+    rng = random.Random(3)
+    fresh = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    items = [fresh(90 + k % 40) for k in range(120)]
+    cut = lambda w: (len(w) - 4) // 7  # noqa: E731  # that many words fewer leave 0.75 or little more
+    texts = [" ".join(w[: -cut(w)] + fresh(cut(w))) for w in items]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert bag((r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == bag((k, k) for k in range(120))

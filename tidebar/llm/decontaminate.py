@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidebar.llm.common import words
 
-#: Fingerprints of 64 bits are compared within this radius: one of eight blocks of 8 bits then differs in 1 bit at most.
-RADIUS, BLOCKS, BLOCK_BITS = 15, 8, 8
+#: Fingerprints of 64 bits are compared within this radius: one of eight blocks of 8 bits then differs in 2 bits at most.
+RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
 #: Benchmarks of up to so many words are broadcast to the documents' scan; a larger one is joined by shuffling.
 BROADCAST_WORDS = 1_000_000
 
