@@ -59,19 +59,23 @@ def paged(spark: SparkSession, name: str, schema: str, fetch: Callable[[int], li
 
 def cursor_rows(fetch: Callable[[int, int], list[dict]], start: int, size: int, at: str = "sip_ns") -> Iterator[dict]:
     """Rows of an interface that gives up to size rows from a time on. The next page starts at the last row's time; the last
-    row of a full page is left to it, so that nothing comes twice. A page of one time alone ends the day."""
+    row of a full page is left to it, so that nothing comes twice. Where a full page holds one time alone, larger pages are
+    asked for; where these bring no later time and are not full, the rest of that time can't be told from the end: an error."""
+    ask = size
     while True:
-        page = fetch(start, size)
+        page = fetch(start, ask)
         if len(page) < size:
             yield from page
             return
         last = page[-1][at]
         kept = [r for r in page if r[at] != last]
-        if not kept:
-            yield from page
-            return
-        yield from kept
-        start = last
+        if kept:
+            yield from kept
+            start, ask = last, size
+        elif len(page) >= ask:
+            ask *= 2
+        else:
+            raise ValueError(f"{len(page)} rows of time {last} for pages of {size}: later rows may be missing; take a larger size")
 
 
 def day_ticks(spark: SparkSession, keys: DataFrame, fetch: Callable[[str, str, int, int], list[dict]], size: int, schema: str) -> DataFrame:
