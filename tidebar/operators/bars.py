@@ -39,7 +39,8 @@ def weighted_median(rows: DataFrame, keys: list[str], price: str = "price", weig
 def summary(ticks: DataFrame, keys: list[str], at: str = "ts", seq: str = "seq", imbalances: bool = False, legacy: bool = False) -> DataFrame:
     """A bar for each key: times, counts, OHLC, range, return, VWAP and weighted quantiles.
 
-    legacy gives two figures of synchronised bars as an older layout had them: dollar_value as volume times ticks, and the
+    Quantiles come from running sums of weights in the order of price, beside the aggregates: a key's ticks are shuffled
+    once, and quantiles that nobody selects are not computed. legacy gives two figures of synchronised bars as an older layout had them: dollar_value as volume times ticks, and the
     return from last to first.
     """
     first = F.struct(at, seq)
@@ -61,9 +62,12 @@ def summary(ticks: DataFrame, keys: list[str], at: str = "ts", seq: str = "seq",
     ]
     if imbalances:
         aggs += [F.sum("side").cast("long").alias("tick_imbalance"), F.sum(F.col("side") * F.col("volume")).cast("long").alias("volume_imbalance")]
-    bars = ticks.groupBy(*keys).agg(*aggs).withColumn("duration_us", F.unix_micros(F.col("close_at").cast("timestamp")) - F.unix_micros(F.col("open_at").cast("timestamp")))
-    quantiles = weighted_quantiles(ticks, keys).withColumnsRenamed({q: f"price_{q}" for q in QUANTILES})
-    return bars.join(quantiles, keys, "left")
+    w = W.partitionBy(*keys)
+    weight = F.when(F.col("price").isNotNull() & (F.col("volume") > 0), F.col("volume").cast("double"))
+    sums = ticks.withColumn("_w", weight).withColumns({"_sum": F.sum("_w").over(w.orderBy("price")), "_all": F.sum("_w").over(w)})
+    v, s, total = F.when(F.col("_w").isNotNull(), F.col("price")), F.col("_sum"), F.col("_all")
+    aggs += [((F.coalesce(F.min(F.when(s > p * total, v)), F.max(v)) + F.min(F.when(s >= p * total, v))) / 2).alias(f"price_{q}") for q, p in QUANTILES.items()]
+    return sums.groupBy(*keys).agg(*aggs).withColumn("duration_us", F.unix_micros(F.col("close_at").cast("timestamp")) - F.unix_micros(F.col("open_at").cast("timestamp")))
 
 
 def bar_ids(ticks: DataFrame, keys: list[str], t: Thresholds, renko_size: str | None = None) -> DataFrame:
@@ -79,26 +83,29 @@ def bar_ids(ticks: DataFrame, keys: list[str], t: Thresholds, renko_size: str |
 def sampled_bars(ticks: DataFrame, keys: list[str], t: Thresholds, renko_size: str | None = None) -> DataFrame:
     """Bars that thresholds cut from the ticks. The unfinished last bar of a key and bars of too few ticks are left out."""
     cut = bar_ids(ticks, keys, t, renko_size)
-    ends = cut.where("bar_trigger is not null").select(*keys, "bar_id", "bar_trigger")
-    bars = summary(cut.join(ends.drop("bar_trigger"), [*keys, "bar_id"], "left_semi"), [*keys, "bar_id"], imbalances=True)
-    return bars.join(ends, [*keys, "bar_id"]).where(F.col("tick_count") >= t.least_ticks)
+    whole = cut.withColumn("bar_trigger", F.max("bar_trigger").over(W.partitionBy(*keys, "bar_id"))).where("bar_trigger is not null")
+    return summary(whole, [*keys, "bar_id", "bar_trigger"], imbalances=True).where(F.col("tick_count") >= t.least_ticks)
 
 
-def time_bins(ticks: DataFrame, keys: list[str], minutes: int) -> DataFrame:
+def time_bins(ticks: DataFrame, keys: list[str], seconds: int = 3) -> DataFrame:
     """Fixed bins of the session 09:30 to 16:00 local time for each key and local date that has a tick in it: start
-    included, end not; empty bins have null prices. Bins are numbered, so a bin is joined by equality."""
-    local = ticks.withColumn("local_ts", local_time("ts")).withColumn("date", F.to_date("local_ts")).withColumn("bin", F.floor((minute_of_day("local_ts") - 570) / minutes).cast("int"))
-    bins = -(-390 // minutes)
-    inside = local.where((minute_of_day("local_ts") >= 570) & (minute_of_day("local_ts") < 960))
+    included, end not; empty bins have null prices. Bins are numbered, so a bin is joined by equality. price is the
+    volume-weighted mean, and price_jma that of the ticks' price_jma, if they have one; a bin of one tick has its own."""
+    of_day = lambda c: minute_of_day(c) * 60 + F.second(c)
+    local = ticks.withColumn("local_ts", local_time("ts")).withColumn("date", F.to_date("local_ts")).withColumn("bin", F.floor((of_day("local_ts") - 34_200) / seconds).cast("int"))
+    bins = 23_400 // seconds
+    inside = local.where((of_day("local_ts") >= 34_200) & (F.col("bin") < bins))
     n = F.count("*")
+    mean = lambda c: F.when(n == 1, F.min(c)).otherwise(vwap(c)).alias(c)
     by_bin = inside.groupBy(*keys, "date", "bin").agg(
-        n.alias("tick_count"), F.sum("volume").cast("long").alias("volume"), F.sum("side").cast("long").alias("side"),
-        F.when(n == 1, F.min("price")).otherwise(vwap()).alias("price"), F.max("price").alias("price_high"), F.min("price").alias("price_low"), (F.max("price") - F.min("price")).alias("price_range"),
+        n.alias("tick_count"), F.sum("volume").cast("long").alias("volume"), F.sum("side").cast("long").alias("side"), mean("price"),
+        *([mean("price_jma")] if "price_jma" in ticks.columns else []),
+        F.max("price").alias("price_high"), F.min("price").alias("price_low"), (F.max("price") - F.min("price")).alias("price_range"),
     )
     spine = inside.select(*keys, "date").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     out = spine.join(by_bin, [*keys, "date", "bin"], "left").fillna(0, ["tick_count", "volume", "side"])
-    open_at = F.col("date").cast("timestamp_ntz") + F.make_dt_interval(mins=F.lit(570) + F.col("bin") * minutes)
-    return out.withColumn("open_at", open_at).withColumn("close_at", open_at + F.make_dt_interval(mins=F.lit(minutes)))
+    at = lambda s: F.col("date").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.lit(34_200) + s).cast("decimal(18,6)"))
+    return out.withColumns({"open_at": at(F.col("bin") * seconds), "close_at": at((F.col("bin") + 1) * seconds)})
 
 
 def epoch_groups(ticks: DataFrame, keys: list[str], unit: str, nanos: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalars import local_time, session
-from tidebar.operators.folds import MAD_BOUNDS, fold, mad_step
+from tidebar.operators.folds import MAD_BOUNDS, fold, full_mad_step, mad_step
 
 #: Trade condition codes that make a tick irregular. Fixed values.
 IRREGULAR = [2, 5, 7, 10, 13, 15, 16, 20, 21, 22, 29, 33, 38, 52, 53]
@@ -35,22 +35,27 @@ def with_session(ticks: DataFrame) -> DataFrame:
     return ticks.withColumn("local_ts", local_time("ts")).withColumn("session", session("local_ts"))
 
 
-def mad_rolling(ticks: DataFrame, keys: list[str], col: str = "price", value_winlen: int = 22, deviation_winlen: int = 1111, k: float = 11, kind: str = "simple") -> DataFrame:
+def mad_rolling(ticks: DataFrame, keys: list[str], col: str = "price", value_winlen: int = 22, deviation_winlen: int = 1111, k: float = 11, kind: str = "simple", centred: bool = False) -> DataFrame:
     """{col}_median, {col}_dev, {col}_mad and mad_outlier over full windows: null until a window is full.
 
     The median needs value_winlen rows, the median deviation three times as many; it is bounded, and a row is an outlier
-    if its deviation exceeds k times it (false where null).
+    if its deviation exceeds k times it (false where null). centred: windows lie around a row (half of them, rounded down,
+    before it) instead of ending with it. Windows wider than a frame should be are sorted ones that move along.
     """
+    names = [f"{col}_median", f"{col}_dev", f"{col}_mad"]
+    x, m, d, mad = F.col(col), *map(F.col, names)
+    if not centred and max(value_winlen, deviation_winlen) > FRAME_MAX:
+        kept = ticks.withColumn("_x", x.cast("double"))
+        out = fold(kept, keys, ["ts", "seq"], ["_x"], full_mad_step(value_winlen, deviation_winlen, kind), dict.fromkeys(names, "double")).drop("_x")
+        return out.withColumn("mad_outlier", F.coalesce(d > mad * k, F.lit(False)))
     w = ordered(*keys)
-    frame, wide = w.rowsBetween(-(value_winlen - 1), 0), w.rowsBetween(-(deviation_winlen - 1), 0)
+    frame, wide = (w.rowsBetween(-(n // 2), n - 1 - n // 2) if centred else w.rowsBetween(-(n - 1), 0) for n in (value_winlen, deviation_winlen))
     low, high = MAD_BOUNDS[kind]
-    x, m = F.col(col), F.col(f"{col}_median")
-    out = ticks.withColumn(f"{col}_median", F.when(F.count(x).over(frame) >= value_winlen, F.percentile(x, 0.5).over(frame)))
-    out = out.withColumn(f"{col}_dev", F.abs(x - m) if kind == "simple" else F.abs((x - m) / F.nullif(m, F.lit(0.0))) * 100)
-    d = F.col(f"{col}_dev")
-    mad = F.when(F.count(d).over(wide) >= 3 * value_winlen, F.percentile(d, 0.5).over(wide))
-    out = out.withColumn(f"{col}_mad", F.when(mad.isNotNull(), F.least(F.greatest(mad, F.lit(low)), F.lit(high))))
-    return out.withColumn("mad_outlier", F.coalesce(d > F.col(f"{col}_mad") * k, F.lit(False)))
+    out = ticks.withColumn(names[0], F.when(F.count(x).over(frame) >= value_winlen, F.percentile(x, 0.5).over(frame)))
+    out = out.withColumn(names[1], F.abs(x - m) if kind == "simple" else F.abs((x - m) / F.nullif(m, F.lit(0.0))) * 100)
+    typical = F.when(F.count(d).over(wide) >= 3 * value_winlen, F.percentile(d, 0.5).over(wide))
+    out = out.withColumn(names[2], F.when(typical.isNotNull(), F.least(F.greatest(typical, F.lit(low)), F.lit(high))))
+    return out.withColumn("mad_outlier", F.coalesce(d > mad * k, F.lit(False)))
 
 
 def mad_running(ticks: DataFrame, keys: list[str], value_winlen: int = 22, deviation_winlen: int = 333, k: float = 11) -> DataFrame:

@@ -13,6 +13,8 @@ def normalised(daily: DataFrame) -> DataFrame:
     """daily with midprice, repaired vwap and dollar_total; symbols of ASCII only, without NUL."""
     mid = (F.col("high") + F.col("low") + F.col("open") + F.col("close")) / 4
     rows = daily.where(F.col("symbol").cast("string").rlike(r"^[\x00-\x7F]*$")).withColumn("midprice", mid)
+    if dict(daily.dtypes)["symbol"] == "string":
+        rows = rows.withColumn("symbol", F.translate("symbol", "\x00", ""))
     rows = rows.withColumn("vwap", vwap_repaired(F.col("vwap"), F.col("low"), F.col("high"), F.col("midprice")))
     return rows.withColumn("dollar_total", F.col("vwap") * F.col("volume"))
 
@@ -56,21 +58,38 @@ def described(daily: DataFrame, details: DataFrame, kind: str = "CS") -> DataFra
     return daily.join(details.where((F.col("sector") != "") & (F.upper("type") == kind.upper())).select("symbol"), "symbol", "left_semi")
 
 
-def steps(daily: DataFrame, details: DataFrame, cut: float, low: float, high: float, price: float) -> list[tuple[str, DataFrame]]:
-    """The filters one after another, by name."""
-    out = [("all", daily)]
-    for name, f in (("all_dates", all_dates), ("liquid", lambda d: liquid(d, cut)), ("volatile", lambda d: volatile(d, low, high)), ("above", lambda d: above(d, price)), ("described", lambda d: described(d, details))):
-        out.append((name, f(out[-1][1])))
-    return out
+STEPS = ("all", "all_dates", "liquid", "volatile", "above", "described")
 
 
-def step_counts(chain: list[tuple[str, DataFrame]]) -> DataFrame:
-    """Rows and symbols that each filter leaves."""
-    parts = [d.agg(F.count("*").alias("rows"), F.count_distinct("symbol").alias("symbols")).select(F.lit(k).alias("step_no"), F.lit(n).alias("step"), "rows", "symbols") for k, (n, d) in enumerate(chain)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def symbol_steps(daily: DataFrame, details: DataFrame, cut: float, low: float, high: float, price: float) -> DataFrame:
+    """symbol, rows, and passed: how many of the five filters, one after another, a symbol passes.
+
+    Every filter asks about a symbol's own rows, so one grouped pass serves all of them.
+    """
+    stats = daily.groupBy("symbol").agg(
+        F.count("*").alias("rows"), F.count("open").alias("opens"), F.avg("dollar_total").alias("dollars"),
+        F.median("range_value_pct").alias("moves"), F.median("close").alias("close"),
+    )
+    most = F.broadcast(stats.agg(F.max("rows").alias("most")))  # one row
+    known = details.where((F.col("sector") != "") & (F.upper("type") == "CS")).select("symbol", F.lit(True).alias("known")).distinct()
+    rows = stats.join(most, F.lit(True)).join(known, "symbol", "left")
+    tests = [F.col("opens") >= F.col("most"), F.col("dollars") > cut, F.col("moves").between(low, high), F.col("close") > price, F.col("known")]
+    failed = F.array_position(F.array(*(F.coalesce(t, F.lit(False)) for t in tests)), False)  # 0 if none
+    return rows.select("symbol", "rows", F.when(failed == 0, len(tests)).otherwise(failed - 1).cast("int").alias("passed"))
+
+
+def filtered(daily: DataFrame, details: DataFrame, **cuts) -> DataFrame:
+    """Rows of the symbols that pass all filters."""
+    stay = symbol_steps(daily, details, **cuts).where(F.col("passed") == len(STEPS) - 1).select("symbol")
+    return daily.join(stay, "symbol", "left_semi")
+
+
+def step_counts(symbols: DataFrame) -> DataFrame:
+    """Of symbol_steps: the rows and symbols that are left after each filter."""
+    at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(STEPS) - 1)), lambda k: F.struct(k.alias("step_no"), (F.col("passed") >= k).alias("left")))).alias("s")
+    each = symbols.select("rows", at).select("rows", "s.*")
+    sums = each.groupBy("step_no").agg(F.coalesce(F.sum(F.when(F.col("left"), F.col("rows"))), F.lit(0)).alias("rows"), F.count_if("left").alias("symbols"))
+    return sums.select("step_no", F.element_at(F.array(*map(F.lit, STEPS)), F.col("step_no") + 1).alias("step"), "rows", "symbols")
 
 
 def symbol_stats(daily: DataFrame, details: DataFrame) -> DataFrame:
@@ -111,11 +130,12 @@ def segments(daily: DataFrame, legacy: bool = False) -> DataFrame:
     return means.join(cuts, F.lit(True)).withColumn("segment", segment).where("segment is not null").drop("_p", "_m")
 
 
-def clock_pairs(segmented: DataFrame) -> DataFrame:
-    """Every mid symbol with every large one as its clock. The two sides are lists of symbols, and the result is asked for
-    whole: one key joins them."""
-    side = lambda s, n: segmented.where(F.col("segment") == s).select(F.lit(0).alias("_k"), F.col("symbol").alias(n))
-    return side("mid", "symbol").join(side("large", "clock_symbol"), "_k").where("symbol <> clock_symbol").drop("_k")
+def clock_pairs(segmented: DataFrame, salts: int = 16) -> DataFrame:
+    """Every mid symbol with every large one as its clock. All pairs are the result that is asked for; large symbols are
+    copied once to each salt, so that the pairs are made by so many tasks, by an equality join."""
+    mid = segmented.where("segment = 'mid'").select("symbol", F.pmod(F.xxhash64("symbol"), F.lit(salts)).alias("_k"))
+    large = segmented.where("segment = 'large'").select(F.col("symbol").alias("clock_symbol"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_k"))
+    return mid.join(large, "_k").where("symbol <> clock_symbol").drop("_k")
 
 
 def missing_keys(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

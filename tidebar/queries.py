@@ -103,6 +103,27 @@ def mad_rolling_batch(spark, sf_dir):
     return rounded(ticks.mad_rolling(fixtures.ticks(spark, sf_dir), ["symbol"], "price", 5, 20, 2000).select("symbol", "seq", "price_median", "price_dev", "price_mad", "mad_outlier"))
 
 
+_MAD_TO = {"ROWS 4 PRECEDING": "ROWS 21 PRECEDING", ">= 5 THEN": ">= 22 THEN", ">= 15 THEN": ">= 66 THEN", "ROWS 19 PRECEDING": "ROWS 1110 PRECEDING", "* 2000": "* 11"}
+
+
+def _sql_mad(changes: dict[str, str]) -> str:
+    out = SQL_MAD_ROLLING
+    for a, b in changes.items():
+        out = out.replace(a, b)
+    return out
+
+
+@query(f"WITH {SQL_TICKS}, {_sql_mad(_MAD_TO)} SELECT symbol, seq, round(price_median, 6) AS price_median, round(price_dev, 6) AS price_dev, round(price_mad, 6) AS price_mad, mad_outlier FROM b5")
+def mad_rolling_batch_wide(spark, sf_dir):
+    """The usual windows, 22 and 1,111 rows: sorted windows that move along."""
+    return rounded(ticks.mad_rolling(fixtures.ticks(spark, sf_dir), ["symbol"]).select("symbol", "seq", "price_median", "price_dev", "price_mad", "mad_outlier"))
+
+
+@query(f"WITH {SQL_TICKS}, {_sql_mad({'ROWS 4 PRECEDING': 'ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING', 'ROWS 19 PRECEDING': 'ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING'})} SELECT symbol, seq, round(price_median, 6) AS price_median, round(price_mad, 6) AS price_mad, mad_outlier FROM b5")
+def mad_rolling_centred(spark, sf_dir):
+    return rounded(ticks.mad_rolling(fixtures.ticks(spark, sf_dir), ["symbol"], "price", 5, 20, 2000, centred=True).select("symbol", "seq", "price_median", "price_mad", "mad_outlier"))
+
+
 @query(f"""WITH {SQL_TICKS}, {SQL_MAD_ROLLING} SELECT symbol, seq,
   CASE WHEN mad_outlier THEN 'filtered: MAD outlier' WHEN place <= 15 THEN 'filtered: MAD warm-up' WHEN volume = 0 THEN 'filtered: zero volume'
        WHEN cond IN (2, 5, 7, 10, 13, 15, 16, 20, 21, 22, 29, 33, 38, 52, 53) THEN 'filtered: irregular condition'
@@ -165,6 +186,9 @@ def weighted_median(spark, sf_dir):
     return bars.weighted_median(fixtures.ticks(spark, sf_dir), ["symbol"])
 
 
+SQL_JT = f"""{sql_jma('sided', 'symbol', 'price', JMA_WIN, JMA_POWER)}, jt AS (SELECT s.*, j.jma AS price_jma, epoch_us(ts) AS us FROM sided s JOIN j USING (symbol, rn))"""
+
+
 def sql_quantiles(source: str, keys: str, name: str = "wq", prefix: str = "") -> str:
     """Tables that end in name(keys, quantile columns)."""
     each = ", ".join(f"(coalesce(min(CASE WHEN s > {p} * a THEN price END), max(price)) + min(CASE WHEN s >= {p} * a THEN price END)) / 2 AS {prefix}{q}" for q, p in bars.QUANTILES.items())
@@ -200,7 +224,17 @@ g AS (SELECT symbol, date, bin, count(*) AS n, sum(volume) AS v, sum(side) AS sd
 SELECT symbol, date, bin, CAST(coalesce(n, 0) AS BIGINT) AS tick_count, CAST(coalesce(v, 0) AS BIGINT) AS volume, CAST(coalesce(sd, 0) AS BIGINT) AS side, round(p, 6) AS price, h AS price_high, l AS price_low, round(h - l, 6) AS price_range,
   date + to_minutes(570 + bin * 30) AS open_at, date + to_minutes(600 + bin * 30) AS close_at FROM spine LEFT JOIN g USING (symbol, date, bin)""", date=True)
 def timebin_bars(spark, sf_dir):
-    return rounded(bars.time_bins(sided(spark, sf_dir), ["symbol"], 30))
+    return rounded(bars.time_bins(sided(spark, sf_dir), ["symbol"], 1800))
+
+
+@query(f"""WITH RECURSIVE {SQL_TICKS}, {SQL_SIDED}, {SQL_JT}, {SQL_LOCAL.replace('FROM ticks', 'FROM jt')}, i AS (SELECT *, CAST(local_ts AS DATE) AS date, CAST((s - 34200) // 100 AS INTEGER) AS bin FROM (SELECT *, {_M} * 60 + CAST(second(local_ts) AS INTEGER) AS s FROM local) WHERE s >= 34200 AND s < 57600),
+spine AS (SELECT symbol, date, CAST(b AS INTEGER) AS bin FROM (SELECT DISTINCT symbol, date FROM i), (SELECT unnest(range(234)) AS b)),
+mean AS (SELECT symbol, date, bin, count(*) AS n, CASE WHEN count(*) = 1 THEN min(price) ELSE sum(price * volume) / nullif(sum(volume), 0) END AS p, CASE WHEN count(*) = 1 THEN min(price_jma) ELSE sum(price_jma * volume) / nullif(sum(volume), 0) END AS j FROM i GROUP BY ALL)
+SELECT symbol, date, bin, CAST(coalesce(n, 0) AS BIGINT) AS tick_count, round(p, 6) AS price, round(j, 6) AS price_jma, date + to_seconds(34200 + bin * 100) AS open_at FROM spine LEFT JOIN mean USING (symbol, date, bin)""", date=True)
+def second_bins(spark, sf_dir):
+    """Bins of 100 seconds, with the volume-weighted average of the ticks' moving average."""
+    out = bars.time_bins(fold_jma(sided(spark, sf_dir)), ["symbol"], 100)
+    return rounded(out.select("symbol", "date", "bin", "tick_count", "price", "price_jma", "open_at"))
 
 
 # --- sampled bars ------------------------------------------------------------------------------------------------------------
@@ -238,9 +272,6 @@ def sql_sampler(t: Thresholds, source: str = "jt", name: str = "cut") -> str:
     return f"{name} AS ({first} UNION ALL {later})"
 
 
-SQL_JT = f"""{sql_jma('sided', 'symbol', 'price', JMA_WIN, JMA_POWER)}, jt AS (SELECT s.*, j.jma AS price_jma, epoch_us(ts) AS us FROM sided s JOIN j USING (symbol, rn))"""
-
-
 def sql_bars(t: Thresholds) -> str:
     """Tables that end in sb: sampled bars."""
     return f"""{SQL_TICKS}, {SQL_SIDED}, {SQL_JT}, {sql_sampler(t)},
@@ -289,6 +320,9 @@ def imbalance_runs(spark, sf_dir):
 
 SQL_DAYBARS = """db AS (SELECT symbol, CAST(ts AS DATE) AS date, CAST(ts AS DATE) - DATE '1970-01-01' AS bar_id, min(ts) AS open_at, max(ts) AS close_at, count(*) AS tick_count, first(price ORDER BY ts, seq) AS price_open,
   last(price ORDER BY ts, seq) AS price_close, max(price) AS price_high, min(price) AS price_low, last(price ORDER BY ts, seq) - first(price ORDER BY ts, seq) AS price_return, max(price) - min(price) AS price_range FROM ticks GROUP BY ALL)"""
+#: The clocks of synchronised bars: day bars of the symbols in the large segment.
+SQL_CLOCKS = """dv AS (SELECT symbol, avg(v) AS d FROM (SELECT symbol, sum(price * volume) AS v FROM ticks GROUP BY symbol, CAST(ts AS DATE)) GROUP BY symbol),
+large AS (SELECT db.* FROM db JOIN dv USING (symbol) WHERE d > (SELECT quantile_cont(d, 0.8) FROM dv) AND tick_count >= 2)"""
 
 
 def day_bars(spark, sf_dir) -> DataFrame:
@@ -297,12 +331,20 @@ def day_bars(spark, sf_dir) -> DataFrame:
     return bars.summary(t, ["symbol", "date"]).withColumn("bar_id", F.unix_date("date").cast("long"))
 
 
-@query(f"""WITH {SQL_TICKS}, {SQL_DAYBARS}, large AS (SELECT * FROM db WHERE symbol % 10 = 0 AND tick_count >= 2), t AS (SELECT *, CAST(ts AS DATE) AS date FROM ticks),
+def clocks(spark, sf_dir) -> DataFrame:
+    """Day bars of two ticks or more of the large symbols."""
+    b = day_bars(spark, sf_dir)
+    daily = b.select("symbol", F.col("dollar_value").alias("dollar_total"), (F.col("price_range") / F.col("price_vwap")).alias("range_value_pct"))
+    large = universe.segments(daily).where("segment = 'large'").select("symbol")
+    return b.where("tick_count >= 2").join(large, "symbol", "left_semi")
+
+
+@query(f"""WITH {SQL_TICKS}, {SQL_DAYBARS}, {SQL_CLOCKS}, t AS (SELECT *, CAST(ts AS DATE) AS date FROM ticks),
 i AS (SELECT c.symbol AS clock_symbol, c.date, c.open_at AS clock_open_at, c.close_at AS clock_close_at, t.symbol, t.ts, t.seq, t.price, t.volume FROM large c JOIN t ON c.date = t.date AND t.ts > c.open_at AND t.ts <= c.close_at AND t.symbol <> c.symbol)
 SELECT clock_symbol, date, clock_open_at, symbol, count(*) AS tick_count, CAST(sum(volume) AS BIGINT) AS volume, round(sum(price * volume), 4) AS dollar_value, round(last(price ORDER BY ts, seq) - first(price ORDER BY ts, seq), 6) AS price_return, min(ts) AS open_at, max(ts) AS close_at FROM i GROUP BY clock_symbol, date, clock_open_at, symbol""", date=True)
 def sync_bars(spark, sf_dir):
     t = fixtures.ticks(spark, sf_dir).withColumn("date", F.to_date("ts"))
-    clock = day_bars(spark, sf_dir).where("tick_count >= 2")
+    clock = clocks(spark, sf_dir)
     out = bars.synchronised(clock, t, "date", DAY // 8)
     return out.select("clock_symbol", "date", "clock_open_at", "symbol", "tick_count", "volume", r("dollar_value", 4).alias("dollar_value"), r("price_return").alias("price_return"), "open_at", "close_at")
 
@@ -312,6 +354,7 @@ def sync_bars(spark, sf_dir):
 HORIZON = 10 * 24 * 60
 REWARDS = (0.5, 1.0, 1.5, 2.0)
 RISK = 60.0
+LABEL_JMA = 3
 
 
 @query(f"""WITH {SQL_TICKS}, {SQL_DAYBARS} SELECT b.symbol, b.bar_id, count(*) AS n, min(t.ts) AS first_at, max(t.ts) AS last_at FROM db b JOIN ticks t ON t.symbol = b.symbol AND t.ts >= b.close_at + INTERVAL 3 SECOND AND t.ts < b.close_at + INTERVAL {HORIZON} MINUTE GROUP BY b.symbol, b.bar_id""")
@@ -320,15 +363,23 @@ def label_window_ticks(spark, sf_dir):
     return inside.groupBy("symbol", "bar_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
 
 
+SQL_LABEL_TICKS = f"{SQL_TICKS}, {SQL_SIDED}, {sql_jma('sided', 'symbol', 'price', LABEL_JMA, 1)}, lt AS (SELECT s.*, j.jma FROM sided s JOIN j USING (symbol, rn))"
+
+
+def label_ticks(spark, sf_dir) -> DataFrame:
+    """Ticks with their moving average: barriers are measured on it, from the first price."""
+    return folds.fold(fixtures.ticks(spark, sf_dir), ["symbol"], ["ts", "seq"], ["price"], lambda: _jma_now(folds.JMA(LABEL_JMA, 1)), {"price_jma": "double"})
+
+
 def _sql_barrier() -> str:
-    at = ", ".join(f"min(CASE WHEN price >= entry + {RISK * x} THEN ts END) AS long_{k}, min(CASE WHEN price <= entry - {RISK * x} THEN ts END) AS short_{k}" for k, x in enumerate(REWARDS))
+    at = ", ".join(f"min(CASE WHEN jma >= entry + {RISK * x} THEN ts END) AS long_{k}, min(CASE WHEN jma <= entry - {RISK * x} THEN ts END) AS short_{k}" for k, x in enumerate(REWARDS))
     best = {s: "CASE " + " ".join(f"WHEN {s}_{k} IS NOT NULL AND ({s}_stop IS NULL OR {s}_{k} < {s}_stop) THEN {REWARDS[k]}" for k in reversed(range(len(REWARDS)))) + " END" for s in ("long", "short")}
     when = {s: "CASE " + " ".join(f"WHEN {s}_{k} IS NOT NULL AND ({s}_stop IS NULL OR {s}_{k} < {s}_stop) THEN {s}_{k}" for k in reversed(range(len(REWARDS)))) + f" ELSE coalesce({s}_stop, label_end_at) END" for s in ("long", "short")}
     kind = lambda s: f"CASE WHEN {s}_best IS NOT NULL THEN 'profit' WHEN {s}_stop IS NOT NULL THEN 'stop' ELSE 'neutral' END"
-    return f"""WITH {SQL_TICKS}, {SQL_DAYBARS},
-i AS (SELECT b.symbol, b.bar_id, b.close_at, b.close_at + INTERVAL {HORIZON} MINUTE AS label_end_at, t.ts, t.price, first_value(t.price) OVER (PARTITION BY b.symbol, b.bar_id ORDER BY t.ts, t.seq) AS entry
-  FROM db b JOIN ticks t ON t.symbol = b.symbol AND t.ts >= b.close_at + INTERVAL 3 SECOND AND t.ts < b.close_at + INTERVAL {HORIZON} MINUTE),
-h AS (SELECT symbol, bar_id, min(close_at) AS label_start_at, min(label_end_at) AS label_end_at, min(CASE WHEN price < entry - {RISK} THEN ts END) AS long_stop, min(CASE WHEN price > entry + {RISK} THEN ts END) AS short_stop, {at} FROM i GROUP BY symbol, bar_id),
+    return f"""WITH RECURSIVE {SQL_LABEL_TICKS}, {SQL_DAYBARS},
+i AS (SELECT b.symbol, b.bar_id, b.close_at, b.close_at + INTERVAL {HORIZON} MINUTE AS label_end_at, t.ts, t.price, t.jma, first_value(t.price) OVER (PARTITION BY b.symbol, b.bar_id ORDER BY t.ts, t.seq) AS entry
+  FROM db b JOIN lt t ON t.symbol = b.symbol AND t.ts >= b.close_at + INTERVAL 3 SECOND AND t.ts < b.close_at + INTERVAL {HORIZON} MINUTE),
+h AS (SELECT symbol, bar_id, min(close_at) AS label_start_at, min(label_end_at) AS label_end_at, min(CASE WHEN jma < entry - {RISK} THEN ts END) AS long_stop, min(CASE WHEN jma > entry + {RISK} THEN ts END) AS short_stop, {at} FROM i GROUP BY symbol, bar_id),
 k AS (SELECT *, {best['long']} AS long_best, {best['short']} AS short_best, {when['long']} AS long_at, {when['short']} AS short_at FROM h),
 l AS (SELECT *, {kind('long')} AS lk, {kind('short')} AS sk FROM k),
 o AS (SELECT *, CASE WHEN lk = 'profit' AND sk = 'stop' THEN 'long' WHEN sk = 'profit' AND lk = 'stop' THEN 'short' WHEN lk <> 'profit' AND sk <> 'profit' THEN 'neutral' END AS label_side FROM l)
@@ -340,7 +391,7 @@ FROM db LEFT JOIN o USING (symbol, bar_id)"""
 
 @query(_sql_barrier())
 def triple_barrier_labels(spark, sf_dir):
-    t = fixtures.ticks(spark, sf_dir).withColumn("price_jma", F.col("price"))
+    t = label_ticks(spark, sf_dir)
     b = day_bars(spark, sf_dir).select("symbol", "bar_id", "close_at")
     return labels.triple_barrier(b, t, ["symbol"], RISK, HORIZON, 5 * DAY, REWARDS).drop("close_at")
 
@@ -502,16 +553,16 @@ def details_semi_filter(spark, sf_dir):
 
 @query(f"WITH {SQL_FILTERS} " + " UNION ALL ".join(f"SELECT {k} AS step_no, '{n}' AS step, count(*) AS rows, count(DISTINCT symbol) AS symbols FROM {t}" for k, (n, t) in enumerate((("all", "nd"), ("all_dates", "s1"), ("liquid", "s2"), ("volatile", "s3"), ("above", "s4"), ("described", "s5")))))
 def filter_market_counts(spark, sf_dir):
-    return universe.step_counts(universe.steps(market(spark, sf_dir), fixtures.details(spark, sf_dir), **_FILTER))
+    return universe.step_counts(universe.symbol_steps(market(spark, sf_dir), fixtures.details(spark, sf_dir), **_FILTER))
 
 
-@query(f"WITH {SQL_UNIVERSE}, m AS (SELECT symbol, median(range_value_pct) AS x, median(dollar_total) AS y FROM nd GROUP BY symbol) SELECT m.symbol, name, type, sector, industry, round(x, 6) AS range_value_pct_median, round(y, 3) AS dollar_total_median FROM (SELECT * FROM details WHERE symbol % 2 = 0) d RIGHT JOIN m ON d.symbol = m.symbol")
+@query(f"WITH {SQL_UNIVERSE}, m AS (SELECT symbol, median(range_value_pct) AS x, median(dollar_total) AS y FROM nd GROUP BY symbol) SELECT m.symbol, name, type, sector, industry, round(x, 6) AS range_value_pct_median, round(y, 3) AS dollar_total_median FROM details d RIGHT JOIN m ON d.symbol = m.symbol")
 def symbol_stats_right_join(spark, sf_dir):
     out = universe.symbol_stats(market(spark, sf_dir), fixtures.details(spark, sf_dir))
     return out.select("symbol", "name", "type", "sector", "industry", r("range_value_pct_median").alias("range_value_pct_median"), r("dollar_total_median", 3).alias("dollar_total_median"))
 
 
-SQL_RETURNS = f"""{SQL_UNIVERSE}, c0 AS (SELECT symbol, date, close AS value FROM nd WHERE symbol <= 8), c1 AS (SELECT * FROM c0 SEMI JOIN (SELECT date FROM c0 GROUP BY date HAVING count(*) = (SELECT count(DISTINCT symbol) FROM c0)) USING (date)),
+SQL_RETURNS = f"""{SQL_UNIVERSE}, c0 AS (SELECT symbol, date, close AS value FROM nd SEMI JOIN (SELECT symbol FROM nd GROUP BY symbol HAVING count(open) >= (SELECT max(n) FROM (SELECT count(*) AS n FROM nd GROUP BY symbol))) USING (symbol)), c1 AS (SELECT * FROM c0 SEMI JOIN (SELECT date FROM c0 GROUP BY date HAVING count(*) = (SELECT count(DISTINCT symbol) FROM c0)) USING (date)),
 c2 AS (SELECT *, value - lag(value) OVER w AS diff, ln(value) - ln(lag(value) OVER w) AS log_return FROM c1 WINDOW w AS (PARTITION BY symbol ORDER BY date)), c3 AS (SELECT * FROM c2 WHERE log_return IS NOT NULL),
 c4 AS (SELECT *, (log_return - avg(log_return) OVER (PARTITION BY symbol)) / nullif(stddev_pop(log_return) OVER (PARTITION BY symbol), 0) AS zscore FROM c3),
 rt AS (SELECT *, greatest(least(zscore, 4), -4) + tanh(zscore - greatest(least(zscore, 4), -4)) AS squeezed FROM c4)"""
@@ -611,7 +662,7 @@ def top_clusters(spark, sf_dir):
     return rounded(cluster.top_clusters(m, 5, 0.25, 5))
 
 
-@query(f"WITH {SQL_UNIVERSE} SELECT date, {', '.join(f'round(max(CASE WHEN symbol = {k} THEN close END), 4) AS s{k}' for k in range(1, 6))} FROM nd WHERE symbol <= 5 GROUP BY date", date=True)
+@query(f"PIVOT (WITH {SQL_UNIVERSE} SELECT date, 's' || symbol AS symbol, close FROM nd) ON symbol USING round(max(close), 4) GROUP BY date", date=True)
 def price_pivot(spark, sf_dir):
     """A column for every symbol; the driver gets their list, as columns need names."""
     rows = market(spark, sf_dir)
@@ -716,7 +767,22 @@ def ewm_span(spark, sf_dir):
     return _folded(spark, sf_dir, folds.ewm_step(24), "ewm")
 
 
-@query(None, date=True)
+def _sql_sar(first: float = 0.02, step: float = 0.02, most: float = 0.2) -> str:
+    cols = "symbol, date, rn, price_high, price_low, h1, l1"
+    x = lambda v: f"{v!r}::DOUBLE"
+    return f"""WITH RECURSIVE {SQL_TICKS}, {SQL_DAYBARS}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS rn FROM db),
+w AS (SELECT symbol, date, rn, price_high, price_low, NULL::DOUBLE AS h1, NULL::DOUBLE AS l1, true AS up, price_low AS stop, price_high AS best, {x(first)} AS factor FROM o WHERE rn = 1
+UNION ALL SELECT {cols}, CASE WHEN through THEN NOT up ELSE up END, CASE WHEN through THEN best ELSE stop END,
+  CASE WHEN through THEN CASE WHEN up THEN price_low ELSE price_high END WHEN up THEN greatest(best, price_high) ELSE least(best, price_low) END,
+  CASE WHEN through THEN {x(first)} WHEN CASE WHEN up THEN price_high > best ELSE price_low < best END THEN least(factor + {x(step)}, {x(most)}) ELSE factor END
+FROM (SELECT *, CASE WHEN up THEN price_low < stop ELSE price_high > stop END AS through FROM (
+  SELECT s.symbol, s.date, s.rn, s.price_high, s.price_low, p.price_high AS h1, p.price_low AS l1, p.up, p.best, p.factor,
+    CASE WHEN p.up THEN least(p.stop + p.factor * (p.best - p.stop), p.price_low, p.l1) ELSE greatest(p.stop + p.factor * (p.best - p.stop), p.price_high, p.h1) END AS stop
+  FROM w p JOIN o s ON s.symbol = p.symbol AND s.rn = p.rn + 1)))
+SELECT symbol, date, round(stop, 6) AS sar FROM w"""
+
+
+@query(_sql_sar(), date=True)
 def parabolic_sar(spark, sf_dir):
     b = day_bars(spark, sf_dir)
     return rounded(folds.fold(b, ["symbol"], ["date"], ["price_high", "price_low"], folds.sar_step(), {"sar": "double"}).select("symbol", "date", "sar"))
@@ -745,7 +811,7 @@ def fracdiff_correlation(spark, sf_dir):
 
 @query(f"WITH l AS ({_sql_barrier()}) SELECT CAST(label_start_at AS DATE) AS date, {', '.join(f'''round(avg(CASE WHEN label_outcome = '{v}' THEN 1.0::DOUBLE ELSE 0 END), 6) AS {v}''' for v in ('profit', 'neutral', 'unknown'))} FROM l GROUP BY 1", date=True)
 def label_fractions(spark, sf_dir):
-    t = fixtures.ticks(spark, sf_dir).withColumn("price_jma", F.col("price"))
+    t = label_ticks(spark, sf_dir)
     out = labels.triple_barrier(day_bars(spark, sf_dir).select("symbol", "bar_id", "close_at"), t, ["symbol"], RISK, HORIZON, 5 * DAY, REWARDS)
     return rounded(features.fractions(out.withColumn("date", F.to_date("label_start_at")), ["date"], "label_outcome", ["profit", "neutral", "unknown"]))
 
@@ -772,10 +838,10 @@ def day_candles(spark, sf_dir):
     return out.select("symbol", F.col("window.start").cast("timestamp_ntz").alias("start"), "open", "high", "low", "close", "volume")
 
 
-@query(f"WITH {SQL_TICKS}, {SQL_DAYBARS}, large AS (SELECT * FROM db WHERE symbol % 25 = 0 AND tick_count >= 2), t AS (SELECT *, CAST(ts AS DATE) AS date FROM ticks), i AS (SELECT c.symbol AS clock_symbol, c.date, t.symbol, t.ts, t.seq, t.price, t.volume FROM large c JOIN t ON c.date = t.date AND t.ts > c.open_at AND t.ts <= c.close_at AND t.symbol <> c.symbol) SELECT clock_symbol, date, symbol, CAST(sum(volume) * count(*) AS DOUBLE) AS dollar_value, round(first(price ORDER BY ts, seq) - last(price ORDER BY ts, seq), 6) AS price_return FROM i GROUP BY clock_symbol, date, symbol", date=True)
+@query(f"WITH {SQL_TICKS}, {SQL_DAYBARS}, {SQL_CLOCKS}, t AS (SELECT *, CAST(ts AS DATE) AS date FROM ticks), i AS (SELECT c.symbol AS clock_symbol, c.date, t.symbol, t.ts, t.seq, t.price, t.volume FROM large c JOIN t ON c.date = t.date AND t.ts > c.open_at AND t.ts <= c.close_at AND t.symbol <> c.symbol) SELECT clock_symbol, date, symbol, CAST(sum(volume) * count(*) AS DOUBLE) AS dollar_value, round(first(price ORDER BY ts, seq) - last(price ORDER BY ts, seq), 6) AS price_return FROM i GROUP BY clock_symbol, date, symbol", date=True)
 def sync_bars_legacy(spark, sf_dir):
     t = fixtures.ticks(spark, sf_dir).withColumn("date", F.to_date("ts"))
-    clock = day_bars(spark, sf_dir).where("tick_count >= 2")
+    clock = clocks(spark, sf_dir)
     return bars.synchronised(clock, t, "date", DAY // 8, legacy=True).select("clock_symbol", "date", "symbol", "dollar_value", r("price_return").alias("price_return"))
 
 
