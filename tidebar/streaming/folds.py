@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebar.operators.folds import JMA, MAD, BarSampler, Thresholds
-from tidebar.operators.ticks import IRREGULAR
+from tidebar.operators.ticks import IRREGULAR, with_session
 
-STATE = "state string, last_ts long, last_seq long"
+STATE = "known string, us long, seq long"
+OUT = "symbol long, date date, seq long, us long, price double, volume long, status string, price_jma double, side int, bar_id long, bar_trigger string"
 
 
 class TickChain:
@@ -34,8 +35,8 @@ class TickChain:
         s = self.sampler
         return {"windows": [list(self.mad.values.past), list(self.mad.deviations.past)], "seen": self.mad.seen, "jma": self.jma.state, "price": self.price, "side": self.side, "bar": s.bar, "last_return": s.last_return, "open": s.open}
 
-    def __call__(self, us: int, price: float, volume: int, conditions, exchange_us: int | None) -> dict:
-        """status, and for clean ticks price_jma, side, bar_id and bar_trigger."""
+    def __call__(self, us: int, price: float, volume: int, conditions, exchange_us: int | None, session: str = "market-open") -> dict:
+        """status (clean with the session), and for clean ticks price_jma, side, bar_id and bar_trigger."""
         _, _, mad_status = self.mad(price)
         if volume is None or volume < 1:
             status = "filtered: zero volume"
@@ -46,9 +47,9 @@ class TickChain:
         elif mad_status != "mad_clean":
             status = f"filtered: {mad_status}"
         else:
-            status = "clean"
+            status = f"clean: {session}"
         out = {"status": status, "price_jma": None, "side": None, "bar_id": None, "bar_trigger": None}
-        if status == "clean":
+        if status.startswith("clean"):
             if self.price is not None and price != self.price:
                 self.side = 1 if price > self.price else -1
             self.price = price
@@ -58,36 +59,41 @@ class TickChain:
         return out
 
 
-def tick_stream(ticks: DataFrame, thresholds: Thresholds, mad: tuple[int, int, float] = (22, 333, 11), jma: tuple[int, float] = (7, 1)) -> DataFrame:
-    """symbol, ts, seq, price, volume, status, price_jma, side, bar_id and bar_trigger of each tick of a stream (or a batch).
+def tick_stream(ticks: DataFrame, thresholds: Thresholds, mad: tuple[int, int, float] = (22, 333, 11), jma: tuple[int, float] = (7, 1), keep_hours: int = 48, late: str = "10 minutes") -> DataFrame:
+    """symbol, date, ts, seq, price, volume, status, price_jma, side, bar_id and bar_trigger of each tick of a stream.
 
-    Rows of a micro-batch are put in order of (ts, seq); a tick that is not later than the last one handled is dropped as
-    late. A key's state is a few windows and one open bar, whatever the stream's length.
+    As in a batch run, filters, averages and bars start anew with each symbol and local date, and a clean tick's status has
+    its session. Rows of a micro-batch are put in order of (ts, seq); a tick that is not later than the last one handled is
+    dropped as late, as are ticks behind the watermark. The state is a few windows and one open bar for each symbol and date;
+    it goes when the watermark has passed its last tick by keep_hours. A task holds one symbol's ticks of a micro-batch. Prices must not be null.
     """
-    rows = ticks.select("symbol", "seq", "price", "volume", "conditions", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.unix_micros(F.col("exchange_ts").cast("timestamp")).alias("exchange_us"))
-    schema = "symbol long, seq long, us long, price double, volume long, status string, price_jma double, side int, bar_id long, bar_trigger string"
-    names = [c.split()[0] for c in schema.split(", ")]
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    rows = with_session(ticks).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).select("at", "symbol", F.to_date("local_ts").alias("date"), "seq", "price", "volume", "conditions", us("ts").alias("us"), us("exchange_ts").alias("exchange_us"), "session")
+    names = [c.split()[0] for c in OUT.split(", ")]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         known, last = None, (-(1 << 62), -1)
         if state.exists:
             text, *last = state.get
             known, last = json.loads(text), tuple(last)
         chain = TickChain(thresholds, mad, jma, known)
-        pdf = pd.concat(list(batches)).sort_values(["us", "seq"], kind="stable")
         out = []
-        for seq, price, volume, conditions, us, exchange_us in pdf[["seq", "price", "volume", "conditions", "us", "exchange_us"]].itertuples(index=False):
+        batch = pd.concat(list(batches)).sort_values(["us", "seq"], kind="stable")
+        for seq, price, volume, conditions, us, exchange_us, session in batch[["seq", "price", "volume", "conditions", "us", "exchange_us", "session"]].itertuples(index=False):
             if (us, seq) <= last:
                 continue
             last = (int(us), int(seq))
-            got = chain(int(us), float(price), None if pd.isna(volume) else int(volume), conditions, None if pd.isna(exchange_us) else int(exchange_us))
-            out.append({"symbol": key[0], "seq": seq, "us": us, "price": price, "volume": volume, **got})
+            got = chain(int(us), float(price), None if pd.isna(volume) else int(volume), conditions, None if pd.isna(exchange_us) else int(exchange_us), session)
+            out.append({"symbol": key[0], "date": key[1], "seq": seq, "us": us, "price": price, "volume": volume, **got})
         state.update((json.dumps(chain.known()), *last))
-        frame = pd.DataFrame(out, columns=names)
-        yield frame.astype({"side": "Int32", "bar_id": "Int64", "price_jma": "float64"})
+        state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + keep_hours * 3_600_000)
+        yield pd.DataFrame(out, columns=names).astype({"side": "Int32", "bar_id": "Int64", "price_jma": "float64"})
 
-    out = rows.groupBy("symbol").applyInPandasWithState(update, schema, STATE, "append", GroupStateTimeout.NoTimeout)
-    return out.select("symbol", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), *(c for c in names if c not in ("symbol", "us")))
+    out = rows.groupBy("symbol", "date").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("symbol", "date", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "seq", "price", "volume", "status", "price_jma", "side", "bar_id", "bar_trigger")
 
 
 def candles(ticks: DataFrame, width: str = "1 minute", late: str = "3 seconds") -> DataFrame:
