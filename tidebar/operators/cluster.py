@@ -72,13 +72,17 @@ def adjusted_mutual_information(rows: DataFrame, a: str, b: str, max_cells: int
 
 def cluster_metrics(labels: DataFrame, distances: DataFrame, details: DataFrame) -> DataFrame:
     """Per cluster: size, mean similarity (1 - the mean over members of their mean distance, zeros left out), purity of
-    sector and industry (one over the number of values), and the most frequent of each (the least of ties)."""
+    sector and industry (one over the number of values), and the most frequent of each (the least of ties); with the members'
+    symbols in order, their names if details has them, and the means of range_value_pct and dollar_total if it has those."""
+    have = set(details.columns)
+    more = [F.array_sort(F.collect_list("symbol")).alias("symbols")] + ([F.transform(F.array_sort(F.collect_list(F.struct("symbol", "name"))), lambda x: x["name"]).alias("names")] if "name" in have else [])
+    more += [F.avg(c).alias(f"{c}_mean") for c in ("range_value_pct", "dollar_total") if c in have]
     both = distances.select("a", "b", "distance").unionByName(distances.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     la, lb = labels.select(F.col("symbol").alias("a"), F.col("cluster")), labels.select(F.col("symbol").alias("b"), F.col("cluster").alias("cb"))
     near = both.join(la, "a").join(lb, "b").where("cluster = cb").groupBy("cluster", "b").agg(F.avg(F.nullif("distance", F.lit(0.0))).alias("m")).groupBy("cluster").agg((1 - F.avg("m")).alias("similarity"))
     info = labels.join(details, "symbol", "left").groupBy("cluster").agg(
         F.count("*").alias("size"), (1 / F.nullif(F.count_distinct("sector"), F.lit(0))).alias("sector_purity"), (1 / F.nullif(F.count_distinct("industry"), F.lit(0))).alias("industry_purity"),
-        F.mode("sector", True).alias("top_sector"), F.mode("industry", True).alias("top_industry"),
+        F.mode("sector", True).alias("top_sector"), F.mode("industry", True).alias("top_industry"), *more,
     )
     return info.join(near, "cluster", "left")
 

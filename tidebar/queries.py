@@ -631,13 +631,16 @@ _SECTORS = "lb AS (SELECT symbol, CAST(symbol % 3 AS INTEGER) AS cluster FROM (S
 nr AS (SELECT cluster, 1 - avg(m) AS similarity FROM (SELECT x.cluster, bt.b, avg(nullif(distance, 0)) AS m FROM bt JOIN lb x ON x.symbol = bt.a JOIN lb y ON y.symbol = bt.b WHERE x.cluster = y.cluster GROUP BY x.cluster, bt.b) GROUP BY cluster),
 cn AS (SELECT cluster, sector, count(*) AS n FROM lb LEFT JOIN details USING (symbol) GROUP BY ALL), ci AS (SELECT cluster, industry, count(*) AS n FROM lb LEFT JOIN details USING (symbol) GROUP BY ALL)
 SELECT lb.cluster, count(*) AS size, 1.0::DOUBLE / count(DISTINCT sector) AS sector_purity, 1.0::DOUBLE / count(DISTINCT industry) AS industry_purity, (SELECT sector FROM cn WHERE cn.cluster = lb.cluster ORDER BY n DESC, sector LIMIT 1) AS top_sector,
-  (SELECT industry FROM ci WHERE ci.cluster = lb.cluster ORDER BY n DESC, industry LIMIT 1) AS top_industry, round(any_value(similarity), 6) AS similarity FROM lb LEFT JOIN details USING (symbol) LEFT JOIN nr ON nr.cluster = lb.cluster GROUP BY lb.cluster""")
+  (SELECT industry FROM ci WHERE ci.cluster = lb.cluster ORDER BY n DESC, industry LIMIT 1) AS top_industry, string_agg(CAST(symbol AS VARCHAR), ',' ORDER BY symbol) AS symbols, string_agg(name, ',' ORDER BY symbol) AS names,
+  round(avg(x), 6) AS range_value_pct_mean, round(avg(y), 2) AS dollar_total_mean, round(any_value(similarity), 6) AS similarity FROM lb LEFT JOIN details USING (symbol) LEFT JOIN (SELECT symbol, median(range_value_pct) AS x, median(dollar_total) AS y FROM nd GROUP BY symbol) USING (symbol) LEFT JOIN nr ON nr.cluster = lb.cluster GROUP BY lb.cluster""")
 def cluster_metrics(spark, sf_dir):
     v = price_returns(spark, sf_dir)
     d = matrix.distances(v, "log_return").withColumn("distance", F.sqrt(F.abs((1 - F.abs(F.round("corr", 9))) / 2)))
     lab = v.select("symbol").distinct().withColumn("cluster", (F.col("symbol") % 3).cast("int"))
-    out = cluster.cluster_metrics(lab, d, fixtures.details(spark, sf_dir))
-    return out.withColumn("similarity", r("similarity"))
+    info = universe.symbol_stats(market(spark, sf_dir), fixtures.details(spark, sf_dir)).withColumnsRenamed({"range_value_pct_median": "range_value_pct", "dollar_total_median": "dollar_total"})
+    out = cluster.cluster_metrics(lab, d, info)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("cluster", "size", "sector_purity", "industry_purity", "top_sector", "top_industry", joined("symbols"), joined("names"), r("range_value_pct_mean").alias("range_value_pct_mean"), r("dollar_total_mean", 2).alias("dollar_total_mean"), r("similarity").alias("similarity"))
 
 
 @query("""WITH c AS (SELECT label AS a, vec_id % 4 AS b, count(*) AS n FROM embeddings GROUP BY ALL), x AS (SELECT sum(n * (n - 1) / 2) AS ij, sum(n) AS t FROM c), y AS (SELECT sum(n * (n - 1) / 2) AS i FROM (SELECT sum(n) AS n FROM c GROUP BY a)), z AS (SELECT sum(n * (n - 1) / 2) AS j FROM (SELECT sum(n) AS n FROM c GROUP BY b))
@@ -848,3 +851,36 @@ def sync_bars_legacy(spark, sf_dir):
 @query(f"WITH {SQL_SEGMENTS.replace('x > m', 'd > m')} SELECT symbol, segment FROM sg WHERE segment IS NOT NULL")
 def segment_symbols_legacy(spark, sf_dir):
     return universe.segments(market(spark, sf_dir), legacy=True).select("symbol", "segment")
+
+
+# --- vendors' answers -------------------------------------------------------------------------------------------------------------------
+
+
+def _raw_ticks(spark, sf_dir) -> DataFrame:
+    """Events as a vendor's trades: fields of one letter, epochs in nanoseconds."""
+    t = fixtures.ticks(spark, sf_dir)
+    ns = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 1000 + 7
+    return t.select(F.col("symbol"), ns("ts").alias("t"), ns("exchange_ts").alias("y"), F.col("seq").alias("q"), F.col("seq").cast("string").alias("i"), F.lit(4).alias("x"), F.col("price").alias("p"), F.col("volume").alias("s"), F.col("conditions").alias("c"), F.lit(3).alias("z"))
+
+
+_NS = "CAST(epoch_us({0}) * 1000 + 7 AS BIGINT)"
+
+
+@query(f"WITH {SQL_TICKS} SELECT symbol, seq AS sequence, CAST(seq AS VARCHAR) AS trade_id, 4 AS exchange_id, round(CAST(CAST(price AS FLOAT) AS DOUBLE), 4) AS price, volume AS size, cond AS condition, {_NS.format('ts')} AS sip_ns, ts AS sip_dt, exchange_ts AS exchange_dt FROM ticks")
+def trades_normalise(spark, sf_dir):
+    out = market_data.normalised_ticks(_raw_ticks(spark, sf_dir), "trades")
+    return out.select("symbol", "sequence", "trade_id", "exchange_id", r(F.col("price").cast("double"), 4).alias("price"), "size", F.col("conditions")[0].alias("condition"), "sip_ns", "sip_dt", "exchange_dt")
+
+
+@query(f"WITH {SQL_TICKS} SELECT symbol, seq AS sequence, round(CAST(CAST(price AS FLOAT) AS DOUBLE), 4) AS bid_price, round(CAST(CAST(price + 1 AS FLOAT) AS DOUBLE), 4) AS ask_price, volume AS bid_size, volume * 2 AS ask_size, 4 AS bid_exchange_id, 5 AS ask_exchange_id, ts AS sip_dt, exchange_ts AS exchange_dt FROM ticks")
+def quotes_normalise(spark, sf_dir):
+    raw = _raw_ticks(spark, sf_dir)
+    two = raw.select("symbol", "t", "y", "q", "x", F.lit(5), "p", F.col("p") + 1, "s", F.col("s") * 2).toDF("symbol", "t", "y", "q", "x", "X", "p", "P", "s", "S")
+    out = market_data.normalised_ticks(two, "quotes")
+    price = lambda c: r(F.col(c).cast("double"), 4).alias(c)
+    return out.select("symbol", "sequence", price("bid_price"), price("ask_price"), "bid_size", "ask_size", "bid_exchange_id", "ask_exchange_id", "sip_dt", "exchange_dt")
+
+
+@query(f"WITH {SQL_DAILY} SELECT symbol, CAST(date_trunc('quarter', date) AS DATE) AS date, first(open ORDER BY date) AS open, last(close ORDER BY date) AS close, max(high) AS high, min(low) AS low, CAST(sum(volume) AS BIGINT) AS volume, round(sum(vwap * volume) / sum(volume), 6) AS vwap FROM daily GROUP BY 1, 2", date=True)
+def daily_resampled(spark, sf_dir):
+    return market_data.resampled(fixtures.daily(spark, sf_dir), "quarter").withColumn("vwap", r("vwap", 6))

@@ -42,20 +42,42 @@ def read_first(spark: SparkSession, roots: list[str], fetch: Callable[[], DataFr
 
 
 def write(df: DataFrame, *roots: str, by: tuple[str, ...] = ("symbol", "date")) -> None:
-    """Replaces the partitions that df has rows of, in each place, and leaves the others: writing twice changes nothing."""
-    for root in roots:
-        df.repartition(*by).write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+    """Replaces the partitions that df has rows of, in each place, and leaves the others: writing twice changes nothing. For
+    several places the table is computed once and kept meanwhile."""
+    dealt = df.repartition(*by)
+    if len(roots) > 1:
+        dealt = dealt.persist()
+    try:
+        for root in roots:
+            dealt.write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+    finally:
+        if len(roots) > 1:
+            dealt.unpersist()
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path and bytes of every file under root, of whatever kind. Files are listed, not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", F.col("length").alias("bytes"))
 
 
 def keys(spark: SparkSession, root: str, *columns: str) -> DataFrame:
-    """Distinct partition values: list_symbols is keys(.., "symbol"), dates of a symbol keys(.., "date") with a filter."""
-    return read(spark, root).select(*(columns or ("symbol", "date"))).distinct()
+    """Distinct partition values as strings, from the files' paths: list_symbols is keys(.., "symbol"), dates of a symbol
+    keys(.., "date") with a filter."""
+    value = lambda c: F.url_decode(F.regexp_extract("path", f"/{c}=([^/]*)/", 1)).alias(c)
+    rows = listed(spark, root).where(F.col("path").endswith(".parquet") | F.col("path").endswith(".feather"))
+    return rows.select(*map(value, columns or ("symbol", "date"))).distinct()
 
 
 def sizes(spark: SparkSession, root: str) -> DataFrame:
     """path and bytes of each file, with the size as text."""
-    files = spark.read.option("basePath", root).parquet(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).distinct()
-    return files.withColumn("size", human_size(F.col("bytes")))
+    return listed(spark, root).withColumn("size", human_size(F.col("bytes")))
+
+
+def read_matching(spark: SparkSession, pattern: str, schema: str | None = None, **options) -> DataFrame:
+    """CSV files with a header that match a glob pattern, as one table, columns by name; without a schema types are inferred."""
+    reader = spark.read.options(header=True, enforceSchema=False, **options)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(pattern)
 
 
 def remove(spark: SparkSession, root: str, symbol: str, date: str | None = None) -> bool:
