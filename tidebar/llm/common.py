@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, \n, \v, \f and \r.
@@ -27,14 +29,36 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
     return spark.sparkContext.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a checkpoint in the shared folder."""
+    """Cut lineage with a checkpoint in the shared folder. Shuffle files stay on the executors' disks until the driver
+    happens to collect its garbage; as nothing needs those behind a checkpoint, it is asked to do so now."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: Column, id_col: str, text_col: str, max_labels: int, max_bytes: int) -> DataFrame:
+    """id, text and label of at most max_labels labelled documents of at most max_bytes in all, those with the least hashes
+    of their ids. Null ids and labels are left out; of several labels of an id the least counts; rows that repeat both id
+    and text are one document, and different texts of one id are documents of their own, within the same limits."""
+    order = [F.xxhash64("_id"), F.col("_id")]
+    some = labels.select(F.col(id_col).cast("long").alias("_id"), label.alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.min("_label").alias("_label"))
+    some = F.broadcast(some.orderBy(*order).limit(max_labels))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), text.alias("_text"), F.xxhash64(text).alias("_hash")).join(some, F.col("_doc") == F.col("_id")).drop("_doc")
+    sizes = rows.groupBy("_id", "_hash").agg(F.max(F.octet_length("_text").cast("long")).alias("_bytes")).orderBy(*order, "_hash").limit(max_labels)
+    upto = F.sum("_bytes").over(W.orderBy(*order, "_hash").rowsBetween(W.unboundedPreceding, 0))  # max_labels rows at most
+    picked = sizes.withColumn("_upto", upto).where(F.col("_upto") <= max_bytes).select(F.col("_id").alias("_p"), F.col("_hash").alias("_q"))
+    found = rows.join(F.broadcast(picked), (F.col("_id") == F.col("_p")) & (F.col("_hash") == F.col("_q")))
+    return found.groupBy("_id", "_hash").agg(F.min("_text").alias("text"), F.min("_label").alias("label")).select(F.col("_id").alias("id"), "text", "label")
 
 
 def word_count(text: Column) -> Column:

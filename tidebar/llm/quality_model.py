@@ -15,7 +15,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MEMORY = 200_000
+from tidebar.llm.common import labelled
+
+#: Words that a task remembers the features of, and how long a word may be to be remembered.
+_MEMORY, _WORD = 200_000, 64
 _STRIP = b".,;:!?'\"()[]{}-"
 _SYMBOLS = frozenset(b"#*$%&|<>")
 #: Shapes of words; a document has a feature for the share of its words (in tenths, rounded up) of each.
@@ -54,9 +57,9 @@ class Features:
         if len(self.known) > _MEMORY:
             self.known.clear()
         known = self.known
-        for w in set(words).difference(known):
-            known[w] = _word(w, self.bits)
-        rows = np.array([known[w] for w in words], np.int64).reshape(-1, 2 + len(PREFIXES))
+        long = {w: _word(w, self.bits) for w in set(words).difference(known)}
+        rows = np.array([known[w] if w in known else long[w] for w in words], np.int64).reshape(-1, 2 + len(PREFIXES))
+        known.update((w, x) for w, x in long.items() if len(w) <= _WORD)
         out = [np.unique(rows[:, :-1])]
         for k in range(len(SHAPES)):
             n = int((rows[:, -1] >> k & 1).sum())
@@ -72,64 +75,78 @@ class Model:
     thresholds: tuple[float, ...]
 
 
+def thresholds(par: np.ndarray) -> np.ndarray:
+    """Ordered thresholds of free parameters: the first as it is, the others by positive steps."""
+    return np.r_[par[0], par[0] + np.cumsum(np.exp(par[1:]))]
+
+
+def gradient(w: np.ndarray, par: np.ndarray, flat: np.ndarray, doc: np.ndarray, y: np.ndarray, decay: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss of the grades y (minus log likelihood, and half the decay times the squared weights), and its slopes along
+    w and par. flat, doc: a feature and its document, for every feature of every document."""
+    n, n_grades = len(y), len(par) + 1
+    theta, at = thresholds(par), np.arange(n)
+    s = np.bincount(doc, w[flat], minlength=n)
+    tail = 1 / (1 + np.exp(-np.clip(s[:, None] - theta, -30, 30)))
+    edge = np.c_[np.ones(n), tail, np.zeros(n)]
+    p = np.maximum(edge[at, y] - edge[at, y + 1], 1e-9)
+    slope = edge * (1 - edge)
+    up, down = slope[at, y] / p / max(n, 1), slope[at, y + 1] / p / max(n, 1)
+    g_w = np.bincount(flat, (down - up)[doc], minlength=len(w)) + decay * w
+    g_theta = np.zeros(n_grades - 1)
+    np.add.at(g_theta, y[y > 0] - 1, up[y > 0])
+    np.add.at(g_theta, y[y < n_grades - 1], -down[y < n_grades - 1])
+    g_par = np.r_[g_theta.sum(), np.cumsum(g_theta[:0:-1])[::-1] * np.exp(par[1:])]
+    return float(-np.log(p).sum() / max(n, 1) + decay * (w @ w) / 2), g_w, g_par
+
+
 def train(texts: list[str], grades: list[int], n_grades: int, bits: int, rounds: int = 150, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 5, min_z: float = 5.5) -> Model:
     """Full-batch Adam on the likelihood of the grades; deterministic. Only features of min_docs texts or more get a weight,
-    and only if their texts' mean grade lies min_z standard errors or more from the mean of all."""
+    and only if their texts' mean grade lies min_z standard errors or more from the mean of all. Without texts all weights
+    are 0 and every grade is as likely."""
+    size = (1 << bits) + 11 * len(SHAPES)
+    if not texts:
+        return Model(bits, np.zeros(size, "<f4").tobytes(), tuple(float(np.log(k / (n_grades - k))) for k in range(1, n_grades)))
     features = Features(bits)
     rows = [features(t) for t in texts]
-    size = (1 << bits) + 11 * len(SHAPES)
     y = np.array(grades, np.int64)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    flat = np.concatenate(rows)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     n = np.bincount(flat, minlength=size)
-    shift = np.bincount(flat, (y - y.mean())[doc], minlength=size) if len(y) else np.zeros(size)
-    often = (n >= min_docs) & (np.abs(shift) >= min_z * (y.std() if len(y) else 1.0) * np.sqrt(n))
+    shift = np.bincount(flat, (y - y.mean())[doc], minlength=size)
+    often = (n >= min_docs) & (np.abs(shift) >= min_z * y.std() * np.sqrt(n))
     flat, doc = flat[often[flat]], doc[often[flat]]
     w = np.zeros(size)
-    # thresholds: the first one free, the others by positive steps
-    share = [min(max((y >= k).mean() if len(y) else 0.5, 0.01), 0.99) for k in range(1, n_grades)]
+    share = [min(max((y >= k).mean(), 0.01), 0.99) for k in range(1, n_grades)]
     start = np.maximum.accumulate([-np.log(s / (1 - s)) for s in share])
     par = np.r_[start[0], np.log(np.maximum(np.diff(start), 0.1))]
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(par), np.zeros_like(par)]
-    each = np.full(len(y), 1 / max(len(y), 1))
     for t in range(1, rounds + 1):
-        theta = np.r_[par[0], par[0] + np.cumsum(np.exp(par[1:]))]
-        s = np.bincount(doc, w[flat], minlength=len(rows))
-        tail = 1 / (1 + np.exp(-np.clip(s[:, None] - theta, -30, 30)))
-        edge = np.c_[np.ones(len(s)), tail, np.zeros(len(s))]
-        p = np.maximum(edge[np.arange(len(s)), y] - edge[np.arange(len(s)), y + 1], 1e-9)
-        slope = edge * (1 - edge)
-        up, down = slope[np.arange(len(s)), y], slope[np.arange(len(s)), y + 1]
-        g_s = -(up - down) / p * each
-        g_w = np.bincount(flat, g_s[doc], minlength=size) + decay * w
-        g_theta = np.zeros(n_grades - 1)
-        np.add.at(g_theta, y[y > 0] - 1, (up / p * each)[y > 0])
-        np.add.at(g_theta, y[y < n_grades - 1], -(down / p * each)[y < n_grades - 1])
-        g_par = np.r_[g_theta.sum(), np.cumsum(g_theta[:0:-1])[::-1] * np.exp(par[1:])]
+        _, g_w, g_par = gradient(w, par, flat, doc, y, decay)
         for x, g, m, v in ((w, g_w, 0, 1), (par, g_par, 2, 3)):
             state[m] = 0.9 * state[m] + 0.1 * g
             state[v] = 0.999 * state[v] + 0.001 * g * g
             x -= rate * (state[m] / (1 - 0.9**t)) / (np.sqrt(state[v] / (1 - 0.999**t)) + 1e-8)
-    theta = np.r_[par[0], par[0] + np.cumsum(np.exp(par[1:]))]
-    return Model(bits, w.astype("<f4").tobytes(), tuple(map(float, theta)))
+    return Model(bits, w.astype("<f4").tobytes(), tuple(map(float, thresholds(par))))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_labels: int = 20_000, bits: int = 18, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from at most max_labels rated documents (those with the smallest hashes of their ids), trained in one task.
+def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, max_labels: int = 20_000, max_bytes: int = 1 << 27, bits: int = 18, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model from rated documents, at most max_labels of max_bytes in all (common.labelled says which), trained in one
+    task. What comes back to the driver are 2**bits weights.
 
-    ratings: id and grade (0 to n_grades - 1; null is ignored). What comes back to the driver are 2**bits weights.
+    ratings: id and grade. Null grades, and grades outside 0 to n_grades - 1, are left out. Without rated documents the
+    model says the same of every text.
     """
-    some = ratings.select(F.col(id_col).cast("long").alias("_id"), F.col("grade").cast("int").alias("_grade")).where("_id is not null and _grade is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.join(F.broadcast(some), F.col("id") == F.col("_id")).select("id", "text", F.col("_grade").alias("grade"))
+    grade = F.col("grade").cast("int")
+    known = labelled(docs, ratings.where(grade.between(0, n_grades - 1)), grade, id_col, text_col, max_labels, max_bytes)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["grade"].to_pylist()))
-        model = train([r[1] for r in rows], [r[2] for r in rows], n_grades, bits)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights], pa.binary()), pa.array([list(model.thresholds)], pa.list_(pa.float64()))], ["weights", "thresholds"])
+        rows = sorted(r for b in batches for r in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["label"].to_pylist()))
+        if rows:
+            model = train([r[1] for r in rows], [r[2] for r in rows], n_grades, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights], pa.binary()), pa.array([list(model.thresholds)], pa.list_(pa.float64()))], ["weights", "thresholds"])
 
     row = known.repartition(1).mapInArrow(learn, "weights binary, thresholds array<double>").first()
-    return Model(bits, bytes(row["weights"]), tuple(row["thresholds"]))
+    return Model(bits, bytes(row["weights"]), tuple(row["thresholds"])) if row else train([], [], n_grades, bits)
 
 
 def score(docs: DataFrame, model: Model, at_least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import U64, mix, window_hashes
+from tidebar.llm.common import U64, labelled, mix, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
@@ -158,20 +158,19 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 8, max_
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", **options) -> list[Rule]:
-    """Rules learned from at most max_labels labelled documents (those with the smallest hashes of their ids).
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_bytes: int = 1 << 27, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", **options) -> list[Rule]:
+    """Rules learned from labelled documents, at most max_labels of max_bytes in all (common.labelled says which).
 
-    labels: id and label (0 is bad, null is ignored). Documents that the base rules reject teach nothing.
+    labels: id and label (0 is bad, null is ignored). Documents that the base rules reject teach nothing; without labelled
+    documents there are no rules.
     """
-    some = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label")).where("_label is not null and _id is not null").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
-    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
-    known = rows.join(F.broadcast(some), F.col("_doc") == F.col("_id"))
-    stats = statistics(known, "_doc", "_text", ("_label",)).where("not base_failed")
-    rows = stats.select("doc_id", "_label", *(F.expr(e).alias(f) for f, e in FEATURES.items())).toPandas()
+    known = labelled(docs, labels, F.col(label_col), id_col, text_col, max_labels, max_bytes)
+    stats = statistics(known, "id", "text", ("label",)).where("not base_failed")
+    rows = stats.select("doc_id", "label", *(F.expr(e).alias(f) for f, e in FEATURES.items())).toPandas()
     if not len(rows):
         return []
     rows = rows.sort_values(["doc_id", *FEATURES]).reset_index(drop=True)
-    return learn({f: rows[f].to_numpy() for f in FEATURES}, rows["_label"].to_numpy() == 0, **options)
+    return learn({f: rows[f].to_numpy() for f in FEATURES}, rows["label"].to_numpy() == 0, **options)
 
 
 def verdict(rules: list[Rule]) -> Column:
