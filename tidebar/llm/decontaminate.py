@@ -59,10 +59,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     a row, the most similar and then the first is given. Windows at the ends of a text are cut there.
 
     Case is ignored in A-Z. Null and empty texts and items match nothing; a text shorter than a shingle is one shingle. Rows
-    with null or repeated ids are judged each on its own text (repeated rows give one result). Other columns are ignored.
+    with null or repeated ids are judged each on its own text (repeated rows give one result); items may have null or
+    repeated ids as well. Other columns are ignored.
     """
     items = benchmark.select(F.col(item_id_col).alias("item_id"), words(lowered(F.col(item_text_col))).alias("iw")).where(F.size("iw") > 0)
-    items = with_simhash(items.withColumn("n", F.size("iw")).withColumn("ish", shingle_hashes(F.col("iw"), size)), "iw", "ifp")
+    items = with_simhash(items.withColumn("n", F.size("iw")).withColumn("ih", F.xxhash64("iw")).withColumn("ish", shingle_hashes(F.col("iw"), size)), "iw", "ifp")
     marks = items.select("n", F.explode("ish").alias("h")).distinct()
     total, short = items.agg(F.sum("n"), F.collect_set(F.when(F.col("n") < size, F.col("n")))).first()
     marks = F.broadcast(marks) if (total or 0) <= BROADCAST_WORDS else marks
@@ -86,12 +87,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     windows = with_simhash(windows, "ww", "wfp")
     near = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda m: F.bit_count(m) <= RADIUS // BLOCKS)
     blocks = lambda fp: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _block(fp, k).alias("v")) for k in range(BLOCKS))))
-    index = items.select("item_id", "n", "ifp", blocks("ifp").alias("b")).select("item_id", "n", "ifp", "b.k", F.explode(F.transform(near, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
+    index = items.select("item_id", "ih", "n", "ifp", blocks("ifp").alias("b")).select("item_id", "ih", "n", "ifp", "b.k", F.explode(F.transform(near, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
     probe = windows.select("*", blocks("wfp").alias("b")).select("doc_id", "text_hash", "start", "n", "ww", "wfp", "b.k", "b.v")
     pairs = probe.join(index, ["n", "k", "v"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    pairs = pairs.dropDuplicates(["doc_id", "text_hash", "start", "item_id"])
+    pairs = pairs.dropDuplicates(["doc_id", "text_hash", "start", "item_id", "ih"])
     a, b = _numbered(shingle_hashes(F.col("ww"), size)), _numbered(F.col("ish"))
-    scored = pairs.join(items.select("item_id", "ish"), "item_id").withColumn("a", a).withColumn("b", b).withColumn("similarity", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
+    scored = pairs.join(items.select("ih", "ish").dropDuplicates(["ih"]), "ih").withColumn("a", a).withColumn("b", b).withColumn("similarity", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
     best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("start", F.size("ww").alias("n"), "similarity"), F.struct("similarity", -F.col("start"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.start").cast("long").alias("start_word"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"), "text_hash")
 
