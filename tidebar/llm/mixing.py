@@ -63,12 +63,16 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: rows of docs, all columns, each as often as mix_plan takes it."""
+    """The mix itself: rows of docs, all columns, each as often as mix_plan takes it.
+
+    Rows that are equal in id, source and text are told apart by a hash of the whole row, so that a task that runs again
+    takes the same ones.
+    """
     same = ["_id", "_source", "_hash"]
-    nth = F.row_number().over(W.partitionBy(*same).orderBy("_hash")).alias("_nth")
+    nth = lambda order: F.row_number().over(W.partitionBy(*same).orderBy(order)).alias("_nth")
     plan = mix_plan(docs, id_col, text_col, source_col, **options)
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "copies").select(*same, nth, F.col("copies").alias("_copies"))
-    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), F.xxhash64(text_col).alias("_hash")).select("_row", *same, nth)
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "copies").select(*same, nth("copies"), F.col("copies").alias("_copies"))
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), F.col(source_col).cast("string").alias("_source"), F.xxhash64(text_col).alias("_hash")).select("_row", *same, nth(F.xxhash64(*(F.col(f"_row.`{c}`") for c in docs.columns))))
     plan = plan.select(*(F.col(c).alias(f"{c}2") for c in [*same, "_nth"]), "_copies")
     match = [F.col(c).eqNullSafe(F.col(f"{c}2")) for c in [*same, "_nth"]]
     taken = keyed.join(plan, match).where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy"))
