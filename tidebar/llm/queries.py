@@ -82,6 +82,27 @@ def op10_sharding(spark, sf_dir):
     return op10.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def _crc_table() -> list[int]:
+    """What CRC-32 (polynomial EDB88320, reflected) makes of each byte."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in out]
+    return out
+
+
+ORACLE_SQL["op10_sharding"] = f"""
+WITH b AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST((strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1 AS BIGINT)) AS bytes
+           FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+r AS (SELECT doc_id, md5(text) AS k, len(bytes) + {op10.ROW_BYTES} AS size,
+             xor(4294967295::BIGINT, list_reduce(bytes, lambda c, x: xor([{', '.join(f'{x}::BIGINT' for x in _crc_table())}][(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT)) AS crc FROM b),
+o AS (SELECT *, row_number() OVER w AS rank, CAST(sum(size) OVER w AS BIGINT) AS upto, CAST(2 * sum(size) OVER () + 39 AS BIGINT) // 40 AS cut FROM r WINDOW w AS (ORDER BY k, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT k, min(upto - size) AS lo, max(upto) AS hi, any_value(cut) AS c FROM o GROUP BY k),
+p AS (SELECT k, (lo + hi) // c AS at FROM g WHERE 2 * lo // c < (2 * hi - 1) // c AND 2 * (hi - lo) <= {op10.WHOLE} * c),
+s AS (SELECT o.*, CAST(coalesce(p.at, (2 * upto - size) // cut) AS INTEGER) AS shard FROM o LEFT JOIN p USING (k))
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY rank) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+
 @query
 def op6_mixing(spark, sf_dir):
     return op6.mix_plan(table(spark, sf_dir, "documents")).select(*op6.OUT)
@@ -114,12 +135,16 @@ def op4_decontaminate(spark, sf_dir):
 
 _LOWER = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _SHINGLES = "CASE WHEN len({0}) >= 5 THEN list_transform(range(1, len({0}) - 3), lambda i: array_to_string({0}[i:i + 4], ' ')) ELSE [array_to_string({0}, ' ')] END"
+#: Every window of an item's length that overlaps a shared shingle is scored; items below five words meet windows of their
+#: own length whole.
 ORACLE_SQL["op4_decontaminate"] = f"""
 WITH i AS (SELECT item_id, ws, len(ws) AS n FROM (SELECT item_id, {_LOWER} AS ws FROM benchmark) WHERE len(ws) > 0),
-ish AS (SELECT item_id, n, unnest(sh) AS s, unnest(range(0, len(sh))) AS off FROM (SELECT item_id, n, {_SHINGLES.format('ws')} AS sh FROM i)),
+ish AS (SELECT item_id, n, unnest(sh) AS s FROM (SELECT item_id, n, {_SHINGLES.format('ws')} AS sh FROM i)),
 d AS (SELECT doc_id, ws FROM (SELECT doc_id, {_LOWER} AS ws FROM documents) WHERE len(ws) > 0),
-dsh AS (SELECT doc_id, unnest(sh) AS s, unnest(range(0, len(sh))) AS pos FROM (SELECT doc_id, {_SHINGLES.format('ws')} AS sh FROM d)),
-spot AS (SELECT DISTINCT doc_id, greatest(pos - off, 0) AS start, n FROM dsh JOIN (SELECT DISTINCT n, s, off FROM ish) m USING (s)),
+sizes AS (SELECT DISTINCT n FROM i WHERE n < 5),
+dsh AS (SELECT doc_id, unnest(sh) AS s, unnest(range(0, len(sh))) AS pos FROM (SELECT doc_id, {_SHINGLES.format('ws')} AS sh FROM d)
+  UNION ALL SELECT doc_id, array_to_string(ws[k + 1:k + n], ' ') AS s, k AS pos FROM (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS k FROM d, sizes WHERE len(ws) >= 5 AND len(ws) >= n)),
+spot AS (SELECT DISTINCT doc_id, unnest(range(greatest(pos - greatest(n - 5, 0), 0), pos + 1)) AS start, n FROM dsh JOIN (SELECT DISTINCT n, s FROM ish) m USING (s)),
 win AS (SELECT doc_id, start, n, ws[start + 1:start + n] AS ww FROM spot JOIN d USING (doc_id)),
 wsh AS (SELECT doc_id, start, n, len(ww) AS lw, {_SHINGLES.format('ww')} AS sh FROM win),
 wc AS (SELECT doc_id, start, n, lw, s, count(*) AS c, any_value(total) AS total FROM (SELECT doc_id, start, n, lw, unnest(sh) AS s, len(sh) AS total FROM wsh) GROUP BY ALL),
@@ -141,10 +166,19 @@ def op7_token_counts(spark, sf_dir):
 
 @query
 def op2_chat_format(spark, sf_dir):
-    """Each row is logged as one message event; conversation -7 has control strings in its texts."""
+    """Each row is a message that came in pieces: by its place it was streamed in two deltas, edited from another text,
+    streamed anew after a wrong start, or logged whole. Conversation -7 has control strings in its texts."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], rows.schema)
-    events = rows.unionByName(extra).select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    t = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(t) / 2).cast("int")
+    head, tail = t.substr(F.lit(1), half), t.substr(half + 1, F.length(t))
+    event = lambda *steps: F.array(*(F.struct(F.lit(k).alias("n"), F.lit(kind).alias("kind"), x.alias("text")) for k, (kind, x) in enumerate(steps)))
+    none = F.lit("")
+    ways = [event(("message", none), ("delta", head), ("delta", tail)), event(("message", F.lit("draft")), ("edit", t)), event(("message", F.lit("bad")), ("regenerate", none), ("delta", head), ("delta", tail)), event(("message", t))]
+    way = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(len(ways)))
+    logged = rows.unionByName(extra).withColumn("x", F.explode(F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])))
+    events = logged.select("conv_id", F.col("turn").alias("message"), (F.col("turn").cast("long") * 8 + F.col("x.n")).alias("seq"), F.col("x.kind").alias("kind"), "role", F.col("x.text").alias("text"))
     return op2.digest(op2.format_chat(events))
 
 
