@@ -5,6 +5,10 @@ element per distinct key (so a key that millions of documents hold costs a block
 message to each *bucket* of the key space. A bucket sees every element of its keys, decides a state per element, and
 answers each message with one byte per element in the message's own order. Nothing holds more than one block or one
 bucket; lost tasks are recomputed from the shuffle files, as every step is a pure function of its input.
+
+Blocks and buckets both grow with the square root of the input up to a limit, so that the number of messages grows as the
+input does and each stays large. Beyond the limit messages get shorter, down to one key; they are cut out of one buffer
+without a loop, so that even then they cost no more than a row per key would.
 """
 
 from __future__ import annotations
@@ -35,16 +39,27 @@ class Layout:
     partitions: int
 
 
+#: Bytes of input at which blocks and buckets begin to grow, and how many times their size they reach.
+GROW_FROM, GROW_MOST = 1 << 29, 4
+
+
+def sizes(total: int, block_bytes: int, keys_per_byte: float, bucket_keys: int) -> tuple[int, int]:
+    """(blocks, bits): how many blocks and 2**bits buckets an input of so many bytes is dealt into."""
+    grown = min(max(1.0, (total / GROW_FROM) ** 0.5), GROW_MOST)
+    blocks = max(1, int(-(-total // (block_bytes * grown))))
+    return blocks, max(0, int(np.ceil(np.log2(max(1.0, total * keys_per_byte / (bucket_keys * grown))))))
+
+
 def deal(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, keys_per_byte: float, bucket_keys: int = 1 << 19) -> Layout:
-    """(block, doc_id, text_hash, text) of every row, dealt by a hash of id and text, so that a hot source or a group of copies spreads."""
+    """(block, doc_id, text_hash, text) of every row, dealt by a hash of id, text and the input partition that holds it: a
+    hot source or a group of copies spreads, and of one repeated row a block gets what one input partition holds at most."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).first()
     total = size["b"] or 0
-    blocks = max(1, -(-total // block_bytes))
-    bits = max(0, int(np.ceil(np.log2(max(1.0, total * keys_per_byte / bucket_keys)))))
+    blocks, bits = sizes(total, block_bytes, keys_per_byte, bucket_keys)
     # Not fewer than Spark's own number, or Spark would deal the texts anew to join them with replies.
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 << 20)))
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int").alias("block")
     small = docs.select(block, "doc_id", "text_hash", "text").mapInArrow(_compressed, "block int, doc_id long, text_hash long, text binary")
     return Layout(small.repartition(partitions, "block"), size["n"], bits, partitions)
 
@@ -73,9 +88,20 @@ class Elements:
     place: np.ndarray | None = None
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """An order that sorts 64-bit keys. Sorting values is several times faster than sorting places, so the keys' highest
+    bits are sorted with their places below them; keys that then stand wrong, equal in those bits, are rare."""
+    if keys.dtype != U64 or len(keys) < 2:
+        return np.argsort(keys, kind="stable")
+    low = U64((1 << int(len(keys) - 1).bit_length()) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=U64)) & low).astype(np.int64)
+    s = keys[order]
+    return order if (s[1:] >= s[:-1]).all() else np.argsort(keys, kind="stable")
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys sorted, the order that sorts all items, and where each key starts in that order."""
-    order = np.argsort(keys, kind="stable")
+    order = order_of(keys)
     s = keys[order]
     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
     return s[starts], order, starts
@@ -88,44 +114,49 @@ def places(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _wire(keys: np.ndarray, width: int) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def _cut(data: np.ndarray, starts: np.ndarray, width: int) -> pa.Array:
+    """data, items of width bytes, as binary values that begin at starts: cut out of one buffer, without a loop."""
+    raw = np.ascontiguousarray(data).view(np.uint8).ravel()
+    ends = np.r_[starts, len(raw) // width if width else 0] * width
+    if len(raw) > np.iinfo(np.int32).max:
+        raise ValueError("more than 2 GB in one block; take a smaller block_bytes")
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
 
 
-def _unwire(data: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :width] = raw
-    return out.view("<u8").ravel()
+def _flat(values: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of binary values one after another, and the size of each value."""
+    data, sizes_ = [], []
+    for c in values.chunks:
+        offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        if len(c):
+            raw = np.frombuffer(c.buffers()[2] or b"", np.uint8)
+            data.append(raw[offsets[0] : offsets[-1]])
+            sizes_.append(np.diff(offsets))
+    return (np.concatenate(data), np.concatenate(sizes_).astype(np.int64)) if data else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
 
 
-def slices(key: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(bucket, from, to) for the buckets that have keys; a bucket is the key's highest bits."""
-    if not bits:
-        if len(key):
-            yield 0, 0, len(key)
-        return
-    bucket = (key >> U64(64 - bits)).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(key) else []
-    ends = np.r_[starts[1:], len(key)] if len(key) else []
-    for s, e in zip(starts, ends):
-        yield int(bucket[s]), int(s), int(e)
+def buckets(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted keys fall into, and where each starts; a bucket is the key's highest bits."""
+    if not len(key):
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    bucket = (key >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(key), np.int32)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return bucket[starts], starts
 
 
 def _messages(block: int, elements: Elements, bits: int, width: int) -> pa.Table:
-    rows = {"bucket": [], "block": [], "keys": [], "extra": []}
-    for bucket, s, e in slices(elements.key, bits):
-        rows["bucket"].append(bucket)
-        rows["block"].append(block)
-        rows["keys"].append(_wire(elements.key[s:e], width))
-        rows["extra"].append(b"".join(x[s:e].tobytes() for x in elements.extra))
-    return pa.table([pa.array(rows["bucket"], pa.int32()), pa.array(rows["block"], pa.int32()), pa.array(rows["keys"], pa.binary()), pa.array(rows["extra"], pa.binary())], ["bucket", "block", "keys", "extra"])
+    """extra holds the extra arrays' items side by side, as many bytes an element."""
+    key = elements.key
+    bucket, starts = buckets(key, bits)
+    wire = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    extra = np.concatenate([np.zeros((len(key), 0), np.uint8), *(np.ascontiguousarray(x).view(np.uint8).reshape(len(key), x.dtype.itemsize) for x in elements.extra)], axis=1)
+    return pa.table([pa.array(bucket), pa.array(np.full(len(bucket), block, np.int32)), _cut(wire, starts, width), _cut(extra, starts, extra.shape[1])], ["bucket", "block", "keys", "extra"])
 
 
 def states(replies: pa.Table, phase: int, size: int) -> np.ndarray:
     """The states of a block's elements in the order of their keys."""
     mine = replies.filter(pa.compute.equal(replies["phase"], phase)).sort_by("bucket")
-    out = np.frombuffer(b"".join(mine["states"].to_pylist()), np.uint8)
+    out, _ = _flat(mine["states"])
     if len(out) != size:
         raise ValueError(f"{len(out)} states for {size} elements")
     return out
@@ -133,16 +164,15 @@ def states(replies: pa.Table, phase: int, size: int) -> np.ndarray:
 
 def unpack(rows: pa.Table, width: int, types: list[str]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """All elements of a bucket: keys, extra arrays, and the number of elements in each message."""
-    keys = [_unwire(x, width) for x in rows["keys"].to_pylist()]
-    sizes = np.array([len(k) for k in keys], np.int64)
-    extra = [[] for _ in types]
-    for n, data in zip(sizes, rows["extra"].to_pylist()):
-        at = 0
-        for k, kind in enumerate(types):
-            extra[k].append(np.frombuffer(data, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return join(keys, U64), [join(x, kind) for x, kind in zip(extra, types)], sizes
+    raw, n = _flat(rows["keys"])
+    keys = np.zeros((len(raw) // width, 8), np.uint8)
+    keys[:, :width] = raw.reshape(-1, width)
+    kinds = [np.dtype(t) for t in types]
+    each = sum(k.itemsize for k in kinds)
+    more = _flat(rows["extra"])[0].reshape(len(keys), each)
+    at = np.cumsum([0, *(k.itemsize for k in kinds)])
+    extra = [np.ascontiguousarray(more[:, a : a + k.itemsize]).view(k).ravel() for a, k in zip(at, kinds)]
+    return keys.view("<u8").ravel(), extra, n // width
 
 
 def ask(layout: Layout, phase: int, emit: Callable[[pa.Table, pa.Table | None], Elements], types: list[str], decide: Callable[..., np.ndarray], width: int = 8, earlier: DataFrame | None = None) -> DataFrame:
@@ -155,8 +185,7 @@ def ask(layout: Layout, phase: int, emit: Callable[[pa.Table, pa.Table | None],
         rows = rows.sort_by("block")
         keys, extra, sizes = unpack(rows, width, types)
         state = decide(keys, *extra).astype(np.uint8)
-        ends = np.cumsum(sizes)
-        return pa.table([rows["block"].combine_chunks(), pa.array(np.full(len(sizes), phase, np.int32)), rows["bucket"].combine_chunks(), pa.array([state[e - n : e].tobytes() for n, e in zip(sizes, ends)], pa.binary())], schema=_REPLY_ARROW)
+        return pa.table([rows["block"].combine_chunks(), pa.array(np.full(len(sizes), phase, np.int32)), rows["bucket"].combine_chunks(), _cut(state, np.cumsum(sizes) - sizes, 1)], schema=_REPLY_ARROW)
 
     return messages.repartition(layout.partitions, "bucket").groupBy("bucket").applyInArrow(resolve, REPLY)
 
