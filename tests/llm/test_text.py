@@ -85,6 +85,25 @@ def test_sentencepiece_counts(spark, docs):
     assert all(len(model.encode(texts[r.doc_id])) == r.n_tokens for r in got if r.doc_id != 3)
 
 
+def test_a_tokenizer_without_boundaries_counts_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    path = f"{tmp_path}/plain.json"
+    Tokenizer(models.BPE(vocab={"a": 0, " ": 1, "b": 2, "a ": 3, "a b": 4}, merges=[("a", " "), ("a ", "b")])).save(path)
+    assert not token_counts.cuttable(path) and token_counts.Counter(path, "tokenizers").count(["a b", "", "a"]) == [1, 0, 1]
+
+
+def test_batches_are_balanced_by_bytes_and_long_pieces_forgotten():
+    import public_tokenizers
+
+    parts = list(token_counts.batches(["é" * 30] * 10 + ["x" * 500] + ["a"] * 5, 130))
+    assert [sum(map(token_counts.n_bytes, p)) for p in parts] == [120] * 5 + [500, 5]
+    counter = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"), "tokenizers")
+    long = "日本" * 400
+    n = counter.count([long, "short text", long])
+    assert n[0] == n[2] == len(__import__("tokenizers").Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(long).ids) and long not in counter.known and counter.held < 1000
+
+
 def test_token_counts_of_nothing(none):
     import public_tokenizers
 
@@ -130,6 +149,36 @@ def test_rules_keep_clean_documents(spark):
     assert rules and held[held.quality == 1].kept.mean() > 0.97 and (~held[held.quality == 0].kept).mean() > 0.8
 
 
+def test_kept_is_what_the_rules_say(spark):
+    """The verdict recomputed in Python from each document's statistics and the learned conditions."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/../sf0.01/labels.parquet")
+    rules = quality_rules.fit(spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet"), labels)
+    got = quality_rules.judged(docs, rules).collect()
+    over = lambda a, b: a / b if b else 0.0
+    assert rules
+    for r in got:
+        x = {
+            "symbols_per_word": over(r.n_symbols, r.n_words), "dup_line_share": over(r.n_dup_lines, r.n_lines), "repeat_share": over(r.n_repeat_words, r.n_words), "word_length": over(r.word_chars, r.n_words),
+            "upper_share": over(r.n_upper, r.word_chars), "marks_per_word": over(r.n_marks, r.n_words), "words": float(r.n_words),
+        }
+        hit = any(all(x[f] > c if op == ">" else x[f] <= c for f, op, c in rule.conditions) for rule in rules)
+        assert r.kept == (not r.base_failed and not hit)
+    assert {r.kept for r in got} == {True, False}
+
+
+def test_labelled_documents_are_bounded(spark, docs):
+    from tidebar.llm.common import labelled
+
+    many = spark.createDataFrame([(k % 3, f"text {k}", "en", "s", 0) for k in range(3000)] + [(1, "text 1", "en", "s", 0)] * 50, SCHEMA)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (7, 1), (None, 1), (0, None)], "doc_id long, quality int")
+    from pyspark.sql import functions as F
+
+    pick = lambda **k: labelled(many, labels, F.col("quality"), "doc_id", "text", **k).collect()
+    whole = pick(max_labels=10**6, max_bytes=1 << 30)
+    assert len(whole) == 2000 and {(r.id, r.label) for r in whole} == {(1, 1), (2, 0)}
+    assert len(pick(max_labels=20, max_bytes=1 << 30)) == 20 and sum(len(r.text) for r in pick(max_labels=10**6, max_bytes=500)) in range(480, 501)
+
+
 def test_rules_without_labels(docs, none, spark):
     rules = quality_rules.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert rules == [] and quality_rules.judged(docs, rules).where("kept = base_failed").count() == 0
@@ -159,13 +208,70 @@ def test_model_of_odd_rows(docs, none, rows, spark):
     assert len(empty.thresholds) == 2
 
 
+def test_model_without_ratings_and_with_bad_grades(docs, rows, none, spark):
+    nothing = spark.createDataFrame([], "doc_id long, grade int")
+    assert quality_model.fit(none, nothing).thresholds == quality_model.fit(docs, nothing).thresholds
+    got = quality_model.score(docs, quality_model.fit(docs, nothing), 2)
+    assert got.count() == len(rows) and got.select("expected_grade").distinct().count() == 1
+    bad = spark.createDataFrame([(k, g) for k, g in zip(range(40), [0, 1, 2, 3, -1, 99, None, 1] * 5)], "doc_id long, grade int, quality int".replace(", quality int", ""))
+    good = bad.where("grade between 0 and 2")
+    assert quality_model.fit(docs, bad, bits=8) == quality_model.fit(docs, good, bits=8)
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(2)
+    n, size = 40, 12
+    doc = np.repeat(np.arange(n), 4)
+    flat, y = rng.integers(0, size, 4 * n), rng.integers(0, 4, n)
+    w, par = rng.normal(size=size), np.array([-0.5, 0.2, -0.3])
+    _, g_w, g_par = quality_model.gradient(w, par, flat, doc, y, 0.01)
+    e = 1e-6
+    for k in range(size):
+        d = np.eye(size)[k] * e
+        slope = (quality_model.gradient(w + d, par, flat, doc, y, 0.01)[0] - quality_model.gradient(w - d, par, flat, doc, y, 0.01)[0]) / (2 * e)
+        assert slope == pytest.approx(g_w[k], abs=1e-6)
+    for k in range(3):
+        d = np.eye(3)[k] * e
+        slope = (quality_model.gradient(w, par + d, flat, doc, y, 0.01)[0] - quality_model.gradient(w, par - d, flat, doc, y, 0.01)[0]) / (2 * e)
+        assert slope == pytest.approx(g_par[k], abs=1e-6)
+
+
+def test_scores_from_weights_by_hand(docs, rows, spark):
+    """Scores recomputed word by word, without the operator's features."""
+    import math
+
+    import xxhash
+
+    bits = 10
+    ratings = spark.createDataFrame([(k, k % 3) for k in range(40)], "doc_id long, grade int")
+    model = quality_model.fit(docs, ratings, bits=bits)
+    model = quality_model.Model(bits, np.random.default_rng(1).normal(size=(1 << bits) + 44).astype("<f4").tobytes(), model.thresholds)
+    weights = np.frombuffer(model.weights, "<f4").astype(float)
+    place = lambda text: xxhash.xxh3_64_intdigest(text) & ((1 << bits) - 1)
+
+    def by_hand(t):
+        words, hot, shapes = (t or "").encode().split(), set(), [0, 0, 0, 0]
+        for w in words:
+            core = w.strip(b".,;:!?'\"()[]{}-")
+            low = core.decode().lower()
+            hot |= {place(low)} | {place(f"{low[:n]}\0{n}" if len(low) > n else low) for n in (4, 6)}
+            for k, yes in enumerate((any(c in b"#*$%&|<>" for c in w), len(core) > 1 and core.isupper(), any(c in b"0123456789" for c in w), w.endswith(b"!"))):
+                shapes[k] += yes
+        s = sum(weights[k] for k in hot) + sum(weights[(1 << bits) + 11 * k + (math.ceil(10 * c / len(words)) if words else 0)] for k, c in enumerate(shapes))
+        tail = [1 / (1 + math.exp(-min(max(s - x, -30), 30))) for x in model.thresholds]
+        return round(sum(tail), 6), round(tail[1], 6), tail[1] >= 0.5
+
+    got = quality_model.score(docs, model, 2).collect()
+    assert bag((r.doc_id, round(r.expected_grade, 6), round(r.tail_probability, 6), r.kept) for r in got) == bag((d, *by_hand(t)) for d, t, *_ in rows)
+
+
 # --- mixing
 
 
 def test_mix(spark, docs, rows):
     plan = mixing.mix_plan(docs).toPandas()
     assert len(plan) == len(rows)
-    assert (plan["size"] == [len(WORD.findall(t or "")) for _, t, *_ in sorted(rows, key=lambda r: 0)]).sum() >= 0
+    assert bag((None if i != i else int(i), n) for i, n in zip(plan.doc_id, plan["size"])) == bag((d, len(WORD.findall(t or ""))) for d, t, *_ in rows)
     by = plan.groupby("source", dropna=False).agg(size=("size", "sum"), known=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
     assert (by["size"] == by.known).all() and (by.target <= 2 * by.known + 1e-9).all()
     assert by.target.sum() == pytest.approx(1.5 * plan["size"].sum())
@@ -217,6 +323,37 @@ def test_shards(docs, rows, n):
     assert (by.lo == 0).all() and (by.hi == by.n - 1).all() and (by.slots == by.n).all()
 
 
+@pytest.mark.parametrize("n", [3, 40])
+def test_shards_by_hand(docs, rows, n):
+    """Every row's place: by MD5 and id, cut at equal sums of bytes; a small group of equal texts goes by its own middle."""
+    texts = sorted(((hashlib.md5((t or "").encode()).digest(), -1 if d is None else d, len((t or "").encode()) + 16, d) for d, t, *_ in rows))
+    cut = (2 * sum(x[2] for x in texts) + n - 1) // n
+    placed, upto, spans = [], 0, {}
+    for k, _, size, _ in texts:
+        lo, _ = spans.get(k, (upto, 0))
+        upto += size
+        spans[k] = lo, upto
+    upto = 0
+    for k, _, size, d in texts:
+        upto += size
+        lo, hi = spans[k]
+        own = (2 * upto - size) // cut
+        placed.append((d, size, (lo + hi) // cut if 2 * lo // cut < (2 * hi - 1) // cut and 2 * (hi - lo) <= sharding.WHOLE * cut else own))
+    seen, expected = Counter(), []
+    for d, size, s in placed:
+        expected.append((d, size, s, seen[s]))
+        seen[s] += 1
+    assert bag(sharding.shard(docs, n).select("doc_id", "size", "shard", "slot").collect()) == bag(expected)
+
+
+def test_a_small_group_of_equal_texts_is_never_parted(spark):
+    rows = [(k, f"text {k // 3} " + "x" * 40, "en", "s", 0) for k in range(3000)]
+    out = sharding.shard(spark.createDataFrame(rows, SCHEMA), 8).toPandas()
+    assert (out.groupby(out.doc_id // 3)["shard"].nunique() == 1).all()
+    sizes = out.groupby("shard")["size"].sum()
+    assert sizes.max() <= 1.1 * sizes.min()
+
+
 def test_shards_of_nothing(none):
     assert sharding.shard(none, 4).collect() == []
 

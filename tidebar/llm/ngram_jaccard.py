@@ -4,8 +4,13 @@ A document is the set of its distinct word shingles. In a size band, shingles ar
 and each cell keeps the parity (XOR) of its shingles' hashes. Every shingle that only one of two documents has changes
 one cell, so the number of cells that differ is a lower bound of their symmetric difference. Linked documents of sizes
 a and b differ in at most (100 - t) (a + b) / (100 + t) shingles, so all but so many of a document's filled cells must
-recur in any document linked with it (pigeonhole). Documents are found by filled cells, kept only if enough of their
-cells recur at all, and every candidate pair is verified on the shingles themselves.
+recur in any document linked with it (pigeonhole). Documents are found by filled cells, rarest first, and only if enough
+of their cells recur at all.
+
+Documents with a cell in common are a group. First each document is compared with one other of its groups, on the
+shingles themselves. Groups that this leaves in several components are cut into tiles of bounded size; a task compares
+the bit sketches of one pair of tiles (Hamming distance again bounds the symmetric difference from below) and gives out
+only each document's closest outside its component, then, when few are left, all that the sketches do not rule out.
 """
 
 from __future__ import annotations
@@ -18,14 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm import packed
-from tidebar.llm.common import U64, durable, mix, window_hashes
+from tidebar.llm.common import U64, durable, mix, runs, window_hashes
 from tidebar.llm.components import components
 from tidebar.llm.packed import Elements
 
 #: Shingles to a cell in the largest document of a band; more make fewer keys, but leave less to the pigeonhole.
 LOAD = 2.5
+#: Rounds in which each document is compared with the closest outside its component, before all that is left.
+ROUNDS = 1
+#: Documents to a tile of a group; a task holds two tiles' sketches.
+TILE = 4096
 _CELL, _BIT = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
-FACTS = "doc_id long, text_hash long, n_shingles long, node long, text binary, sketch binary, bucket int, keys binary, nodes binary"
+FACTS = "doc_id long, text_hash long, n_shingles long, node long, text binary, sketch binary, keys array<bigint>, nodes array<bigint>"
 
 
 def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,23 +42,19 @@ def shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     words = [t.encode().lower().split() for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     h = np.fromiter((x for w in words for x in map(xxhash.xxh3_64_intdigest, w)), U64, int(n.sum()))
-    doc = np.repeat(np.arange(len(n)), n)
-    left = np.repeat(np.cumsum(n), n) - np.arange(len(doc))
     full = window_hashes(h, size, 0x2545F4914F6CDD1D)
-    at = np.flatnonzero(left[: len(full)] >= size)
-    docs, keys = [doc[at]], [full[at]]
-    for k in range(1, size):  # shorter texts are one shingle as a whole
-        short = np.flatnonzero(n == k)
-        if len(short):
-            start = (np.cumsum(n) - n)[short]
-            x = np.zeros(len(short), U64)
-            for j in range(k):
-                x = x * U64(0x2545F4914F6CDD1D) + h[start + j]
-            docs.append(short)
-            keys.append(mix(x + U64(k * int(_CELL) % 2**64)))
-    doc, key = np.concatenate(docs), np.concatenate(keys)
-    order = np.lexsort((key, doc))
-    doc, key = doc[order], key[order]
+    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))  # a shorter text is one shingle as a whole
+    start, end = np.cumsum(count) - count, np.cumsum(count)
+    key, doc = np.empty(int(count.sum()), U64), np.repeat(np.arange(len(n)), count)
+    for k, (first, m, s, e) in enumerate(zip((np.cumsum(n) - n).tolist(), n.tolist(), start.tolist(), end.tolist())):
+        if m >= size:
+            key[s:e] = full[first : first + m - size + 1]
+            key[s:e].sort()
+        elif m:
+            x = np.zeros(1, U64)
+            for j in range(m):
+                x = x * U64(0x2545F4914F6CDD1D) + h[first + j]
+            key[s:e] = mix(x + U64(m * int(_CELL) % 2**64))
     if len(doc):
         new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]
         doc, key = doc[new], key[new]
@@ -84,13 +89,11 @@ class _Block:
             d, h = self.doc[mine], self.shingle[mine]
             t = band[d] + up
             cells = np.ceil(2.0 ** (t + 1) / LOAD).astype(U64)
-            cell = (h >> U64(8)) % cells
-            code = d.astype(U64) << U64(32) | cell
-            order = np.argsort(code, kind="stable")
-            code, h, d, t = code[order], h[order], d[order], t[order]
-            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-            word = np.bitwise_xor.reduceat(mix(h + _CELL), starts) if len(code) else np.zeros(0, U64)
-            where = (code[starts] & U64(0xFFFFFFFF)) * U64(64) + t[starts].astype(U64)
+            # in the order of a document's hashes, so that its cells need no sorting
+            cell = ((h >> U64(32)) * cells) >> U64(32)
+            starts = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (cell[1:] != cell[:-1])]) if len(d) else np.zeros(0, np.int64)
+            word = np.bitwise_xor.reduceat(mix(h + _CELL), starts) if len(d) else np.zeros(0, U64)
+            where = cell[starts] * U64(64) + t[starts].astype(U64)
             key.append(mix(word ^ mix(where + _CELL)))
             doc.append(d[starts])
             group.append(number[d[starts]])
@@ -111,56 +114,51 @@ class _Block:
         self.key = np.where(self.key == 0, U64(1), self.key)
 
     def sketch(self, k: int) -> bytes:
-        """Bits of which each shingle of text k turns one: two to four a shingle, a power of two in all."""
+        """Bits of which each shingle of text k turns one: four to eight a shingle, a power of two in all."""
         lo, hi = np.searchsorted(self.doc, [k, k + 1])
-        bits = 1 << max(3, int(hi - lo).bit_length() + 1)
+        bits = 1 << max(3, int(hi - lo).bit_length() + 2)
         place = (mix(self.shingle[lo:hi] ^ _BIT) & U64(bits - 1)).astype(np.int64)
         return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
     def first(self) -> Elements:
+        """The distinct keys, and how many of the block's different sets hold each (255 for more)."""
         key, order, starts = packed.distinct(self.key)
-        node = self.node[self.key_doc[order]]
-        many = np.minimum.reduceat(node, starts) != np.maximum.reduceat(node, starts) if len(key) else np.zeros(0, bool)
-        return Elements(key, [many.astype(np.uint8)], packed.places(order, starts))
+        _, node = np.unique(self.node, return_inverse=True)  # copies count once
+        code = np.repeat(np.arange(len(key)), np.diff(np.r_[starts, len(order)])) << 32 | node[self.key_doc[order]]
+        times = np.bincount(np.unique(code) >> 32, minlength=len(key))
+        return Elements(key, [np.minimum(times, 255).astype(np.uint8)], packed.places(order, starts))
 
     def likely(self, replies: pa.Table) -> np.ndarray:
-        """Which keys recur and belong to a document of which enough keys recur."""
+        """Which keys recur, belong to a document of which enough keys recur, and are among its rarest.
+
+        Two sets of keys that share at least need of them share one among the first (all - need + 1) in any one order."""
         found = self.first()
-        again = packed.states(replies, 1, len(found.key))[found.place] > 0
+        rarity = packed.states(replies, 1, len(found.key))[found.place]
+        again = rarity > 0
         times = np.bincount(self.key_group[again], minlength=len(self.need))
-        # Two sets of keys that share at least need of them share one among the first (all - need + 1) in any one order.
-        order = np.lexsort((self.key, self.key_group))
-        group = self.key_group[order]
         size = np.bincount(self.key_group, minlength=len(self.need))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order)) - (np.cumsum(size) - size)[group]
-        first = place <= (size - self.need)[self.key_group]
-        return again & first & (times >= self.need)[self.key_group]
+        once = size - times  # keys that do not recur come first in the order of rarity
+        able = np.flatnonzero(again & (times >= self.need)[self.key_group])
+        order = able[np.lexsort((self.key[able], rarity[able], self.key_group[able]))]
+        group = self.key_group[order]
+        starts = runs(group)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) + once[group]
+        out = np.zeros(len(self.key), bool)
+        out[order[place <= (size - self.need)[group]]] = True
+        return out
 
 
-def _recurs(key: np.ndarray, many: np.ndarray) -> np.ndarray:
+def _rarity(key: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """0 for a key of one set alone, else larger for more: eight steps to a doubling."""
     _, order, starts = packed.distinct(key)
     out = np.empty(len(key), np.uint8)
     if len(key):
-        size = np.diff(np.r_[starts, len(key)])
-        out[order] = np.repeat((size > 1) | (np.maximum.reduceat(many[order], starts) > 0), size)
+        total = np.add.reduceat(times[order].astype(np.int64), starts)
+        step = np.where(total > 1, np.minimum(1 + 8 * np.log2(total), 255), 0).astype(np.uint8)
+        out[order] = np.repeat(step, np.diff(np.r_[starts, len(key)]))
     return out
 
 
-def _meetings(rows: pa.Table) -> pa.Table:
-    """The distinct lists of nodes that share a key of this bucket."""
-    key = np.concatenate([np.frombuffer(x, "<u8") for x in rows["keys"].to_pylist()])
-    node = np.concatenate([np.frombuffer(x, "<i8") for x in rows["nodes"].to_pylist()])
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-    key, node = key[new], node[new]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[starts, len(key)])
-    lists = {node[s : s + n].tobytes() for s, n in zip(starts[size > 1], size[size > 1])}
-    return pa.table([pa.array(sorted(lists), pa.binary())], ["nodes"])
-
-
 def _folded(sketch: bytes, size: int) -> np.ndarray:
     """A sketch of fewer bits: a place's lowest bits are its place there, and parities add up."""
     x = np.frombuffer(sketch, np.uint8)
@@ -169,34 +167,88 @@ def _folded(sketch: bytes, size: int) -> np.ndarray:
     return x
 
 
-def _possible(percent: int, strays: bool):
-    """Pairs of a group's members in different components that sizes and sketches do not rule out. strays: for each member
-    outside the group's largest component only its closest one inside."""
+def _compare(percent: int, root: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: list[bytes], side: np.ndarray | None, all_: bool) -> list[np.ndarray]:
+    """Pairs (node, node, how many bits differ) of different components that sizes and sketches do not rule out; of each
+    document only the closest, unless all_. side: for two tiles, which of them a document is in; pairs lie across."""
+    size = min(map(len, sketch))
+    bits = np.array([_folded(x, size) for x in sketch])
+    wide = bits.view(np.uint64) if size % 8 == 0 else bits
+    roots, count = np.unique(root, return_counts=True)
+    largest = root == roots[count.argmax()]
+    out = []
+    for i in np.flatnonzero(~largest).tolist():  # each pair once: with one of the largest component, or a later one
+        j = largest | (root != root[i])
+        if all_:
+            j[:i] &= largest[:i]
+        j &= (percent * n <= 100 * n[i]) & (percent * n[i] <= 100 * n)
+        if side is not None:
+            j &= side != side[i]
+        j = np.flatnonzero(j)
+        if not len(j):
+            continue
+        differ = np.bitwise_count(wide[j] ^ wide[i]).sum(1, dtype=np.int64)
+        near = (100 + percent) * differ <= (100 - percent) * (n[j] + n[i])
+        if not all_:
+            k = int(differ.argmin())
+            if near[k]:
+                out.append(np.array([[node[i], node[j[k]], differ[k]]]))
+        elif near.any():
+            out.append(np.stack([np.full(int(near.sum()), node[i]), node[j[near]], differ[near]], 1))
+    return out
+
+
+def _possible(percent: int, all_: bool):
+    """Over rows (g, p, q, tile, root, node, n, sketch) sorted by g, p and q: _compare of each tile pair."""
 
     def run(batches):
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def close() -> list[np.ndarray]:
+            t = pa.Table.from_batches(held)
+            root, node, n, tile = (t[c].to_numpy() for c in ("root", "node", "n", "tile"))
+            return [] if (root == root[0]).all() else _compare(percent, root, node, n, t["sketch"].to_pylist(), tile if now[1] != now[2] else None, all_)
+
         for batch in batches:
-            out = [np.zeros((0, 2), np.int64)]
-            for members in batch["m"].to_pylist():
-                root, node, n = (np.array([x[f] for x in members], np.int64) for f in ("root", "node", "n"))
-                size = min(len(x["sketch"]) for x in members)
-                bits = np.array([_folded(x["sketch"], size) for x in members])
-                roots, count = np.unique(root, return_counts=True)
-                largest = root == roots[count.argmax()]
-                for i in np.flatnonzero(~largest) if strays else range(len(root)):
-                    j = np.flatnonzero(largest if strays else root > root[i])
-                    j = j[(percent * n[j] <= 100 * n[i]) & (percent * n[i] <= 100 * n[j])]
-                    differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
-                    near = (100 + percent) * differ <= (100 - percent) * (n[j] + n[i])
-                    j, differ = j[near], differ[near]
-                    if strays and len(j):
-                        j = j[[differ.argmin()]]
-                    out.append(np.sort(np.stack([node[j], np.full(len(j), node[i])], 1), axis=1))
-            pairs = np.unique(np.concatenate(out), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            g, p, q = (batch[c].to_numpy() for c in ("g", "p", "q"))
+            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if len(g) else []
+            out = []
+            for s, e in zip(starts, [*starts[1:], len(g)]):
+                key = int(g[s]), int(p[s]), int(q[s])
+                if key != now and held:
+                    out += close()
+                    held.clear()
+                now = key
+                held.append(batch.slice(s, e - s))
+            yield _pairs(out, all_)
+        if held:
+            yield _pairs(close(), all_)
 
     return run
 
 
+def _pairs(parts: list[np.ndarray], all_: bool) -> pa.RecordBatch:
+    """a, b and differ; of each a only the closest b of these parts, unless all_."""
+    pairs = np.concatenate([np.zeros((0, 3), np.int64), *parts])
+    if all_:
+        pairs[:, :2].sort(axis=1)
+        pairs = np.unique(pairs, axis=0)
+    else:
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2], pairs[:, 0]))]
+        pairs = pairs[runs(pairs[:, 0])]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], ["a", "b", "differ"])
+
+
+def _tiled(members: DataFrame) -> DataFrame:
+    """members (g, node and others) with p, q and tile: a row for each pair of tiles of its group that its own is in. A
+    group of up to TILE documents is one tile; a larger one is cut by a hash of the node, and no task holds more of it
+    than two tiles."""
+    count = members.groupBy("g").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    cut = members.join(count, "g").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return cut.withColumn("p", F.least("tile", "other")).withColumn("q", F.greatest("tile", "other")).drop("other", "tiles")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs (a, b) with linked (boolean): the exact test on the shingle sets. texts: (node, text, compressed)."""
 
@@ -223,7 +275,6 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, block_bytes: int) -> DataFrame:
     """doc_id, text_hash, n_shingles and class (rows that links join have the same) of each row of docs."""
     layout = packed.deal(docs, id_col, text_col, block_bytes, 0.11)
-    bits = layout.bits
 
     def cells(rows: pa.Table, _replies) -> Elements:
         return _Block(rows, size, percent).first()
@@ -231,64 +282,56 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     def facts(rows: pa.Table, replies: pa.Table) -> pa.Table:
         block = _Block(rows, size, percent)
         go = block.likely(replies)
-        key, node = block.key[go], block.node[block.key_doc[go]]
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        if len(key):
-            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-            key, node = key[new], node[new]
-        parts = list(packed.slices(key, bits))
+        key, node = block.key[go].view(np.int64), block.node[block.key_doc[go]]
         wanted = np.zeros(len(block.texts), bool)
         wanted[block.key_doc[go]] = True
         _, first = np.unique(block.node, return_index=True)
         shown = np.zeros(len(block.texts), bool)
         shown[first] = True  # one text for a node is enough
-        n = len(block.texts)
-        empty = [None] * len(parts)
+        shown &= wanted
+        zip_ = zstandard.ZstdCompressor(level=3)
         return pa.table(
             [
-                pa.array(block.doc_id + empty, pa.int64()),
-                pa.array(rows["text_hash"].to_pylist() + empty, pa.int64()),
-                pa.array(block.n.tolist() + empty, pa.int64()),
-                pa.array(block.node.tolist() + empty, pa.int64()),
-                pa.array([zstandard.compress(t.encode(), 3) if w else None for t, w in zip(block.texts, wanted & shown)] + empty, pa.binary()),
-                pa.array([block.sketch(k) if w else None for k, w in enumerate(wanted & shown)] + empty, pa.binary()),
-                pa.array([None] * n + [p[0] for p in parts], pa.int32()),
-                pa.array([None] * n + [key[s:e].tobytes() for _, s, e in parts], pa.binary()),
-                pa.array([None] * n + [node[s:e].tobytes() for _, s, e in parts], pa.binary()),
+                pa.array([*block.doc_id, None], pa.int64()),
+                pa.array([*rows["text_hash"].to_pylist(), None], pa.int64()),
+                pa.array([*block.n.tolist(), None], pa.int64()),
+                pa.array([*block.node.tolist(), None], pa.int64()),
+                pa.array([*(zip_.compress(t.encode()) if w else None for t, w in zip(block.texts, shown)), None], pa.binary()),
+                pa.array([*(block.sketch(k) if w else None for k, w in enumerate(shown)), None], pa.binary()),
+                pa.array([*[None] * len(block.texts), key], pa.list_(pa.int64())),
+                pa.array([*[None] * len(block.texts), node], pa.list_(pa.int64())),
             ],
-            ["doc_id", "text_hash", "n_shingles", "node", "text", "sketch", "bucket", "keys", "nodes"],
+            ["doc_id", "text_hash", "n_shingles", "node", "text", "sketch", "keys", "nodes"],
         )
 
-    again = packed.ask(layout, 1, cells, ["u1"], _recurs, width=5)
+    again = packed.ask(layout, 1, cells, ["u1"], _rarity, width=5)
     known = durable(packed.conclude(layout, again, facts, FACTS))
-    rows = known.where("bucket is null").select("doc_id", "text_hash", "n_shingles", "node")
+    rows = known.where("keys is null").select("doc_id", "text_hash", "n_shingles", "node")
     texts = known.where("text is not null").groupBy("node").agg(F.first("text").alias("text"))
-    lists = known.where("bucket is not null").repartition(layout.partitions, "bucket").groupBy("bucket").applyInArrow(_meetings, "nodes binary").distinct()
-
-    def members(batches):
-        for batch in batches:
-            values = [np.frombuffer(x, "<i8") for x in batch["nodes"].to_pylist()]
-            flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-            ends = np.cumsum([len(v) for v in values])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))], ["nodes"])
-
-    groups = durable(lists.mapInArrow(members, "nodes array<bigint>"))
-    # the number first: in one select, it would be given to the exploded rows
-    members_of = groups.withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("nodes").alias("node"))
     info = known.where("sketch is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    # Each member against the first of its group; then what is left outside a group's largest component against the
-    # closest inside; then all that is still apart.
-    pairs = groups.select(F.col("nodes")[0].alias("a"), F.explode(F.slice("nodes", 2, F.size("nodes") - 1)).alias("b")).distinct()
+    found = known.where("keys is not null").select(F.inline(F.arrays_zip(F.col("keys").alias("g"), F.col("nodes").alias("node")))).toDF("g", "node").distinct()
+    # keys that the same documents share are one group; the sum of hashes stands for who they are
+    groups = found.groupBy("g").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.min("node").alias("first")).where("c > 1")
+    groups = groups.groupBy("c", "who", "first").agg(F.min("g").alias("g"))
+    members = durable(found.join(groups.select("g", "c", "first"), "g"))
+    # two pairs a document at most: with the least document that it has a group with, and with one of its smallest group
+    ends = F.array(F.min("first"), F.min_by("first", F.struct("c", "g")))
+    pairs = members.where("node <> first").groupBy("node").agg(ends.alias("ends")).select(F.explode("ends").alias("a"), F.col("node").alias("b")).distinct()
     tried = durable(verify(pairs, texts, size, percent))
     root = components(tried.where("linked"))
-    for strays in (True, False):
-        parts = members_of.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    for all_ in [False] * ROUNDS + [True]:
+        parts = members.select("g", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = parts.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
-        whole = parts.join(split, "g", "left_semi").join(info, "node").groupBy("g").agg(F.collect_list(F.struct("root", "node", "n", "sketch")).alias("m"))
-        pairs = whole.select("m").mapInArrow(_possible(percent, strays), "a long, b long").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = tried.unionByName(durable(verify(pairs, texts, size, percent)))
-        root = components(tried.where("linked"))
+        open_ = _tiled(parts.join(split, "g", "left_semi")).join(info, "node").select("g", "p", "q", "tile", "root", "node", "n", "sketch")
+        dealt = open_.repartition(layout.partitions, "g", "p", "q").sortWithinPartitions("g", "p", "q")
+        found = dealt.mapInArrow(_possible(percent, all_), "a long, b long, differ long")
+        if not all_:  # one pair a document and round
+            found = found.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        new = durable(verify(pairs, texts, size, percent))
+        tried = tried.unionByName(new)
+        if not new.where("linked").isEmpty():
+            root = components(tried.where("linked"))
     return rows.join(root, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("class"))
 
 
@@ -316,4 +359,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     stay = first.select(F.col("m.doc_id").alias("_d"), F.col("m.text_hash").alias("_t")).unionByName(named.where("n_shingles = 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct())
     keyed = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_d2"), F.xxhash64(text_col).alias("_t2"))
     found = keyed.join(stay, F.col("_d2").eqNullSafe(F.col("_d")) & (F.col("_t2") == F.col("_t")), "left_semi")
-    return found.groupBy("_d2", "_t2").agg(F.first("_row").alias("_row")).select("_row.*")
+    # of rows that repeat both, the one whose other columns come first in a fixed order, so that a retry gives the same
+    return found.groupBy("_d2", "_t2").agg(F.min_by("_row", F.xxhash64(*(F.col(f"_row.`{c}`") for c in docs.columns if c != text_col))).alias("_row")).select("_row.*")
