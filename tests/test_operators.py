@@ -107,14 +107,40 @@ def test_gap_fill_of_none_one_and_more(spark):
     assert fillers(10.0, 13.0) == [10.0, 11.5, 13.0, 13.0]
 
 
-def test_mutual_information_and_matrices():
-    same = np.diag([5, 6, 7])
-    assert cluster.mutual_information(same) == pytest.approx(1.0)
+def test_mutual_information(spark):
+    score = lambda rows: cluster.adjusted_mutual_information(spark.createDataFrame(rows, "a int, b int"), "a", "b").first()[0]
+    rng = np.random.default_rng(0)
+    assert score([(k % 3, 5 + k % 3) for k in range(18)]) == pytest.approx(1.0)
+    assert abs(score([(int(x), int(y)) for x, y in rng.integers(0, 4, (2000, 2))])) < 0.02
+    assert score([(1, 1), (1, 1), (None, 2)]) == 1.0
+
+
+@pytest.mark.parametrize("method", ["kmeans", "bisecting"])
+def test_members_lie_nearest_to_their_own_centre(spark, method):
+    from helpers import DATA
+
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    labels = {r.vec_id: r.cluster for r in cluster.clusters(vectors, "vec_id", "embedding", 8, method).collect()}
+    assert labels == {r.vec_id: r.cluster for r in cluster.clusters(vectors, "vec_id", "embedding", 8, method).collect()}
+    rows = vectors.collect()
+    x, own = np.array([r.embedding for r in rows]), np.array([labels[r.vec_id] for r in rows])
+    assert len(own) == len(rows) and 2 <= len(set(own)) <= 8
+    names = sorted(set(own))
+    centres = np.array([x[own == k].mean(0) for k in names])
+    nearest = np.array(names)[((x[:, None] - centres) ** 2).sum(2).argmin(1)]
+    assert (nearest == own).mean() > (0.97 if method == "kmeans" else 0.7)
+    inside = sum(((x[own == k] - x[own == k].mean(0)) ** 2).sum() for k in names)
+    assert inside < ((x - x.mean(0)) ** 2).sum()
+
+
+def test_pairs_are_the_same_in_any_number_of_blocks(spark):
+    v = spark.createDataFrame([(d, s, float(d * s % 7)) for d in range(5) for s in range(9)], "date int, symbol int, x double")
+    one, many = (sorted(map(tuple, matrix.pairs(v, "x", k).select("date", "a", "b", "x", "y").collect())) for k in (1, 4))
+    assert one == many and len(one) == 5 * 45
+
+
+def test_matrices():
     rng = np.random.default_rng(0)
-    a, b = rng.integers(0, 4, 2000), rng.integers(0, 4, 2000)
-    table = np.zeros((4, 4), int)
-    np.add.at(table, (a, b), 1)
-    assert abs(cluster.mutual_information(table)) < 0.02
     x = rng.normal(size=(60, 20))
     for m in ("basic", "ledoit_wolf", "oas"):
         s = matrix.shrunk(x, m)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from math import lgamma
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.operators.joins import all_pairs
+
 
 def clusters(vectors: DataFrame, id_col: str, col: str, k: int, method: str = "kmeans", seed: int = 1) -> DataFrame:
     """id and cluster of each row. vectors: array column. Methods: kmeans, bisecting (hierarchical, from the top)."""
@@ -43,31 +46,37 @@ def rand_index(rows: DataFrame, a: str, b: str) -> DataFrame:
     return parts.select(((F.col("ij") - expected) / F.nullif((F.col("i") + F.col("j")) / 2 - expected, F.lit(0.0))).alias("adjusted_rand"))
 
 
-def mutual_information(table: np.ndarray) -> float:
-    """Adjusted mutual information (arithmetic mean) of a contingency table of counts."""
-    n, a, b = int(table.sum()), table.sum(1), table.sum(0)
-    if len(a) == len(b) == 1:
-        return 1.0
-    p = table[table > 0]
-    i, j = np.nonzero(table)
-    mi = float((p / n * np.log(n * p / (a[i] * b[j]))).sum())
-    entropy = lambda x: float(-(x / n * np.log(x / n)).sum())
-    expected = 0.0
-    for x in map(int, a):
-        for y in map(int, b):
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                log_p = lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1)
-                expected += k / n * np.log(n * k / (x * y)) * np.exp(log_p)
-    bottom = (entropy(a) + entropy(b)) / 2 - expected
-    return (mi - expected) / bottom if abs(bottom) > 1e-15 else 1.0
-
-
-def adjusted_mutual_information(rows: DataFrame, a: str, b: str, max_cells: int = 1_000_000) -> float:
-    """Of two labellings; the contingency table must have at most max_cells cells."""
-    c = contingency(rows, a, b).limit(max_cells + 1).toPandas()
-    if len(c) > max_cells:
-        raise ValueError(f"more than {max_cells} cells")
-    return mutual_information(c.pivot(index="a", columns="b", values="n").fillna(0).to_numpy()) if len(c) else 1.0
+def _chance(x: int, y: int, n: int) -> float:
+    """Of two groups of x and y among n rows: the mutual information that their overlap gives by chance."""
+    k = np.arange(max(1, x + y - n), min(x, y) + 1)
+    fixed = lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1)
+    log_p = np.array([fixed - lgamma(v + 1) - lgamma(x - v + 1) - lgamma(y - v + 1) - lgamma(n - x - y + v + 1) for v in k.tolist()])
+    return float((k / n * np.log(n * k / (x * y)) * np.exp(log_p)).sum())
+
+
+def adjusted_mutual_information(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the adjusted mutual information of two labellings, with the arithmetic mean of their entropies; 1 if both
+    have one value. What chance gives is summed over the distinct sizes of groups, of which n rows have at most the root of
+    2 n on each side."""
+
+    @F.pandas_udf("double")
+    def chance(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_chance(*map(int, v)) for v in zip(x, y, n)], dtype=float)
+
+    c = contingency(rows, a, b)
+    x, y = c.groupBy("a").agg(F.sum("n").alias("x")), c.groupBy("b").agg(F.sum("n").alias("y"))
+    total = c.agg(F.sum("n").alias("total"))
+    one = lambda df: df.join(F.broadcast(total), F.lit(True))  # noqa: E731  # one row
+    share = lambda v: F.col(v) / F.col("total")
+    cells = one(c.join(x, "a").join(y, "b"))
+    mi = cells.agg(F.sum(share("n") * F.log(F.col("n") / F.col("x") * F.col("total") / F.col("y"))).alias("mi"))
+    entropy = lambda df, v, name: one(df).agg((-F.sum(share(v) * F.log(share(v)))).alias(f"h_{name}"), F.count("*").alias(f"n_{name}"))
+    sizes = all_pairs(x.groupBy("x").agg(F.count("*").alias("nx")), y.groupBy("y").agg(F.count("*").alias("ny")))
+    expected = one(sizes).agg(F.sum(F.col("nx") * F.col("ny") * chance("x", "y", "total")).alias("e"))
+    parts = mi.join(entropy(x, "x", "a"), F.lit(True)).join(entropy(y, "y", "b"), F.lit(True)).join(expected, F.lit(True))
+    bottom = (F.col("h_a") + F.col("h_b")) / 2 - F.col("e")
+    alike = (F.col("n_a") == 1) & (F.col("n_b") == 1) | (F.abs(bottom) < 1e-15)
+    return parts.select(F.when(alike, 1.0).otherwise((F.col("mi") - F.col("e")) / bottom).alias("adjusted_mutual_information"))
 
 
 def cluster_metrics(labels: DataFrame, distances: DataFrame, details: DataFrame) -> DataFrame:

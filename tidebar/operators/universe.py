@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalars import squeezed, vwap_repaired
+from tidebar.operators.joins import all_pairs
 
 
 def normalised(daily: DataFrame) -> DataFrame:
@@ -130,12 +131,10 @@ def segments(daily: DataFrame, legacy: bool = False) -> DataFrame:
     return means.join(cuts, F.lit(True)).withColumn("segment", segment).where("segment is not null").drop("_p", "_m")
 
 
-def clock_pairs(segmented: DataFrame, salts: int = 16) -> DataFrame:
-    """Every mid symbol with every large one as its clock. All pairs are the result that is asked for; large symbols are
-    copied once to each salt, so that the pairs are made by so many tasks, by an equality join."""
-    mid = segmented.where("segment = 'mid'").select("symbol", F.pmod(F.xxhash64("symbol"), F.lit(salts)).alias("_k"))
-    large = segmented.where("segment = 'large'").select(F.col("symbol").alias("clock_symbol"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_k"))
-    return mid.join(large, "_k").where("symbol <> clock_symbol").drop("_k")
+def clock_pairs(segmented: DataFrame) -> DataFrame:
+    """Every mid symbol with every large one as its clock."""
+    side = lambda segment, name: segmented.where(F.col("segment") == segment).select(F.col("symbol").alias(name))
+    return all_pairs(side("mid", "symbol"), side("large", "clock_symbol")).where("symbol <> clock_symbol")
 
 
 def missing_keys(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -649,6 +649,15 @@ def ari_score(spark, sf_dir):
     return rounded(cluster.rand_index(table(spark, sf_dir, "embeddings").withColumn("four", F.col("vec_id") % 4), "label", "four"))
 
 
+@query("""WITH c AS (SELECT label AS a, vec_id % 4 AS b, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY ALL), x AS (SELECT a, sum(n) AS x FROM c GROUP BY a), y AS (SELECT b, sum(n) AS y FROM c GROUP BY b), t AS (SELECT CAST(sum(n) AS DOUBLE) AS n FROM c),
+m AS (SELECT sum(c.n / t.n * ln(t.n * c.n / (x * y))) AS mi FROM c JOIN x USING (a) JOIN y USING (b), t), ha AS (SELECT -sum(x / n * ln(x / n)) AS h FROM x, t), hb AS (SELECT -sum(y / n * ln(y / n)) AS h FROM y, t),
+k AS (SELECT x, y, n, unnest(range(CAST(greatest(1, x + y - n) AS BIGINT), CAST(least(x, y) + 1 AS BIGINT))) AS k FROM x, y, t),
+e AS (SELECT sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) AS e FROM k)
+SELECT round((mi - e) / ((ha.h + hb.h) / 2 - e), 6) AS adjusted_mutual_information FROM m, ha, hb, e""")
+def ami_score(spark, sf_dir):
+    return rounded(cluster.adjusted_mutual_information(table(spark, sf_dir, "embeddings").withColumn("four", F.col("vec_id") % 4), "label", "four"))
+
+
 @query(None)
 def kmeans_labels(spark, sf_dir):
     return cluster.clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
