@@ -6,8 +6,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import CLASH, prose
-from llm_helpers import bag
+from llm_helpers import CLASH, bag, prose
 from pyspark.sql import functions as F
 from test_dedup import brute_components, brute_substring, brute_suffix
 from test_text import brute_leaks, brute_statistics
