@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import words
+from tidebar.llm.common import durable, words
 
 #: Fingerprints of 64 bits are compared within this radius: one of eight blocks of 8 bits then differs in 2 bits at most.
 RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
@@ -20,33 +20,46 @@ def lowered(text: Column) -> Column:
 
 
 def shingle_hashes(w: Column, size: int) -> Column:
-    """Hashes of all shingles of a word array in order; fewer words are one shingle, none have none."""
+    """Hashes of all shingles of an array of words' hashes in order; fewer words are one shingle, none have none."""
     whole = F.when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
     parts = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)), F.lit(0)))
     return F.when(F.size(w) >= size, parts).otherwise(whole)
 
 
+def hashed(w: Column) -> Column:
+    """Words' hashes: a word is hashed once, and its shingles from there."""
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def short_windows(w: Column, n: int) -> Column:
     """Place and hash of every window of n words, fewer than a shingle: hashed like an item of n words."""
     at = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(w, i + 1, n)).alias("h")))
     return F.when(F.size(w) >= n, at).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
 
-def with_simhash(df: DataFrame, w: str, name: str) -> DataFrame:
-    """df with the 64-bit SimHash of the word array w: a bit is the majority of that bit in the words' hashes."""
-    bit = "if(2 * aggregate(_h, 0, (n, x) -> n + cast(shiftright(x, b) & 1 as int)) > size(_h), 1L, 0L)"
-    hashed = df.withColumn("_h", F.transform(w, lambda x: F.xxhash64(x)))
+def fingerprints(df: DataFrame, keys: list[str], w: str, name: str) -> DataFrame:
+    """keys (of one row each) and the 64-bit SimHash of the word array w: a bit is the majority of that bit in the words'
+    hashes. Words are counted by an aggregate, two bits to a sum, which Spark begins where the rows are."""
+    h = F.xxhash64("_w")
+    sums = [F.sum(F.shiftrightunsigned(h, b).bitwiseAND(F.lit((1 << 32) + 1))).alias(f"_{b}") for b in range(32)]
+    counted = df.select(*keys, F.explode(w).alias("_w")).groupBy(*keys).agg(F.count("*").alias("_n"), *sums)
+    most = lambda count, b: F.when(2 * count > F.col("_n"), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0))
+    bits = F.lit(0).cast("long")
+    for b in range(32):
+        bits = bits + most(F.col(f"_{b}").bitwiseAND(F.lit((1 << 32) - 1)), b) + most(F.shiftrightunsigned(F.col(f"_{b}"), 32), b + 32)
     # coalesced, as a value that may be null gets a test for null in every join below, each with the whole expression
-    return hashed.withColumn(name, F.expr(f"coalesce(aggregate(sequence(0, 63), 0L, (bits, b) -> bits | shiftleft({bit}, b)), 0L)")).drop("_h")
+    return counted.select(*keys, F.coalesce(bits, F.lit(0).cast("long")).alias(name))
 
 
 def _block(fp: str, k: int) -> Column:
     return F.shiftrightunsigned(F.col(fp), k * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
 
 
-def _numbered(a: Column) -> Column:
-    """Array elements with the number of equal ones before them: set operations then count every copy."""
-    return F.transform(a, lambda x, i: F.struct(x.alias("x"), F.size(F.filter(F.slice(a, F.lit(1), i), lambda y: y == x)).alias("n")))
+def with_numbered(df: DataFrame, a: str, name: str) -> DataFrame:
+    """df with a hash for each element of the array a, of the element and the number of equal ones before it: sets of these
+    count every copy, and are compared by hashing."""
+    x = F.col("_sorted")
+    return df.withColumn("_sorted", F.sort_array(a)).withColumn(name, F.transform(x, lambda v, k: F.xxhash64(v, (k + 1).cast("long") - F.array_position(x, v)))).drop("_sorted")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", size: int = 5, similarity: float = 0.75) -> DataFrame:
@@ -63,12 +76,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     repeated ids as well. Other columns are ignored.
     """
     items = benchmark.select(F.col(item_id_col).alias("item_id"), words(lowered(F.col(item_text_col))).alias("iw")).where(F.size("iw") > 0)
-    items = with_simhash(items.withColumn("n", F.size("iw")).withColumn("ih", F.xxhash64("iw")).withColumn("ish", shingle_hashes(F.col("iw"), size)), "iw", "ifp")
+    items = items.withColumn("n", F.size("iw")).withColumn("ih", F.xxhash64("iw")).withColumn("ihw", hashed(F.col("iw"))).withColumn("ish", shingle_hashes(F.col("ihw"), size))
     marks = items.select("n", F.explode("ish").alias("h")).distinct()
     total, short = items.agg(F.sum("n"), F.collect_set(F.when(F.col("n") < size, F.col("n")))).first()
     marks = F.broadcast(marks) if (total or 0) <= BROADCAST_WORDS else marks
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    keyed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), words(lowered(F.col("text"))).alias("w"))
+    keyed = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), hashed(words(lowered(F.col("text")))).alias("w"))
     placed = F.transform(shingle_hashes(F.col("w"), size), lambda h, i: F.struct(i.alias("pos"), h.alias("h")))
     # items of fewer words than a shingle are looked for as windows of their own length
     placed = F.concat(placed, *(short_windows(F.col("w"), n) for n in short)) if short else placed
@@ -81,19 +94,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hits = hits.withColumn("c", F.count("*").over(W.partitionBy("doc_id", "text_hash", "n"))).where(enough)
     starts = hits.select("doc_id", "text_hash", "n", F.explode(F.sequence(F.greatest(F.col("pos") - span, F.lit(0)), F.col("pos"))).alias("start"))
     spots = starts.groupBy("doc_id", "text_hash", "n", "start").agg(F.count("*").alias("c")).where(enough)
-    rows = spots.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "start", "n")
-    found = texts.withColumn("text_hash", F.xxhash64("text")).join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
-    windows = found.select("doc_id", "text_hash", "start", "n", F.slice(words(lowered(F.col("text"))), F.col("start") + 1, F.col("n")).alias("ww")).distinct()
-    windows = with_simhash(windows, "ww", "wfp")
+    # a document's windows: no more than its words times the items' lengths
+    rows = spots.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("spots")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "spots")
+    found = texts.withColumn("text_hash", F.xxhash64("text")).join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).dropDuplicates(["doc_id", "text_hash"])
+    windows = found.select("doc_id", "text_hash", words(lowered(F.col("text"))).alias("w"), "spots").select("doc_id", "text_hash", "w", F.inline("spots"))
+    windows = windows.select("doc_id", "text_hash", "start", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("ww")).withColumn("wh", F.xxhash64("ww"))
+    windows = durable(windows)
+    # equal windows are compared once: a passage that many documents hold is one key below
+    contents = windows.select("wh", "n", "ww").dropDuplicates(["wh", "n"])
     near = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1)), lambda m: F.bit_count(m) <= RADIUS // BLOCKS)
     blocks = lambda fp: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _block(fp, k).alias("v")) for k in range(BLOCKS))))
-    index = items.select("item_id", "ih", "n", "ifp", blocks("ifp").alias("b")).select("item_id", "ih", "n", "ifp", "b.k", F.explode(F.transform(near, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
-    probe = windows.select("*", blocks("wfp").alias("b")).select("doc_id", "text_hash", "start", "n", "ww", "wfp", "b.k", "b.v")
-    pairs = probe.join(index, ["n", "k", "v"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS)
-    pairs = pairs.dropDuplicates(["doc_id", "text_hash", "start", "item_id", "ih"])
-    a, b = _numbered(shingle_hashes(F.col("ww"), size)), _numbered(F.col("ish"))
-    scored = pairs.join(items.select("ih", "ish").dropDuplicates(["ih"]), "ih").withColumn("a", a).withColumn("b", b).withColumn("similarity", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
-    best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("start", F.size("ww").alias("n"), "similarity"), F.struct("similarity", -F.col("start"))).alias("m"))
+    item_fps = fingerprints(items.select("ih", "n", "iw").dropDuplicates(["ih", "n"]), ["ih", "n"], "iw", "ifp")
+    index = item_fps.select("ih", "n", "ifp", blocks("ifp").alias("b")).select("ih", "n", "ifp", "b.k", F.explode(F.transform(near, lambda m: F.col("b.v").bitwiseXOR(m))).alias("v"))
+    probe = fingerprints(contents, ["wh", "n"], "ww", "wfp").select("*", blocks("wfp").alias("b")).select("wh", "n", "wfp", "b.k", "b.v")
+    pairs = probe.join(index, ["n", "k", "v"]).where(F.bit_count(F.col("wfp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("wh", "n", "ih").distinct()
+    mine = with_numbered(contents.select("wh", "n", hashed(F.col("ww")).alias("hw")).select("wh", "n", shingle_hashes(F.col("hw"), size).alias("s")), "s", "a").select("wh", "n", "a")
+    theirs = with_numbered(items.select("ih", "n", F.col("ish").alias("s")).dropDuplicates(["ih", "n"]), "s", "b").select("ih", "n", "b")
+    both = pairs.join(mine, ["wh", "n"]).join(theirs, ["ih", "n"]).withColumn("c", F.size(F.array_intersect("a", "b")))
+    alike = both.withColumn("similarity", F.col("c") / (F.size("a") + F.size("b") - F.col("c"))).where(F.col("similarity") >= similarity)
+    named = alike.join(items.select("ih", "n", "item_id"), ["ih", "n"]).select("wh", "n", "item_id", "similarity")
+    scored = windows.join(named, ["wh", "n"])
+    best = scored.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("start", F.size("ww").alias("n"), "similarity"), F.struct("similarity", -F.col("start"))).alias("m"))
     return best.select("doc_id", "item_id", F.col("m.start").cast("long").alias("start_word"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"), "text_hash")
 
 
