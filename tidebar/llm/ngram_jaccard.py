@@ -331,7 +331,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
         new = durable(verify(pairs, texts, size, percent))
         tried = tried.unionByName(new)
         if not new.where("linked").isEmpty():
-            root = components(tried.where("linked"))
+            known_stars = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            root = components(new.where("linked").select("a", "b").unionByName(known_stars))
     return rows.join(root, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("class"))
 
 
