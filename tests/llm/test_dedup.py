@@ -163,3 +163,15 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 90), (90, 95), (7, 7), (None, 3), (200, 199), (199, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 90, 95: 90, 90: 90, 200: 199, 199: 199}
+
+
+def test_components_of_chains_stars_and_cliques(spark):
+    rng = random.Random(3)
+    cases = [[], [(5, 5), (None, 1)], [(i, i + 1) for i in range(60)], [(9, i) for i in range(20, 40)], [(rng.randrange(300), rng.randrange(300)) for _ in range(180)], [(-i, i) for i in range(1, 9)] + [(3, -8)], [(i, j) for i in range(8) for j in range(i)]]
+    for links in cases:
+        least = {x: x for link in links if None not in link and link[0] != link[1] for x in link}
+        for _ in least:  # the plainest way: hand the smaller name on until nothing changes
+            for a, b in (link for link in links if link[0] in least and link[1] in least):
+                least[a] = least[b] = min(least[a], least[b])
+        got = components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert sorted((r.node, r.root) for r in got) == sorted(least.items())
