@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import functions as F
 
 from tidebar.llm import chat as op2
 from tidebar.llm import decontaminate as op4
+from tidebar.llm import filter_audit as op12
 from tidebar.llm import mixing as op6
 from tidebar.llm import ngram_jaccard as op8
 from tidebar.llm import quality_model as op9
@@ -207,3 +210,27 @@ def op9_quality_model(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = op9.fit(docs, labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade")))
     return op9.score(docs, model, 2)
+
+
+@query
+def op12_filter_audit(spark, sf_dir):
+    return op12.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Each kind of document goes through each order by itself: the filter that it fails first removes it.
+ORACLE_SQL["op12_filter_audit"] = f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {SQL_WORDS} AS ws, doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS again FROM documents),
+f AS (SELECT doc_id, part, concat(CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END,
+             CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text) THEN 'C' ELSE '' END,
+             CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END, CASE WHEN again THEN 'E' ELSE '' END) AS fails FROM w),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+k AS (SELECT part, fails, CAST(count(*) AS BIGINT) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails),
+o AS (SELECT unnest([{', '.join(f"'{''.join(p)}'" for p in permutations('ABCDE'))}]) AS filter_order),
+x AS (SELECT *, list_min(list_transform(string_split(fails, ''), lambda c: CASE WHEN c = '' THEN 6 ELSE instr(filter_order, c) END)) AS pos FROM k, o),
+s AS (SELECT *, filter_order[step] AS letter FROM x, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+c AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (WHERE coalesce(pos, 6) > step), 0) AS kept, coalesce(sum(n) FILTER (WHERE pos = step), 0) AS removed,
+             coalesce(sum(n) FILTER (WHERE contains(fails, letter) AND pos < step), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails = letter), 0) AS unique_fails,
+             coalesce(sum(good) FILTER (WHERE pos = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE pos = step), 0) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM c
+"""
