@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tidebar.llm import chat as op2
 from tidebar.llm import decontaminate as op4
 from tidebar.llm import filter_audit as op12
+from tidebar.llm import lexical as op11
 from tidebar.llm import mixing as op6
 from tidebar.llm import ngram_jaccard as op8
+from tidebar.llm import packing as op13
 from tidebar.llm import quality_model as op9
 from tidebar.llm import quality_rules as op5
 from tidebar.llm import sharding as op10
@@ -234,3 +236,31 @@ c AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (WHERE coa
 SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM c
 """
+
+
+@query
+def op13_packing(spark, sf_dir):
+    import public_tokenizers
+
+    return op13.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    return op11.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Every document that shares a term with an item is scored in full.
+ORACLE_SQL["op11_lexical_search"] = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+g AS (SELECT CAST(count(*) FILTER (WHERE len(ts) > 0) AS BIGINT) AS nn, CAST(sum(len(ts)) AS BIGINT) AS l FROM d),
+q AS MATERIALIZED (SELECT i, item_id, unnest(list_distinct(ts)) AS t FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS ts FROM benchmark)),
+p AS MATERIALIZED (SELECT r, t, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) SEMI JOIN q USING (t) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), g),
+m AS (SELECT r, doc_id, 100 - 90 + ((90 * len(ts) * nn) // l) AS m FROM d, g WHERE len(ts) > 0),
+s AS (SELECT i, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY i, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) <= 10
+"""
