@@ -128,22 +128,24 @@ def test_a_round_hangs_on_no_order_and_loses_nothing(items, keep, rng):
 @given(st.text(alphabet="aZé中 \t\n ᠎.,'s1<|endoftext|>", max_size=60) | st.text(max_size=40))
 def test_ids_are_the_library_s(text):
     library = Tokenizer.from_file(PATH)
-    for t in (text, text + " " + text, " " + text):
-        assert np.frombuffer(ENCODER.ids([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    for t in (text, text + " " + text, " " + text, "x" + text.replace("\n", ", ")):
+        assert np.frombuffer(ENCODER.ids([t, "a b", t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 ENCODER = packing.Encoder(PATH)
 
 
 def test_memory_of_pieces_is_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "MEMORY", 2000)
+    monkeypatch.setattr(packing, "GENERATION", 10_000)
+    monkeypatch.setattr(packing, "TOGETHER", 7)
     e = packing.Encoder(PATH)
     rng = random.Random(1)
     library = Tokenizer.from_file(PATH)
     for _ in range(20):
-        texts = [" ".join(prose(rng, 30, 10**6)) + " " + "y" * 500 for _ in range(3)]
+        texts = [" ".join(prose(rng, 30, 10**6)) + ", é; " + "y" * 500 + "\n ok." for _ in range(3)]
         assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(texts)] == [library.encode(t).ids for t in texts]
-        assert len(e.after_space) < 120 and not any(len(k) > packing.PIECE for k in e.after_space)
+        for m in (e.known, e.after_space):
+            assert len(m.now) + len(m.before) < 300 and not any(len(k) > packing.PIECE for k in m.before)
 
 
 def test_cuts():

@@ -3,9 +3,11 @@ rounds over the bins that are not nearly full."""
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import durable
-from tidebar.llm.token_counts import BATCH_BYTES, BOUNDARY, MEMORY, PIECE, batches, cuttable
+from tidebar.llm.token_counts import BATCH_BYTES, BOUNDARY, PIECE, batches, cuttable
 
 LENGTH, END_ID = 1024, 2
 #: A leaf of the tree packs about so many pieces; a node has so many children, and hands on so many bins at most, so that
@@ -32,57 +34,115 @@ _PLACED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64(
 BINS = "node long, sequence_id long, fill int, members binary"
 _BINS = pa.schema([("node", pa.int64()), ("sequence_id", pa.int64()), ("fill", pa.int32()), ("members", pa.binary())])
 
-#: Where a space does not follow a visible character.
-_ODD_SPACE = re.compile("^ |[\\s\u180e] ")
+#: A space that follows white space; it and a space at the start follow no visible character.
+_ODD_SPACE = re.compile(" (?<=[\\s\u180e] )")
+#: Bytes of pieces in each of two generations of a memory, and pieces that go to the library as one text.
+GENERATION, TOGETHER = 100 << 20, 500
+#: Bytes of texts that are cut at once.
+TEXT_BYTES = 4 << 20
+#: BOUNDARY also lies between one of the letters and one of the marks.
+_LETTERS = frozenset(c for c in map(chr, range(256)) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", c))
+_MARKS = frozenset(",.;:!?")
+
+
+class Memory:
+    """The ids of pieces, in bounded memory: what was asked for since the last generation began, and in the one before."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.held = 0
+
+    def unknown(self, pieces: set[str]) -> set[str]:
+        new = pieces - self.now.keys()
+        again = new & self.before.keys()
+        self.add({p: self.before[p] for p in again})
+        return new - again
+
+    def add(self, ids: dict[str, bytes]) -> None:
+        self.now.update(ids)
+        self.held += sum(map(len, ids)) + 200 * len(ids)
+
+    def age(self) -> None:
+        if self.held > GENERATION:
+            self.now, self.before, self.held = {}, {k: v for k, v in self.now.items() if len(k) <= PIECE}, 0
 
 
 class Encoder:
     """The ids of texts as little-endian 32-bit numbers, as the tokenizers library gives them without special tokens added.
 
     Texts are cut before spaces that follow a visible character (BOUNDARY says why that changes no token); each distinct
-    piece goes to the library once and is remembered, in bounded memory. Other texts are cut by BOUNDARY itself, and where
-    the tokenizer's file does not allow cuts, they go to the library whole.
+    piece goes to the library once and is remembered, in bounded memory. New pieces go there many in one text, as cuts at
+    their spaces change nothing; the bytes that each id stands for tell whose it is. Other texts are cut by BOUNDARY itself,
+    and where the tokenizer's file does not allow cuts, they go to the library whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
         model.no_truncation()
         model.no_padding()
-        self.encode = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.encode = lambda texts: [np.array(e.ids, "<u4") for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         self.cuttable = cuttable(path)
-        self.known: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
-        self.held = 0
+        if self.cuttable:
+            added = {t.content: len(t.content.encode()) for t in model.get_added_tokens_decoder().values()}
+            vocabulary = model.get_vocab(with_added_tokens=True)
+            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, k in vocabulary.items():
+                self.bytes_of[k] = added.get(token, len(token))  # a byte-level token has a character for each byte
+            self.marks = {m: i.tobytes() for m, i in zip(sorted(_MARKS), self.encode(sorted(_MARKS)))}
+        self.known, self.after_space = Memory(), Memory()
+
+    def _whole(self, pieces: list[str]) -> dict[str, bytes]:
+        return {p: i.tobytes() for batch in batches(pieces, BATCH_BYTES) for p, i in zip(batch, self.encode(batch))}
+
+    def _together(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that end in a visible character, each behind a space."""
+        out = {}
+        for k in range(0, len(pieces), TOGETHER):
+            some = pieces[k : k + TOGETHER]
+            ids = self.encode([" " + " ".join(some)])[0]
+            ends = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in some])
+            upto = np.cumsum(self.bytes_of[ids])
+            at = np.searchsorted(upto, ends)
+            if len(ids) and at[-1] < len(ids) and (upto[at] == ends).all():
+                data, at = ids.tobytes(), [0, *(4 * (at + 1)).tolist()]
+                out.update(zip(some, (data[a:b] for a, b in zip(at, at[1:]))))
+            else:
+                out.update((p, x.tobytes()) for p, x in zip(some, self.encode([" " + p for p in some])))
+        return out
 
-    def _learn(self, known: dict[str, bytes], pieces: set[str], prefix: str) -> list[str]:
-        """Makes known what is not; gives the pieces too long to be remembered."""
-        long = []
-        for batch in batches(pieces - known.keys(), BATCH_BYTES):
-            known.update(zip(batch, self.encode([prefix + p for p in batch])))
-            self.held += sum(map(len, batch)) + 200 * len(batch)
-            long += [p for p in batch if len(p) > PIECE]
-        return long
+    def _learn_after_space(self, pieces: set[str]) -> None:
+        memory = self.after_space
+        new = memory.unknown(pieces)
+        marked = [p for p in new if len(p) > 1 and p[-1] in _MARKS and p[-2] in _LETTERS]
+        heads = memory.unknown({p[:-1] for p in marked}) | new.difference(marked)
+        odd = [p for p in heads if not p or p[-1].isspace() or p[-1] == "\u180e"]
+        memory.add(self._together(list(heads.difference(odd))))
+        memory.add({p: x.tobytes() for p, x in zip(odd, self.encode([" " + p for p in odd]))})
+        memory.add({p: memory.now[p[:-1]] + self.marks[p[-1]] for p in marked})
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each of a few texts."""
-        plain = [t.split(" ") if self.cuttable and not _ODD_SPACE.search(t) else None for t in texts]
+        plain = [t.split(" ") if self.cuttable and t[:1] != " " and not _ODD_SPACE.search(t) else None for t in texts]
         odd = [None if p else BOUNDARY.split(t) if self.cuttable else [t] for p, t in zip(plain, texts)]
-        long = self._learn(self.known, {p[0] for p in plain if p}.union(*(o for o in odd if o)), "")
-        long_after = self._learn(self.after_space, set().union(*(p[1:] for p in plain if p)), " ")
-        known, after = self.known.__getitem__, self.after_space.__getitem__
+        self.known.add(self._whole(list(self.known.unknown({p[0] for p in plain if p}.union(*(o for o in odd if o))))))
+        self._learn_after_space(set().union(*(p[1:] for p in plain if p)))
+        known, after = self.known.now.__getitem__, self.after_space.now.__getitem__
         out = [b"".join([known(p[0]), *map(after, p[1:])]) if p else b"".join(map(known, o)) for p, o in zip(plain, odd)]
-        if self.held > MEMORY:
-            self.known, self.after_space, self.held = {}, {}, 0
-        else:
-            for k in long:
-                del self.known[k]
-            for k in long_after:
-                del self.after_space[k]
+        self.known.age()
+        self.after_space.age()
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, which outlives a task and keeps what it knows."""
+    return Encoder(path)
+
+
 def cut(n: int, length: int) -> list[int]:
     """Where the pieces of n tokens begin: all but the first have the full length."""
     first = (n - 1) % length + 1
@@ -97,13 +157,11 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in parts:
-            encoder = encoder or Encoder(path)
             doc, at = batch["doc_id"].to_pylist(), 0
-            for texts in batches(batch["text"].to_pylist(), 1 << 20):
+            for texts in batches(batch["text"].to_pylist(), TEXT_BYTES):
                 rows = []
-                for ids in encoder.ids(texts):
+                for ids in encoder(path).ids(texts):
                     data = memoryview(ids + end)
                     n = len(data) // 4
                     starts = cut(n, length)
