@@ -29,6 +29,16 @@ def test_moved_blocks_and_edited_ends(spark):
     assert bag(got) == bag(expected) and any(d == 0 for d, *_ in got)
 
 
+def test_texts_that_begin_or_end_within_an_item(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    item = [fresh(n) for n in (60, 40, 17)]
+    texts = [" ".join(t) for w in item for k in (2, len(w) // 6, len(w) // 3) for t in (w[k:] + fresh(50), fresh(50) + w[:-k], w[k:], w[:-k], w[k:-2] + fresh(9))]
+    got, expected = leaks_and_brute(spark, texts, [(k, " ".join(w)) for k, w in enumerate(item)])
+    assert bag(got) == bag(expected)
+    assert {(0, 0), (1, 0), (5, 0), (6, 0)} <= {(d, i) for d, i, _ in got}  # both ends alike, by up to ten words of sixty
+
+
 def test_items_shorter_than_a_shingle(spark):
     texts = ["a b c d e f g h", "x A  b", "b c d e", "h g f e d", "q", "a", "z z z z z z a b c", "", None]
     got, expected = leaks_and_brute(spark, texts, [(1, "a"), (2, "c D"), (3, "a b c"), (4, "b c d e"), (5, "z z z z"), (6, "d e f g h"), (7, "")])

@@ -93,6 +93,25 @@ def test_a_tokenizer_without_boundaries_counts_whole_texts(tmp_path):
     assert not token_counts.cuttable(path) and token_counts.Counter(path, "tokenizers").count(["a b", "", "a"]) == [1, 0, 1]
 
 
+@pytest.mark.parametrize("token", [{"content": "<|end of turn|>"}, {"content": "end."}, {"content": "<e>", "lstrip": True}, {"content": "<e>", "rstrip": True}, {"content": "ab", "single_word": True}, {"content": "<e>"}])
+def test_added_tokens_are_never_cut(tmp_path, token):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    flags = dict.fromkeys(("single_word", "lstrip", "rstrip", "normalized", "special"), False)
+    model["added_tokens"].append({"id": 50257, **flags, **token})
+    path = tmp_path / "added.json"
+    path.write_text(json.dumps(model))
+    library = Tokenizer.from_file(str(path))
+    t = token["content"]
+    texts = [f"say {t} and go", f"say{t}and", f"{t}", f"a  {t}  b", f"x {t}, y ab ab. c"]
+    assert token_counts.Counter(str(path), "tokenizers").count(texts) == [len(library.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert token_counts.cuttable(str(path)) == (token == {"content": "<e>"})
+
+
 def test_batches_are_balanced_by_bytes_and_long_pieces_forgotten():
     import public_tokenizers
 
@@ -369,8 +388,8 @@ def brute_leaks(rows, items):
         for i, u in items:
             v = low(u)
             best = 0.0
-            for s in range(len(w)) if v else ():
-                a, b = grams(w[s : s + len(v)]), grams(v)
+            for s in range(1 - len(v), len(w)) if v and w else ():
+                a, b = grams(w[max(s, 0) : s + len(v)]), grams(v)
                 both = sum((a & b).values())
                 best = max(best, both / (sum(a.values()) + sum(b.values()) - both))
             if best >= 0.75:

@@ -69,7 +69,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     the union has as many as the item at least, so the others cannot be similar enough. Windows and items
     get SimHash fingerprints of their words; multi-index blocks find all pairs within the radius; what is returned has a
     weighted Jaccard similarity (shingles count as often as they occur) of ``similarity`` or more. Of several windows of
-    a row, the most similar and then the first is given. Windows at the ends of a text are cut there.
+    a row, the most similar and then the first is given. Windows may reach beyond both ends of a text and are cut there, so
+    that a text that begins or ends within an item is held against as much of it.
 
     Case is ignored in A-Z. Null and empty texts and items match nothing; a text shorter than a shingle is one shingle. Rows
     with null or repeated ids are judged each on its own text (repeated rows give one result); items may have null or
@@ -92,13 +93,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     enough = F.col("c") >= similarity * (span + 1)
     # texts without enough shingles at all go before windows are made of the rest
     hits = hits.withColumn("c", F.count("*").over(W.partitionBy("doc_id", "text_hash", "n"))).where(enough)
-    starts = hits.select("doc_id", "text_hash", "n", F.explode(F.sequence(F.greatest(F.col("pos") - span, F.lit(0)), F.col("pos"))).alias("start"))
+    starts = hits.select("doc_id", "text_hash", "n", F.explode(F.sequence(F.col("pos") - span, F.col("pos"))).alias("start"))
     spots = starts.groupBy("doc_id", "text_hash", "n", "start").agg(F.count("*").alias("c")).where(enough)
     # a document's windows: no more than its words times the items' lengths
     rows = spots.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("spots")).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "spots")
     found = texts.withColumn("text_hash", F.xxhash64("text")).join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).dropDuplicates(["doc_id", "text_hash"])
     windows = found.select("doc_id", "text_hash", words(lowered(F.col("text"))).alias("w"), "spots").select("doc_id", "text_hash", "w", F.inline("spots"))
-    windows = windows.select("doc_id", "text_hash", "start", "n", F.slice("w", F.col("start") + 1, F.col("n")).alias("ww")).withColumn("wh", F.xxhash64("ww"))
+    windows = windows.select("doc_id", "text_hash", "start", "n", F.slice("w", F.greatest("start", F.lit(0)) + 1, F.col("n") + F.least("start", F.lit(0))).alias("ww")).withColumn("wh", F.xxhash64("ww"))
     windows = durable(windows)
     # equal windows are compared once: a passage that many documents hold is one key below
     contents = windows.select("wh", "n", "ww").dropDuplicates(["wh", "n"])
@@ -115,7 +116,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     named = alike.join(items.select("ih", "n", "item_id"), ["ih", "n"]).select("wh", "n", "item_id", "similarity")
     scored = windows.join(named, ["wh", "n"])
     best = scored.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("start", F.size("ww").alias("n"), "similarity"), F.struct("similarity", -F.col("start"))).alias("m"))
-    return best.select("doc_id", "item_id", F.col("m.start").cast("long").alias("start_word"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"), "text_hash")
+    return best.select("doc_id", "item_id", F.greatest("m.start", F.lit(0)).cast("long").alias("start_word"), F.col("m.n").cast("long").alias("n_words"), F.col("m.similarity").alias("similarity"), "text_hash")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -149,14 +149,14 @@ d AS (SELECT doc_id, ws FROM (SELECT doc_id, {_LOWER} AS ws FROM documents) WHER
 sizes AS (SELECT DISTINCT n FROM i WHERE n < 5),
 dsh AS (SELECT doc_id, unnest(sh) AS s, unnest(range(0, len(sh))) AS pos FROM (SELECT doc_id, {_SHINGLES.format('ws')} AS sh FROM d)
   UNION ALL SELECT doc_id, array_to_string(ws[k + 1:k + n], ' ') AS s, k AS pos FROM (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS k FROM d, sizes WHERE len(ws) >= 5 AND len(ws) >= n)),
-spot AS (SELECT DISTINCT doc_id, unnest(range(greatest(pos - greatest(n - 5, 0), 0), pos + 1)) AS start, n FROM dsh JOIN (SELECT DISTINCT n, s FROM ish) m USING (s)),
-win AS (SELECT doc_id, start, n, ws[start + 1:start + n] AS ww FROM spot JOIN d USING (doc_id)),
+spot AS (SELECT DISTINCT doc_id, unnest(range(pos - greatest(n - 5, 0), pos + 1)) AS start, n FROM dsh JOIN (SELECT DISTINCT n, s FROM ish) m USING (s)),
+win AS (SELECT doc_id, start, n, ws[greatest(start, 0) + 1:start + n] AS ww FROM spot JOIN d USING (doc_id)),
 wsh AS (SELECT doc_id, start, n, len(ww) AS lw, {_SHINGLES.format('ww')} AS sh FROM win),
 wc AS (SELECT doc_id, start, n, lw, s, count(*) AS c, any_value(total) AS total FROM (SELECT doc_id, start, n, lw, unnest(sh) AS s, len(sh) AS total FROM wsh) GROUP BY ALL),
 ic AS (SELECT item_id, n, s, count(*) AS c, any_value(total) AS total FROM (SELECT *, count(*) OVER (PARTITION BY item_id) AS total FROM ish) GROUP BY item_id, n, s),
 j AS (SELECT doc_id, item_id, start, lw, CAST(sum(least(wc.c, ic.c)) AS DOUBLE) AS inter, any_value(wc.total) AS tw, any_value(ic.total) AS ti FROM wc JOIN ic USING (n, s) GROUP BY doc_id, item_id, start, lw),
 k AS (SELECT *, inter / (tw + ti - inter) AS similarity FROM j)
-SELECT doc_id, item_id, CAST(start AS BIGINT) AS start_word, CAST(lw AS BIGINT) AS n_words, similarity
+SELECT doc_id, item_id, CAST(greatest(start, 0) AS BIGINT) AS start_word, CAST(lw AS BIGINT) AS n_words, similarity
 FROM k WHERE similarity >= 0.75
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
 """
