@@ -21,9 +21,13 @@ BATCH_BYTES = 1 << 18
 
 
 def cuttable(path: str) -> bool:
-    """Whether a tokenizer's file is byte-level with the usual pattern and changes no text before it: then BOUNDARY holds."""
+    """Whether a tokenizer's file is byte-level with the usual pattern, changes no text before it, and has no added token that
+    reaches over a boundary (by what it contains, or by taking the space beside it): then BOUNDARY holds."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
+    for token in model.get("added_tokens") or []:
+        if token.get("lstrip") or token.get("rstrip") or token.get("single_word") or BOUNDARY.search(f"x{token['content']}x", 1, len(token["content"]) + 1):
+            return False
     pre = model.get("pre_tokenizer") or {}
     return pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and model.get("normalizer") is None
 
