@@ -88,4 +88,4 @@ def test_prepared_universe(spark):
     assert out["residuals"].columns[-1] == "residual"
     values = out["returns"].select("symbol", "date", "log_return")
     if values.count():
-        assert runs.denoised_distances(spark, values, "log_return").where("distance < 0 or distance > 1").count() == 0
+        assert runs.denoised_distances(values, "log_return").where("distance < 0 or distance > 1").count() == 0
