@@ -59,7 +59,8 @@ def mad_rolling(ticks: DataFrame, keys: list[str], col: str = "price", value_win
 
 
 def mad_running(ticks: DataFrame, keys: list[str], value_winlen: int = 22, deviation_winlen: int = 333, k: float = 11) -> DataFrame:
-    """median, mad and mad_status from the first tick on, over as many rows as there are up to the window's length."""
+    """median, mad and mad_status from the first tick on, over as many rows as there are up to the window's length. A null
+    price is a row without a value and no outlier."""
     if max(value_winlen, deviation_winlen) > FRAME_MAX:
         return fold(ticks, keys, ["ts", "seq"], ["price"], mad_step(value_winlen, deviation_winlen, k), {"median": "double", "mad": "double", "mad_status": "string"})
     w = ordered(*keys)
@@ -71,22 +72,23 @@ def mad_running(ticks: DataFrame, keys: list[str], value_winlen: int = 22, devia
 
 
 def status_running(ticks: DataFrame, keys: list[str], value_winlen: int = 22, deviation_winlen: int = 333, k: float = 11) -> DataFrame:
-    """mad_running with status: the first that fits of zero volume, irregular condition, differing stamps, warm-up and
-    outlier; else clean with the session. Every tick moves the medians, whatever its status."""
+    """mad_running with status: the first that fits of zero volume, irregular condition, differing stamps, warm-up, outlier
+    and no price; else clean with the session. Every tick moves the medians, whatever its status."""
     out = with_session(mad_running(ticks, keys, value_winlen, deviation_winlen, k))
     status = (
         F.when(F.coalesce(F.col("volume"), F.lit(0)) < 1, "filtered: zero volume")
         .when(irregular(), "filtered: irregular condition")
         .when(stamps_differ(), "filtered: ts diff")
         .when(F.col("mad_status") != "mad_clean", F.concat(F.lit("filtered: "), "mad_status"))
+        .when(F.col("price").isNull(), "filtered: no price")
         .otherwise(F.concat(F.lit("clean: "), "session"))
     )
     return out.withColumn("status", status)
 
 
 def status_rolling(ticks: DataFrame, keys: list[str], value_winlen: int = 22, deviation_winlen: int = 1111, k: float = 11) -> DataFrame:
-    """mad_rolling with status: the last that fits of differing stamps, irregular condition, zero volume, warm-up and
-    outlier."""
+    """mad_rolling with status: the last that fits of no price, differing stamps, irregular condition, zero volume, warm-up
+    and outlier."""
     out = mad_rolling(ticks, keys, "price", value_winlen, deviation_winlen, k)
     place = F.row_number().over(ordered(*keys)) - 1
     status = (
@@ -95,6 +97,7 @@ def status_rolling(ticks: DataFrame, keys: list[str], value_winlen: int = 22, de
         .when(F.col("volume") == 0, "filtered: zero volume")
         .when(irregular(), "filtered: irregular condition")
         .when(stamps_differ(), "filtered: ts diff")
+        .when(F.col("price").isNull(), "filtered: no price")
         .otherwise("clean")
     )
     return out.withColumn("status", status)

@@ -137,6 +137,13 @@ def clock_pairs(segmented: DataFrame) -> DataFrame:
     return all_pairs(side("mid", "symbol"), side("large", "clock_symbol")).where("symbol <> clock_symbol")
 
 
+def wide(daily: DataFrame, value: str) -> DataFrame:
+    """date and values: a map from symbol to the largest value of the date, in order of symbols. A map holds however many
+    symbols there are, where a column for each would need their list in the driver. Null values are left out."""
+    each = daily.where(F.col(value).isNotNull()).groupBy("date", "symbol").agg(F.max(value).alias("v"))
+    return each.groupBy("date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("symbol", "v")))).alias("values"))
+
+
 def missing_keys(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that are wanted and not done."""
     return wanted.select(*keys).distinct().join(done.select(*keys).distinct(), keys, "left_anti")

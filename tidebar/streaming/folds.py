@@ -14,7 +14,7 @@ from tidebar.operators.folds import JMA, MAD, BarSampler, Thresholds
 from tidebar.operators.ticks import IRREGULAR, with_session
 
 STATE = "known string, us long, seq long"
-OUT = "symbol long, date date, seq long, us long, price double, volume long, status string, price_jma double, side int, bar_id long, bar_trigger string"
+OUT = "symbol {symbol}, date date, seq long, us long, price double, volume long, status string, price_jma double, side int, bar_id long, bar_trigger string"
 
 
 class TickChain:
@@ -35,7 +35,7 @@ class TickChain:
         s = self.sampler
         return {"windows": [list(self.mad.values.past), list(self.mad.deviations.past)], "seen": self.mad.seen, "jma": self.jma.state, "price": self.price, "side": self.side, "bar": s.bar, "last_return": s.last_return, "open": s.open}
 
-    def __call__(self, us: int, price: float, volume: int, conditions, exchange_us: int | None, session: str = "market-open") -> dict:
+    def __call__(self, us: int, price: float | None, volume: int | None, conditions, exchange_us: int | None, session: str = "market-open") -> dict:
         """status (clean with the session), and for clean ticks price_jma, side, bar_id and bar_trigger."""
         _, _, mad_status = self.mad(price)
         if volume is None or volume < 1:
@@ -46,6 +46,8 @@ class TickChain:
             status = "filtered: ts diff"
         elif mad_status != "mad_clean":
             status = f"filtered: {mad_status}"
+        elif price is None:
+            status = "filtered: no price"
         else:
             status = f"clean: {session}"
         out = {"status": status, "price_jma": None, "side": None, "bar_id": None, "bar_trigger": None}
@@ -65,7 +67,8 @@ def tick_stream(ticks: DataFrame, thresholds: Thresholds, mad: tuple[int, int, f
     As in a batch run, filters, averages and bars start anew with each symbol and local date, and a clean tick's status has
     its session. Rows of a micro-batch are put in order of (ts, seq); a tick that is not later than the last one handled is
     dropped as late, as are ticks behind the watermark. The state is a few windows and one open bar for each symbol and date;
-    it goes when the watermark has passed its last tick by keep_hours. A task holds one symbol's ticks of a micro-batch. Prices must not be null.
+    it goes when the watermark has passed its last tick by keep_hours.
+    A task holds one symbol's ticks of a micro-batch. Symbols may be of any type. A null price is filtered.
     """
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     rows = with_session(ticks).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).select("at", "symbol", F.to_date("local_ts").alias("date"), "seq", "price", "volume", "conditions", us("ts").alias("us"), us("exchange_ts").alias("exchange_us"), "session")
@@ -86,13 +89,13 @@ def tick_stream(ticks: DataFrame, thresholds: Thresholds, mad: tuple[int, int, f
             if (us, seq) <= last:
                 continue
             last = (int(us), int(seq))
-            got = chain(int(us), float(price), None if pd.isna(volume) else int(volume), conditions, None if pd.isna(exchange_us) else int(exchange_us), session)
+            got = chain(int(us), None if pd.isna(price) else float(price), None if pd.isna(volume) else int(volume), conditions, None if pd.isna(exchange_us) else int(exchange_us), session)
             out.append({"symbol": key[0], "date": key[1], "seq": seq, "us": us, "price": price, "volume": volume, **got})
         state.update((json.dumps(chain.known()), *last))
         state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + keep_hours * 3_600_000)
         yield pd.DataFrame(out, columns=names).astype({"side": "Int32", "bar_id": "Int64", "price_jma": "float64"})
 
-    out = rows.groupBy("symbol", "date").applyInPandasWithState(update, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy("symbol", "date").applyInPandasWithState(update, OUT.format(symbol=dict(ticks.dtypes)["symbol"]), STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("symbol", "date", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "seq", "price", "volume", "status", "price_jma", "side", "bar_id", "bar_trigger")
 
 
