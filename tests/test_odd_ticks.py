@@ -1,0 +1,83 @@
+"""Ticks without prices, symbols of any type, and runs over bars of several sizes."""
+
+import random
+from dataclasses import replace
+
+import pytest
+from pyspark.sql import functions as F
+
+from helpers import DATA
+from tidebar.operators import ticks
+from tidebar.operators.folds import MAD, Thresholds
+from tidebar.plans import runs
+from tidebar.sources import fixtures
+from tidebar.streaming.folds import tick_stream
+
+TICK = "symbol string, ts timestamp_ntz, seq long, price double, volume long, conditions array<int>, exchange_ts timestamp_ntz"
+
+
+def odd_ticks(spark, n=300, holes=0.2):
+    """Ticks of two symbols, some without a price, volume or conditions; the first ones have none."""
+    rng = random.Random(9)
+    rows = []
+    for s in ("A", "B"):
+        price = 50.0
+        for k in range(n):
+            price += rng.choice([-0.1, 0.0, 0.1, 0.2, -0.2])
+            rows.append((s, f"2024-01-02 {15 + k // 60:02d}:{k % 60:02d}:00", k, None if k < 3 or rng.random() < holes else price + (40 if k % 97 == 50 else 0), None if k % 50 == 7 else 5, None if k % 3 else [1], None))
+    d = spark.createDataFrame(rows, TICK.replace("timestamp_ntz", "string"))
+    return d.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "exchange_ts")})
+
+
+@pytest.mark.parametrize("windows", [(5, 11), (4, 60)])
+def test_both_forms_of_running_medians_agree_on_nulls(spark, monkeypatch, windows):
+    t = odd_ticks(spark)
+    read = lambda: sorted(tuple(r) for r in ticks.mad_running(t, ["symbol"], *windows, 50).select("symbol", "seq", F.round("median", 9), F.round("mad", 9), "mad_status").collect())
+    framed = read()
+    monkeypatch.setattr(ticks, "FRAME_MAX", 0)
+    assert read() == framed
+    assert {r[4] for r in framed} == {"mad_warmup", "mad_outlier", "mad_clean"} and framed[0][2] is None
+
+
+def test_default_filter_takes_null_prices(spark):
+    out = ticks.status_running(odd_ticks(spark), ["symbol"])
+    assert out.count() == 600
+    assert ticks.clean(out).where("price is null").count() == 0
+    assert out.where("status = 'filtered: no price'").count() > 20
+    rolled = ticks.status_rolling(odd_ticks(spark), ["symbol"], 3, 9)
+    assert ticks.clean(rolled).where("price is null").count() == 0 and ticks.clean(rolled).count() > 100
+
+
+def test_a_stream_without_values_has_no_median():
+    m = MAD(2, 3, 10)
+    assert [m(v) for v in (None, None, 5.0, None)] == [(None, 0.0025, "mad_warmup"), (None, 0.0025, "mad_clean"), (5.0, 0.0025, "mad_clean"), (5.0, 0.0025, "mad_clean")]
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_streams_of_symbols_of_any_type(spark, tmp_path, kind):
+    t = odd_ticks(spark, 60, 0.1)
+    t = t if kind == "string" else t.withColumn("symbol", F.ascii("symbol").cast("long"))
+    t.write.parquet(f"{tmp_path}/in")
+    q = tick_stream(spark.readStream.schema(t.schema).parquet(f"{tmp_path}/in"), Thresholds(renko_size=0.5), (3, 9, 50)).writeStream.format("memory").queryName(f"odd_{kind}").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    out = spark.table(f"odd_{kind}")
+    assert dict(out.dtypes)["symbol"] == {"string": "string", "long": "bigint"}[kind] and out.count() == 120
+    batch = ticks.status_running(t, ["symbol"], 3, 9, 50).select("symbol", "seq", "status")
+    assert sorted(map(tuple, out.select("symbol", "seq", "status").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_labels_of_a_run_risk_their_own_bars_size(spark):
+    t = fixtures.ticks(spark, DATA).where("symbol < 7").withColumn("symbol", F.col("symbol").cast("string"))
+    c = replace(runs.Config(), mad=(2, 3, 1e9), thresholds=Thresholds(renko_size=20.0, renko_return="price_return", min_tick_count=1, least_ticks=1, max_duration=8 * 3600 * 1_000_000), rewards=(0.5, 1.0))
+    dated = t.withColumn("date", F.to_date(runs.local_time("ts")))
+    size = F.when(F.pmod(F.xxhash64("symbol", "date"), F.lit(2)) == 0, 15.0).otherwise(60.0)
+    sizes = dated.select("symbol", "date").distinct().withColumn("renko_size", size)
+    names = ["symbol", "date", "bar_id", "renko_size", "label_side", "label_outcome", "label_rrr", "label_outcome_at"]
+    read = lambda df: sorted((tuple(r) for r in df.select(*names).collect()), key=str)
+    both = runs.bar_run(t, c, sizes)
+    apart = [runs.bar_run(t, replace(c, risk=x), sizes.where(F.col("renko_size") == x)) for x in (15.0, 60.0)]
+    assert read(both) == read(apart[0].unionByName(apart[1]))
+    fixed = runs.bar_run(t, c)
+    assert {r.renko_size for r in fixed.select("renko_size").distinct().collect()} == {20.0}
+    labelled = both.where("label_start_at is not null")
+    assert labelled.where("label_end_at - label_start_at <> interval 8 hours").count() == 0

@@ -6,11 +6,13 @@ The test tables hold some 70 ticks a symbol over 30 days, so bar sizes, windows
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars
-from tidebar.operators import bars, cluster, features, folds, joins, labels, matrix, ticks, universe
+from tidebar.operators import bars, cluster, density, features, folds, joins, labels, linkage, matrix, robust, stationarity, ticks, universe
 from tidebar.operators.folds import Thresholds
+from tidebar.plans import runs
 from tidebar.sources import fixtures, market_data
 from tidebar.sources.fixtures import SQL_DAILY, SQL_DETAILS, SQL_TICKS, table
 from tidebar.streaming import folds as stream_folds
@@ -371,15 +373,15 @@ def label_ticks(spark, sf_dir) -> DataFrame:
     return folds.fold(fixtures.ticks(spark, sf_dir), ["symbol"], ["ts", "seq"], ["price"], lambda: _jma_now(folds.JMA(LABEL_JMA, 1)), {"price_jma": "double"})
 
 
-def _sql_barrier() -> str:
-    at = ", ".join(f"min(CASE WHEN jma >= entry + {RISK * x} THEN ts END) AS long_{k}, min(CASE WHEN jma <= entry - {RISK * x} THEN ts END) AS short_{k}" for k, x in enumerate(REWARDS))
+def _sql_barrier(risk: str = f"{RISK}::DOUBLE") -> str:
+    at = ", ".join(f"min(CASE WHEN jma >= entry + {risk} * {x}::DOUBLE THEN ts END) AS long_{k}, min(CASE WHEN jma <= entry - {risk} * {x}::DOUBLE THEN ts END) AS short_{k}" for k, x in enumerate(REWARDS))
     best = {s: "CASE " + " ".join(f"WHEN {s}_{k} IS NOT NULL AND ({s}_stop IS NULL OR {s}_{k} < {s}_stop) THEN {REWARDS[k]}" for k in reversed(range(len(REWARDS)))) + " END" for s in ("long", "short")}
     when = {s: "CASE " + " ".join(f"WHEN {s}_{k} IS NOT NULL AND ({s}_stop IS NULL OR {s}_{k} < {s}_stop) THEN {s}_{k}" for k in reversed(range(len(REWARDS)))) + f" ELSE coalesce({s}_stop, label_end_at) END" for s in ("long", "short")}
     kind = lambda s: f"CASE WHEN {s}_best IS NOT NULL THEN 'profit' WHEN {s}_stop IS NOT NULL THEN 'stop' ELSE 'neutral' END"
     return f"""WITH RECURSIVE {SQL_LABEL_TICKS}, {SQL_DAYBARS},
 i AS (SELECT b.symbol, b.bar_id, b.close_at, b.close_at + INTERVAL {HORIZON} MINUTE AS label_end_at, t.ts, t.price, t.jma, first_value(t.price) OVER (PARTITION BY b.symbol, b.bar_id ORDER BY t.ts, t.seq) AS entry
-  FROM db b JOIN lt t ON t.symbol = b.symbol AND t.ts >= b.close_at + INTERVAL 3 SECOND AND t.ts < b.close_at + INTERVAL {HORIZON} MINUTE),
-h AS (SELECT symbol, bar_id, min(close_at) AS label_start_at, min(label_end_at) AS label_end_at, min(CASE WHEN jma < entry - {RISK} THEN ts END) AS long_stop, min(CASE WHEN jma > entry + {RISK} THEN ts END) AS short_stop, {at} FROM i GROUP BY symbol, bar_id),
+  FROM (SELECT * FROM db WHERE {risk} IS NOT NULL) b JOIN lt t ON t.symbol = b.symbol AND t.ts >= b.close_at + INTERVAL 3 SECOND AND t.ts < b.close_at + INTERVAL {HORIZON} MINUTE),
+h AS (SELECT symbol, bar_id, min(close_at) AS label_start_at, min(label_end_at) AS label_end_at, min(CASE WHEN jma < entry - {risk} THEN ts END) AS long_stop, min(CASE WHEN jma > entry + {risk} THEN ts END) AS short_stop, {at} FROM i GROUP BY symbol, bar_id),
 k AS (SELECT *, {best['long']} AS long_best, {best['short']} AS short_best, {when['long']} AS long_at, {when['short']} AS short_at FROM h),
 l AS (SELECT *, {kind('long')} AS lk, {kind('short')} AS sk FROM k),
 o AS (SELECT *, CASE WHEN lk = 'profit' AND sk = 'stop' THEN 'long' WHEN sk = 'profit' AND lk = 'stop' THEN 'short' WHEN lk <> 'profit' AND sk <> 'profit' THEN 'neutral' END AS label_side FROM l)
@@ -396,6 +398,14 @@ def triple_barrier_labels(spark, sf_dir):
     return labels.triple_barrier(b, t, ["symbol"], RISK, HORIZON, 5 * DAY, REWARDS).drop("close_at")
 
 
+@query(_sql_barrier("CASE WHEN symbol % 3 = 0 THEN 25.0::DOUBLE WHEN symbol % 3 = 1 THEN 90.0::DOUBLE END"))
+def barrier_labels_by_size(spark, sf_dir):
+    """What a label risks is its bar's own size; bars without one stay without label."""
+    size = F.when(F.col("symbol") % 3 == 0, 25.0).when(F.col("symbol") % 3 == 1, 90.0)
+    b = day_bars(spark, sf_dir).select("symbol", "bar_id", "close_at", size.alias("renko_size"))
+    return labels.triple_barrier(b, label_ticks(spark, sf_dir), ["symbol"], "renko_size", HORIZON, 5 * DAY, REWARDS).drop("close_at", "renko_size")
+
+
 @query(f"""WITH {SQL_TICKS}, {SQL_SIDED}, f AS (SELECT symbol, count(*) AS n, regr_slope(price, rn - 1) AS b, regr_intercept(price, rn - 1) AS a, regr_r2(price, rn - 1) AS r2, regr_sxx(price, rn - 1) AS sxx, regr_syy(price, rn - 1) AS syy, avg(rn - 1) AS mx FROM sided GROUP BY symbol HAVING count(*) >= 30),
 e AS (SELECT *, sqrt((syy - b * b * sxx) / (n - 2)) AS err FROM f)
 SELECT symbol, n, round(b, 6) AS trend_slope, round(a, 6) AS trend_const, round(r2, 6) AS trend_r2, round(a / (err * sqrt(1.0::DOUBLE / n + mx * mx / sxx)), 6) AS trend_const_t, round(b / (err / sqrt(sxx)), 6) AS trend_slope_t FROM e""")
@@ -624,6 +634,73 @@ def corr_distance_pairs(spark, sf_dir):
     return out.select("a", "b", r("corr").alias("corr"), r(F.sqrt(F.abs((1 - F.abs(F.round("corr", 9))) / 2))).alias("distance"))
 
 
+SQL_SHRUNK = f"""{SQL_RETURNS}, {_PAIRS}, cm AS (SELECT symbol, avg(log_return) AS m FROM rt GROUP BY symbol),
+sp AS (SELECT p.a, p.b, count(*) AS n, avg((x - u.m) * (y - v.m)) AS s, avg(pow(x - u.m, 2) * pow(y - v.m, 2)) AS q FROM p JOIN cm u ON u.symbol = p.a JOIN cm v ON v.symbol = p.b GROUP BY p.a, p.b),
+ss AS (SELECT CAST(max(n) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE a = b) AS DOUBLE) AS k, sum(s) FILTER (WHERE a = b) AS trace, sum(CASE WHEN a = b THEN 1 ELSE 2 END * s * s) AS s2, sum(CASE WHEN a = b THEN 1 ELSE 2 END * q) AS q FROM sp),
+sm AS (SELECT *, trace / k AS mu FROM ss)"""
+
+
+def _sql_shrunk(share: str) -> str:
+    return f"WITH {SQL_SHRUNK}, sh AS (SELECT mu, {share} AS share FROM sm) SELECT a, b, round((1 - share) * s + CASE WHEN a = b THEN share * mu ELSE 0 END, 7) AS cov, round(share, 6) AS shrinkage FROM sp, sh"
+
+
+@query(_sql_shrunk("coalesce(least((q - s2) / n, s2 - k * mu * mu) / nullif(s2 - k * mu * mu, 0), 0)"))
+def shrunk_cov_pairs(spark, sf_dir):
+    out = matrix.shrunk_covariance(price_returns(spark, sf_dir), "log_return")
+    return out.select("a", "b", r("cov", 7).alias("cov"), r("shrinkage").alias("shrinkage"))
+
+
+@query(_sql_shrunk("least((s2 / (k * k) + mu * mu) / ((n + 1) * (s2 / (k * k) - mu * mu / k)), 1)"))
+def oas_cov_pairs(spark, sf_dir):
+    out = matrix.shrunk_covariance(price_returns(spark, sf_dir), "log_return", "oas")
+    return out.select("a", "b", r("cov", 7).alias("cov"), r("shrinkage").alias("shrinkage"))
+
+
+@query(None)
+def denoised_distance_pairs(spark, sf_dir):
+    """Shrunk, denoised and detoned correlations of the returns, and their distances."""
+    return rounded(runs.denoised_distances(price_returns(spark, sf_dir), "log_return", detone=1))
+
+
+@query(None)
+def ward_merges(spark, sf_dir):
+    """Ward's tree of the symbols by their returns."""
+    return rounded(linkage.ward(linkage.squared_distances(price_returns(spark, sf_dir), "log_return")))
+
+
+def _symbol_points(spark, sf_dir) -> DataFrame:
+    """Each symbol's trade sizes and ranges as a point: in units in which the universe is a few wide."""
+    each = market(spark, sf_dir).groupBy("symbol").agg(F.avg(F.log10("dollar_total")).alias("x"), F.avg("range_value_pct").alias("y"))
+    return each.select("symbol", F.array(F.round(F.col("x") * 20, 4), F.round(F.col("y") * 20, 4)).alias("v"))
+
+
+#: Distances from all pairs; clusters by repeated steps to the least core row.
+SQL_DBSCAN = f"""{SQL_UNIVERSE}, pt AS MATERIALIZED (SELECT symbol, [round(avg(log10(dollar_total)) * 20, 4), round(avg(range_value_pct) * 20, 4)] AS v FROM nd GROUP BY symbol),
+nb AS MATERIALIZED (SELECT a.symbol AS a, b.symbol AS b FROM pt a, pt b WHERE list_distance(a.v, b.v) <= 0.25), co AS MATERIALIZED (SELECT a AS symbol FROM nb GROUP BY a HAVING count(*) >= 4),
+re AS (SELECT symbol AS a, symbol AS b FROM co UNION SELECT re.a, nb.b FROM re JOIN nb ON re.b = nb.a SEMI JOIN co ON co.symbol = nb.b), ro AS MATERIALIZED (SELECT a AS symbol, min(b) AS root FROM re GROUP BY a)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_DBSCAN} SELECT pt.symbol AS id, co.symbol IS NOT NULL AS core, coalesce(ro.root, (SELECT min(r2.root) FROM nb JOIN ro r2 ON r2.symbol = nb.b WHERE nb.a = pt.symbol)) AS cluster
+FROM pt LEFT JOIN co USING (symbol) LEFT JOIN ro USING (symbol)""")
+def dbscan_symbols(spark, sf_dir):
+    return density.dbscan(_symbol_points(spark, sf_dir), "symbol", "v", 0.25, 4).select("id", "core", "cluster")
+
+
+@query(f"""WITH RECURSIVE {SQL_DBSCAN}, cd AS (SELECT a.symbol AS id, list_sort(list(list_distance(a.v, b.v)))[4] AS d FROM pt a, pt b GROUP BY a.symbol)
+SELECT id, round(CASE WHEN d <= 0.8 THEN d END, 6) AS core_distance, co.symbol IS NOT NULL AS core, ro.root AS cluster FROM cd LEFT JOIN co ON co.symbol = id LEFT JOIN ro ON ro.symbol = id""")
+def optics_symbols(spark, sf_dir):
+    """Core distances within a wide radius, and the forest cut at a narrow one."""
+    core, forest = density.reachability_forest(_symbol_points(spark, sf_dir), "symbol", "v", 0.8, 4)
+    return density.cut(core, forest, 0.25).join(core, "id").select("id", r("core_distance").alias("core_distance"), "core", "cluster")
+
+
+@query(None)
+def mcd_weights(spark, sf_dir):
+    """Which vectors the minimum covariance determinant leaves out."""
+    out, _ = robust.minimum_covariance_determinant(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", starts=4)
+    return rounded(out)
+
+
 _SECTORS = "lb AS (SELECT symbol, CAST(symbol % 3 AS INTEGER) AS cluster FROM (SELECT DISTINCT symbol FROM rt))"
 
 
@@ -674,13 +751,13 @@ def top_clusters(spark, sf_dir):
     return rounded(cluster.top_clusters(m, 5, 0.25, 5))
 
 
-@query(f"PIVOT (WITH {SQL_UNIVERSE} SELECT date, 's' || symbol AS symbol, close FROM nd) ON symbol USING round(max(close), 4) GROUP BY date", date=True)
+@query(f"""WITH {SQL_UNIVERSE}, m AS (SELECT date, symbol, max(close) AS v FROM nd WHERE close IS NOT NULL GROUP BY date, symbol)
+SELECT date, count(*) AS symbols, string_agg(symbol || ':' || CAST(round(v * 10000) AS BIGINT), ' ' ORDER BY symbol) AS prices, round(max(v), 4) AS highest FROM m GROUP BY date""", date=True)
 def price_pivot(spark, sf_dir):
-    """A column for every symbol; the driver gets their list, as columns need names."""
-    rows = market(spark, sf_dir)
-    symbols = [x.symbol for x in rows.select("symbol").distinct().orderBy("symbol").collect()]
-    out = rows.groupBy("date").pivot("symbol", symbols).agg(F.max("close"))
-    return rounded(out.withColumnsRenamed({str(k): f"s{k}" for k in symbols}), 4)
+    """A row for each date that has every symbol's price; the map as text, in ten thousandths."""
+    out = universe.wide(market(spark, sf_dir), "close")
+    text = F.transform(F.map_entries("values"), lambda e: F.concat_ws(":", e["key"].cast("string"), F.round(e["value"] * 10000).cast("long").cast("string")))
+    return out.select("date", F.size("values").cast("long").alias("symbols"), F.array_join(text, " ").alias("prices"), r(F.array_max(F.map_values("values")), 4).alias("highest"))
 
 
 # --- daily statistics, planning, joins ----------------------------------------------------------------------------------------------
@@ -821,6 +898,36 @@ def fracdiff_correlation(spark, sf_dir):
     return rounded(d.groupBy("symbol").agg(F.corr("price", "fd").alias("corr")))
 
 
+_ORDERS, _FD = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], 5
+
+
+def _sql_adf() -> str:
+    """One lag: the normal equations of two regressors solved by hand."""
+    term = lambda d, back: " + ".join(f"lag(price, {k + back}) OVER w * ({x!r})::DOUBLE" for k, x in enumerate(scalars.fracdiff_weights(d, _FD)))
+    each = " UNION ALL ".join(f"SELECT symbol, {d}::DOUBLE AS d, {', '.join(f'{term(d, k)} AS f{k}' for k in range(3))} FROM fl WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)" for d in _ORDERS)
+    c = [f"({b})::DOUBLE / pow(n, {k})" for k, b in enumerate(stationarity.CRITICAL_5)]
+    return f"""{SQL_TICKS}, {SQL_SIDED}, fl AS (SELECT symbol, ts, seq, sum(side * price) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS price FROM sided), af AS ({each}), ax AS (SELECT symbol, d, f0 - f1 AS y, f1 AS u, f1 - f2 AS w FROM af WHERE f2 IS NOT NULL),
+an AS (SELECT symbol, d, count(*) AS n, covar_pop(u, u) AS uu, covar_pop(w, w) AS ww, covar_pop(u, w) AS uw, covar_pop(u, y) AS uy, covar_pop(w, y) AS wy, covar_pop(y, y) AS yy FROM ax GROUP BY symbol, d),
+ab AS (SELECT *, uu * ww - uw * uw AS det, (uy * ww - wy * uw) / (uu * ww - uw * uw) AS b, (wy * uu - uy * uw) / (uu * ww - uw * uw) AS c FROM an),
+az AS (SELECT symbol, d, n, b / sqrt((yy - b * uy - c * wy) * n / (n - 3) * ww / (n * det)) AS adf, {' + '.join(c)} AS critical FROM ab)"""
+
+
+def _flow(spark, sf_dir) -> DataFrame:
+    """The signed prices of a symbol's ticks so far: a walk, unlike the prices themselves."""
+    w = W.partitionBy("symbol").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
+    return sided(spark, sf_dir).select("symbol", "ts", "seq", F.sum(F.col("side") * F.col("price")).over(w).alias("flow"))
+
+
+@query(f"WITH {_sql_adf()} SELECT symbol, d, n, round(adf, 5) AS adf, round(critical, 5) AS critical, adf < critical AS stationary FROM az")
+def adf_orders(spark, sf_dir):
+    return rounded(stationarity.dickey_fuller(_flow(spark, sf_dir), ["symbol"], ["ts", "seq"], "flow", _ORDERS, _FD), 5)
+
+
+@query(f"WITH {_sql_adf()} SELECT symbol, min(CASE WHEN adf < critical THEN d END) AS d FROM az GROUP BY symbol")
+def stationary_order(spark, sf_dir):
+    return stationarity.least_order(stationarity.dickey_fuller(_flow(spark, sf_dir), ["symbol"], ["ts", "seq"], "flow", _ORDERS, _FD), ["symbol"])
+
+
 @query(f"WITH l AS ({_sql_barrier()}) SELECT CAST(label_start_at AS DATE) AS date, {', '.join(f'''round(avg(CASE WHEN label_outcome = '{v}' THEN 1.0::DOUBLE ELSE 0 END), 6) AS {v}''' for v in ('profit', 'neutral', 'unknown'))} FROM l GROUP BY 1", date=True)
 def label_fractions(spark, sf_dir):
     t = label_ticks(spark, sf_dir)
