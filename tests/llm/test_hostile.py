@@ -146,6 +146,45 @@ def test_a_boilerplate_of_thousands_makes_no_pairs(spark):
     assert got == {k: k if k < 3000 else k - 3000 for k in range(3040)}
 
 
+def near_threshold(percent, n, words=220):
+    """n texts of which any two share about percent of their shingles' union: a common part, and an own part."""
+    shared = round(words * 2 * percent / (100 + percent))
+    head = [f"c{k}" for k in range(shared + 4)]
+    return [" ".join(head + [f"o{d}_{k}" for k in range(words - shared)]) for d in range(n)]
+
+
+@pytest.mark.parametrize("percent, linked", [(73, False), (74, False), (74.5, False), (76, True)])
+def test_groups_near_the_threshold_make_no_pairs(spark, monkeypatch, percent, linked):
+    """300 documents in five tiles, any two just below or above the threshold: every stage gives out rows as many as there
+    are members in tile pairs at most, and links are a forest."""
+    monkeypatch.setattr(ngram_jaccard, "TILE", 64)
+    seen = {}
+    for name in ("_closest", "_partnered", "_spanning"):
+        plain = getattr(ngram_jaccard, name)
+
+        def counted(*options, name=name, plain=plain):
+            total = seen.setdefault(name, spark.sparkContext.accumulator(0))
+            inner = plain(*options)
+
+            def run(batches):
+                for b in inner(batches):
+                    total.add(b.num_rows)
+                    yield b
+
+            return run
+
+        monkeypatch.setattr(ngram_jaccard, name, counted)
+    tiled, plain_tiled = [], ngram_jaccard._tiled
+    monkeypatch.setattr(ngram_jaccard, "_tiled", lambda members: tiled.append(plain_tiled(members)) or tiled[-1])
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(near_threshold(percent, 300))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.jaccard_components(d).collect()}
+    assert got == {k: 0 if linked else k for k in range(300)}
+    members = tiled[0].count()
+    assert seen["_partnered"].value <= members and seen["_closest"].value <= members and seen["_spanning"].value <= (members if linked else 0)
+    if not linked:
+        assert tiled[0].select("p", "q").distinct().count() >= 10  # five tiles
+
+
 def test_tiles_find_what_one_task_finds(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "TILE", 3)
     monkeypatch.setattr(ngram_jaccard, "ROUNDS", 0)

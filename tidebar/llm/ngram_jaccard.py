@@ -10,13 +10,17 @@ of their cells recur at all.
 Documents with a cell in common are a group. First each document is compared with one other of its groups, on the
 shingles themselves. Groups that this leaves in several components are cut into tiles of bounded size; a task compares
 the bit sketches of one pair of tiles (Hamming distance again bounds the symmetric difference from below) and gives out
-only each document's closest outside its component, then, when few are left, all that the sketches do not rule out.
+only each document's closest outside its component. Documents whose sketches then still allow a partner meet once more
+with their texts; the exact test takes place in the task, which gives out the links of a spanning forest, never pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -167,15 +171,14 @@ def _folded(sketch: bytes, size: int) -> np.ndarray:
     return x
 
 
-def _compare(percent: int, root: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: list[bytes], side: np.ndarray | None, all_: bool) -> list[np.ndarray]:
-    """Pairs (node, node, how many bits differ) of different components that sizes and sketches do not rule out; of each
+def _compare(percent: int, root: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: list[bytes], side: np.ndarray | None, all_: bool) -> Iterator[np.ndarray]:
+    """Pairs (node, node, how many bits differ), those of one document at a time, of different components that sizes and sketches do not rule out; of each
     document only the closest, unless all_. side: for two tiles, which of them a document is in; pairs lie across."""
     size = min(map(len, sketch))
     bits = np.array([_folded(x, size) for x in sketch])
     wide = bits.view(np.uint64) if size % 8 == 0 else bits
     roots, count = np.unique(root, return_counts=True)
     largest = root == roots[count.argmax()]
-    out = []
     for i in np.flatnonzero(~largest).tolist():  # each pair once: with one of the largest component, or a later one
         j = largest | (root != root[i])
         if all_:
@@ -191,52 +194,94 @@ def _compare(percent: int, root: np.ndarray, node: np.ndarray, n: np.ndarray, sk
         if not all_:
             k = int(differ.argmin())
             if near[k]:
-                out.append(np.array([[node[i], node[j[k]], differ[k]]]))
+                yield np.array([[node[i], node[j[k]], differ[k]]])
         elif near.any():
-            out.append(np.stack([np.full(int(near.sum()), node[i]), node[j[near]], differ[near]], 1))
-    return out
+            yield np.stack([np.full(int(near.sum()), node[i]), node[j[near]], differ[near]], 1)
+
+
+def _by_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each tile pair, of rows sorted by g, p and q."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        g, p, q = (batch[c].to_numpy() for c in ("g", "p", "q"))
+        starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if len(g) else []
+        for s, e in zip(starts, [*starts[1:], len(g)]):
+            key = int(g[s]), int(p[s]), int(q[s])
+            if key != now and held:
+                yield pa.Table.from_batches(held)
+                held.clear()
+            now = key
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_of(percent: int, t: pa.Table, all_: bool) -> Iterator[np.ndarray]:
+    """_compare of a tile pair's rows."""
+    root, node, n, tile = (t[c].to_numpy() for c in ("root", "node", "n", "tile"))
+    return iter(()) if (root == root[0]).all() else _compare(percent, root, node, n, t["sketch"].to_pylist(), tile if t["p"][0] != t["q"][0] else None, all_)
 
 
-def _possible(percent: int, all_: bool):
-    """Over rows (g, p, q, tile, root, node, n, sketch) sorted by g, p and q: _compare of each tile pair."""
+def _closest(percent: int):
+    """Over rows (g, p, q, tile, root, node, n, sketch): of each document the closest of another component in each tile pair."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        now = None
+        for t in _by_tiles(batches):
+            pairs = np.concatenate([np.zeros((0, 3), np.int64), *_pairs_of(percent, t, False)])
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2], pairs[:, 0]))]
+            pairs = pairs[runs(pairs[:, 0])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], ["a", "b", "differ"])
 
-        def close() -> list[np.ndarray]:
-            t = pa.Table.from_batches(held)
-            root, node, n, tile = (t[c].to_numpy() for c in ("root", "node", "n", "tile"))
-            return [] if (root == root[0]).all() else _compare(percent, root, node, n, t["sketch"].to_pylist(), tile if now[1] != now[2] else None, all_)
+    return run
 
-        for batch in batches:
-            g, p, q = (batch[c].to_numpy() for c in ("g", "p", "q"))
-            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if len(g) else []
-            out = []
-            for s, e in zip(starts, [*starts[1:], len(g)]):
-                key = int(g[s]), int(p[s]), int(q[s])
-                if key != now and held:
-                    out += close()
-                    held.clear()
-                now = key
-                held.append(batch.slice(s, e - s))
-            yield _pairs(out, all_)
-        if held:
-            yield _pairs(close(), all_)
+
+def _partnered(percent: int):
+    """Of the same rows those that sizes and sketches leave a partner in their tile pair: as many as there were at most."""
+
+    def run(batches):
+        for t in _by_tiles(batches):
+            nodes = set().union(*(np.unique(pairs[:, :2]).tolist() for pairs in _pairs_of(percent, t, True)))
+            some = t.filter(pa.compute.is_in(t["node"], pa.array(sorted(nodes), pa.int64())))
+            yield from some.select(["g", "p", "q", "tile", "root", "node", "n", "sketch"]).to_batches()
 
     return run
 
 
-def _pairs(parts: list[np.ndarray], all_: bool) -> pa.RecordBatch:
-    """a, b and differ; of each a only the closest b of these parts, unless all_."""
-    pairs = np.concatenate([np.zeros((0, 3), np.int64), *parts])
-    if all_:
-        pairs[:, :2].sort(axis=1)
-        pairs = np.unique(pairs, axis=0)
-    else:
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 2], pairs[:, 0]))]
-        pairs = pairs[runs(pairs[:, 0])]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs.T], ["a", "b", "differ"])
+def _spanning(percent: int, size: int):
+    """Over the same rows with text: links of a spanning forest of each tile pair, by the exact test. Pairs that are one
+    component by then are not tested, and no pair is given out that does not link."""
+
+    def run(batches):
+        for t in _by_tiles(batches):
+            place = {x: k for k, x in enumerate(t["node"].to_pylist())}
+            part = {x: r for x, r in zip(t["node"].to_pylist(), t["root"].to_pylist())}
+            sets: dict[int, np.ndarray] = {}
+            above: dict[int, int] = {}
+
+            def top(r: int) -> int:
+                while r in above:
+                    r = above[r]
+                return r
+
+            def members(x: int) -> np.ndarray:
+                if x not in sets:
+                    sets[x] = shingles([zstandard.decompress(t["text"][place[x]].as_py()).decode()], size)[1]
+                return sets[x]
+
+            out = []
+            for a, b in (x[:2] for pairs in _pairs_of(percent, t, True) for x in pairs[np.argsort(pairs[:, 2], kind="stable")].tolist()):
+                ra, rb = top(part[a]), top(part[b])
+                if ra == rb:
+                    continue
+                p, q = members(a), members(b)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    above[max(ra, rb)] = min(ra, rb)
+                    out.append((min(a, b), max(a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def _tiled(members: DataFrame) -> DataFrame:
@@ -319,20 +364,28 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
     pairs = members.where("node <> first").groupBy("node").agg(ends.alias("ends")).select(F.explode("ends").alias("a"), F.col("node").alias("b")).distinct()
     tried = durable(verify(pairs, texts, size, percent))
     root = components(tried.where("linked"))
-    for all_ in [False] * ROUNDS + [True]:
+    def apart(root: DataFrame) -> DataFrame:
+        """Members of groups that are not one component yet."""
         parts = members.select("g", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         split = parts.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
-        open_ = _tiled(parts.join(split, "g", "left_semi")).join(info, "node").select("g", "p", "q", "tile", "root", "node", "n", "sketch")
-        dealt = open_.repartition(layout.partitions, "g", "p", "q").sortWithinPartitions("g", "p", "q")
-        found = dealt.mapInArrow(_possible(percent, all_), "a long, b long, differ long")
-        if not all_:  # one pair a document and round
-            found = found.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
+        return _tiled(parts.join(split, "g", "left_semi")).join(info, "node").select("g", "p", "q", "tile", "root", "node", "n", "sketch")
+
+    def joined(links: DataFrame, root: DataFrame) -> DataFrame:
+        return components(links.select("a", "b").unionByName(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    by_tiles = lambda df: df.repartition(layout.partitions, "g", "p", "q").sortWithinPartitions("g", "p", "q")
+    for _ in range(ROUNDS):
+        found = by_tiles(apart(root)).mapInArrow(_closest(percent), "a long, b long, differ long").groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
         new = durable(verify(pairs, texts, size, percent))
         tried = tried.unionByName(new)
         if not new.where("linked").isEmpty():
-            known_stars = root.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            root = components(new.where("linked").select("a", "b").unionByName(known_stars))
+            root = joined(new.where("linked"), root)
+    # what is left: documents whose sketches allow a partner meet once more, with their texts, in the tasks of their tiles
+    left = by_tiles(apart(root)).mapInArrow(_partnered(percent), "g long, p int, q int, tile int, root long, node long, n long, sketch binary")
+    links = durable(by_tiles(left.join(texts, "node")).mapInArrow(_spanning(percent, size), "a long, b long").distinct())
+    if not links.isEmpty():
+        root = joined(links, root)
     return rows.join(root, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "node").alias("class"))
 
 
