@@ -71,6 +71,28 @@ def test_maps_answers_calendar_and_walk(spark):
     assert 5 < w.where("is_outlier").count() < 60
 
 
+def test_tables_of_several_places(spark, tmp_path):
+    a = spark.createDataFrame([("A", "2024-01-01", 1.0), ("B", "2024-01-02", 2.0)], "symbol string, date string, price double")
+    b = spark.createDataFrame([("A", "2024-01-03", 3.0, 5)], "symbol string, date string, price double, volume int")
+    tables.write(a, f"{tmp_path}/a")
+    tables.write(b, f"{tmp_path}/b")
+    both = tables.read_many(spark, [f"{tmp_path}/a", f"{tmp_path}/b"], "place", symbols=["A"], end="2024-01-31")
+    assert sorted((r.price, r.volume, r.place[-1]) for r in both.collect()) == [(1.0, None, "a"), (3.0, 5, "b")]
+    with pytest.raises(ValueError):
+        tables.read_many(spark, [])
+
+
+def test_feather_decodes_only_what_is_asked_for(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.feather
+
+    t = pa.table({"price": [1.0, 2.0, 3.0], "text": ["x", "y", "z"], "volume": [1, 2, 3]})
+    pyarrow.feather.write_feather(t, f"{tmp_path}/t.feather", chunksize=2)
+    got = tables.read_feather(spark, str(tmp_path), "volume long, price double, other string").orderBy("price").collect()
+    assert [(r.volume, r.price, r.other) for r in got] == [(1, 1.0, None), (2, 2.0, None), (3, 3.0, None)]
+    assert tables.read_feather(spark, str(tmp_path), "other string").count() == 3
+
+
 def test_run_is_incremental(spark, tmp_path):
     t = fixtures.ticks(spark, DATA).where("symbol < 4").withColumn("symbol", F.col("symbol").cast("string"))
     c = runs.Config(config_id="test", mad=(3, 5, 1e6), thresholds=runs.Thresholds(renko_size=1.0, reversal=2, least_ticks=1), risk=1.0)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -79,7 +80,8 @@ def cursor_rows(fetch: Callable[[int, int], list[dict]], start: int, size: int,
 
 
 def day_ticks(spark: SparkSession, keys: DataFrame, fetch: Callable[[str, str, int, int], list[dict]], size: int, schema: str) -> DataFrame:
-    """Ticks of each (symbol, date) in keys, fetched by the executors, a key after another; schema: of a tick."""
+    """Ticks of each (symbol, date) in keys, fetched by the executors, a key after another and a page's worth of rows at a time;
+    schema: of a tick."""
     names = [f.name for f in spark.createDataFrame([], schema).schema]
 
     def run(batches):
@@ -87,8 +89,9 @@ def day_ticks(spark: SparkSession, keys: DataFrame, fetch: Callable[[str, str, i
 
         for pdf in batches:
             for symbol, date in zip(pdf["symbol"], pdf["date"]):
-                rows = list(cursor_rows(lambda start, n: fetch(symbol, date, start, n), 0, size))
-                yield pd.DataFrame([{"symbol": symbol, "date": date, **{c: x.get(c) for c in names}} for x in rows], columns=["symbol", "date", *names])
+                day = cursor_rows(lambda start, n, s=symbol, d=date: fetch(s, d, start, n), 0, size)
+                while rows := list(islice(day, size)):
+                    yield pd.DataFrame([{"symbol": symbol, "date": date, **{c: x.get(c) for c in names}} for x in rows], columns=["symbol", "date", *names])
 
     return keys.select(F.col("symbol").cast("string"), F.col("date").cast("string")).mapInPandas(run, f"symbol string, date string, {schema}")
 

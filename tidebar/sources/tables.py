@@ -25,6 +25,19 @@ def read(spark: SparkSession, root: str, columns: list[str] | None = None, symbo
     return df.select(*columns) if columns else df
 
 
+def read_many(spark: SparkSession, roots: list[str], name: str | None = None, **options) -> DataFrame:
+    """The tables of several places as one, columns by name (null where a place lacks one); each place's partitions are pruned
+    as in ``read``. name: a column that tells the place."""
+    out = None
+    for root in roots:
+        df = read(spark, root, **options)
+        df = df.withColumn(name, F.lit(root)) if name else df
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no places to read")
+    return out
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -92,7 +105,8 @@ def remove(spark: SparkSession, root: str, symbol: str, date: str | None = None)
 def read_feather(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Feather (Arrow IPC) files under a path, with the columns of the schema; a file is a task's work at the least.
 
-    Files come through Spark's binary reader, so any store that Spark reads will do. Columns that a file lacks are null.
+    Files come through Spark's binary reader, so any store that Spark reads will do. Of a file only the columns asked for are
+    decoded, a record batch after another. Columns that a file lacks are null.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").option("recursiveFileLookup", "true").load(path).select("content")
     want = [f.name for f in spark.createDataFrame([], schema).schema]
@@ -101,7 +115,12 @@ def read_feather(spark: SparkSession, path: str, schema: str) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for content in batch["content"]:
-                for part in pa.ipc.open_file(pa.BufferReader(content.as_py())).read_all().to_batches():
+                data = content.as_buffer()
+                names = pa.ipc.open_file(pa.BufferReader(data)).schema.names
+                options = pa.ipc.IpcReadOptions(included_fields=[k for k, c in enumerate(names) if c in want])
+                file = pa.ipc.open_file(pa.BufferReader(data), options=options)
+                for k in range(file.num_record_batches):
+                    part = file.get_batch(k)
                     have = set(part.schema.names)
                     yield pa.RecordBatch.from_arrays([part[c].cast(arrow.field(c).type) if c in have else pa.nulls(part.num_rows, arrow.field(c).type) for c in want], want)
 
