@@ -34,11 +34,12 @@ def test_null_conditions_are_regular(spark):
 
 @pytest.mark.parametrize("closed", ["left", "right"])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_range_join_is_the_plain_join(spark, closed, how):
+@pytest.mark.parametrize("width", [7 * 60_000_000, None])
+def test_range_join_is_the_plain_join(spark, closed, how, width):
     iv = frame(spark, [(1, f"2024-01-01 00:{a:02d}:00", f"2024-01-01 00:{b:02d}:00") for a, b in ((0, 10), (5, 30), (20, 20), (40, 41), (50, 59))], "symbol long, ts string, end string")
     iv = iv.select("symbol", F.col("ts").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
     pt = frame(spark, [(s, f"2024-01-01 00:{m:02d}:00") for s in (1, 2) for m in range(0, 45, 5)], "symbol long, ts string")
-    got = joins.range_join(iv, pt, ["symbol"], "start", "end", "ts", 7 * 60_000_000, closed, how)
+    got = joins.range_join(iv, pt, ["symbol"], "start", "end", "ts", width, closed, how)
     p, q = iv.toPandas(), pt.toPandas()
     both = p.merge(q, on="symbol")
     inside = (both.ts >= both.start) & (both.ts < both.end) if closed == "left" else (both.ts > both.start) & (both.ts <= both.end)

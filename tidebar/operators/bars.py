@@ -113,7 +113,7 @@ def epoch_groups(ticks: DataFrame, keys: list[str], unit: str, nanos: Column) ->
     return ticks.withColumn(unit, epoch_truncated(nanos, unit)).groupBy(*keys, unit).agg(F.count("price").alias("price_count"), F.avg("price").alias("price_mean"), F.median("price").alias("price_median"), F.sum("volume").cast("long").alias("volume_sum"))
 
 
-def synchronised(clock: DataFrame, ticks: DataFrame, date: str, width_micros: int, legacy: bool = False) -> DataFrame:
+def synchronised(clock: DataFrame, ticks: DataFrame, date: str, width_micros: int | None = None, legacy: bool = False) -> DataFrame:
     """Bars of other symbols' ticks inside the bars of clock (symbol, open_at, close_at, date): open_at < ts <= close_at, a
     symbol never by its own clock; bars without ticks are left out."""
     c = clock.select(F.col("symbol").alias("clock_symbol"), F.col("open_at").alias("clock_open_at"), F.col("close_at").alias("clock_close_at"), date)

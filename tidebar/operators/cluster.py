@@ -86,7 +86,8 @@ def cluster_metrics(labels: DataFrame, distances: DataFrame, details: DataFrame)
     have = set(details.columns)
     more = [F.array_sort(F.collect_list("symbol")).alias("symbols")] + ([F.transform(F.array_sort(F.collect_list(F.struct("symbol", "name"))), lambda x: x["name"]).alias("names")] if "name" in have else [])
     more += [F.avg(c).alias(f"{c}_mean") for c in ("range_value_pct", "dollar_total") if c in have]
-    both = distances.select("a", "b", "distance").unionByName(distances.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), "distance"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    both = distances.select(F.inline(F.when(F.col("a") == F.col("b"), F.slice(ways, 1, 1)).otherwise(ways)))
     la, lb = labels.select(F.col("symbol").alias("a"), F.col("cluster")), labels.select(F.col("symbol").alias("b"), F.col("cluster").alias("cb"))
     near = both.join(la, "a").join(lb, "b").where("cluster = cb").groupBy("cluster", "b").agg(F.avg(F.nullif("distance", F.lit(0.0))).alias("m")).groupBy("cluster").agg((1 - F.avg("m")).alias("similarity"))
     info = labels.join(details, "symbol", "left").groupBy("cluster").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions.scalars import squeezed, vwap_repaired
+from tidebar.operators.graph import fixed
 from tidebar.operators.joins import all_pairs
 
 
@@ -31,8 +32,9 @@ def _symbols(daily: DataFrame, value: Column, test) -> DataFrame:
 
 
 def all_dates(daily: DataFrame) -> DataFrame:
-    """Symbols with an open on as many rows as any symbol has rows."""
-    counts = daily.groupBy("symbol").agg(F.count("open").alias("_n"), F.count("*").alias("_rows"))
+    """Symbols with an open on as many rows as any symbol has rows. The counts, a row a symbol, are fixed, as they are read
+    twice."""
+    counts = fixed(daily.groupBy("symbol").agg(F.count("open").alias("_n"), F.count("*").alias("_rows")))
     most = F.broadcast(counts.agg(F.max("_rows").alias("_most")))  # one row
     return daily.join(counts.join(most, F.col("_n") >= F.col("_most")).select("symbol"), "symbol", "left_semi")
 
@@ -101,9 +103,9 @@ def symbol_stats(daily: DataFrame, details: DataFrame) -> DataFrame:
 
 def returns(daily: DataFrame, value: str = "close") -> DataFrame:
     """symbol, date, value, diff, log_return, zscore (population) and squeezed; only dates on which every symbol has a
-    value and a return."""
+    value and a return. daily is read once: its symbols, dates and values are fixed."""
     w = W.partitionBy("symbol").orderBy("date")
-    rows = daily.where(F.col(value).isNotNull()).select("symbol", "date", F.col(value).alias("value"))
+    rows = fixed(daily.where(F.col(value).isNotNull()).select("symbol", "date", F.col(value).alias("value")))
     n = F.broadcast(rows.agg(F.count_distinct("symbol").alias("_all")))
     whole = rows.join(rows.groupBy("date").agg(F.count("*").alias("_n")).join(n, F.col("_n") == F.col("_all")).select("date"), "date", "left_semi")
     moved = whole.withColumns({"diff": F.col("value") - F.lag("value").over(w), "log_return": F.log("value") - F.log(F.lag("value").over(w))}).where("log_return is not null")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars
-from tidebar.operators import bars, cluster, density, features, folds, joins, labels, linkage, matrix, robust, stationarity, ticks, universe
+from tidebar.operators import bars, birch, cluster, density, exemplars, features, folds, graph, joins, labels, linkage, matrix, robust, stationarity, ticks, universe
 from tidebar.operators.folds import Thresholds
 from tidebar.plans import runs
 from tidebar.sources import fixtures, market_data
@@ -347,7 +347,7 @@ SELECT clock_symbol, date, clock_open_at, symbol, count(*) AS tick_count, CAST(s
 def sync_bars(spark, sf_dir):
     t = fixtures.ticks(spark, sf_dir).withColumn("date", F.to_date("ts"))
     clock = clocks(spark, sf_dir)
-    out = bars.synchronised(clock, t, "date", DAY // 8)
+    out = bars.synchronised(clock, t, "date")
     return out.select("clock_symbol", "date", "clock_open_at", "symbol", "tick_count", "volume", r("dollar_value", 4).alias("dollar_value"), r("price_return").alias("price_return"), "open_at", "close_at")
 
 
@@ -694,6 +694,30 @@ def optics_symbols(spark, sf_dir):
     return density.cut(core, forest, 0.25).join(core, "id").select("id", r("core_distance").alias("core_distance"), "core", "cluster")
 
 
+@query(None)
+def affinity_exemplars(spark, sf_dir):
+    """Exemplars of the symbols by their points; each one's own preference is the median similarity."""
+    points = _symbol_points(spark, sf_dir)
+    pair = joins.all_pairs(points.select(F.col("symbol").alias("i"), F.col("v").alias("x")), points.select(F.col("symbol").alias("k"), F.col("v").alias("y")))
+    far = graph.fixed(pair.select("i", "k", (-F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)).alias("s")))
+    own = F.broadcast(far.where("i <> k").agg(F.percentile("s", 0.5).alias("own")))  # one row
+    return exemplars.affinity_propagation(far.join(own, F.lit(True)).select("i", "k", F.when(F.col("i") == F.col("k"), F.col("own")).otherwise(F.col("s")).alias("s")), 0.7, 100)
+
+
+#: In SQL, whatever the groups are, their counts and sums are those of all rows.
+@query("SELECT CAST(count(*) AS BIGINT) AS n, round(sum(list_sum(list_transform(v, lambda x: x))), 3) AS total, round(sum(list_sum(list_transform(v, lambda x: x * x))), 3) AS squares FROM (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)")
+def birch_sums(spark, sf_dir):
+    groups = birch.clustering_features(table(spark, sf_dir, "embeddings"), "embedding", 0.9)
+    each = F.aggregate("total", F.lit(0.0), lambda s, x: s + x)
+    return groups.agg(F.sum("n").alias("n"), r(F.sum(each), 3).alias("total"), r(F.sum("squares"), 3).alias("squares"))
+
+
+@query(None)
+def birch_clusters(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return birch.nearest_feature(rows, "vec_id", "embedding", birch.clustering_features(rows, "embedding", 0.9))
+
+
 @query(None)
 def mcd_weights(spark, sf_dir):
     """Which vectors the minimum covariance determinant leaves out."""
@@ -961,7 +985,7 @@ def day_candles(spark, sf_dir):
 def sync_bars_legacy(spark, sf_dir):
     t = fixtures.ticks(spark, sf_dir).withColumn("date", F.to_date("ts"))
     clock = clocks(spark, sf_dir)
-    return bars.synchronised(clock, t, "date", DAY // 8, legacy=True).select("clock_symbol", "date", "symbol", "dollar_value", r("price_return").alias("price_return"))
+    return bars.synchronised(clock, t, "date", legacy=True).select("clock_symbol", "date", "symbol", "dollar_value", r("price_return").alias("price_return"))
 
 
 @query(f"WITH {SQL_SEGMENTS.replace('x > m', 'd > m')} SELECT symbol, segment FROM sg WHERE segment IS NOT NULL")
