@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions import scalars
-from tidebar.operators import bars, birch, cluster, density, exemplars, features, folds, graph, joins, labels, linkage, matrix, robust, stationarity, ticks, universe
+from tidebar.operators import balanced, bars, birch, cluster, density, exemplars, features, folds, graph, joins, labels, linkage, matrix, modes, robust, spectrum, stationarity, ticks, universe
 from tidebar.operators.folds import Thresholds
 from tidebar.plans import runs
 from tidebar.sources import fixtures, market_data
@@ -704,6 +704,28 @@ def affinity_exemplars(spark, sf_dir):
     return exemplars.affinity_propagation(far.join(own, F.lit(True)).select("i", "k", F.when(F.col("i") == F.col("k"), F.col("own")).otherwise(F.col("s")).alias("s")), 0.7, 100)
 
 
+@query(None)
+def mean_shift_symbols(spark, sf_dir):
+    labels, found = modes.mean_shift(_symbol_points(spark, sf_dir), "symbol", "v", 1.0)
+    return labels.join(found.withColumnRenamed("id", "cluster"), "cluster").select("id", "cluster", "n")
+
+
+@query(None)
+def balanced_symbols(spark, sf_dir):
+    """Clusters of about a dozen symbols, none of under 5 or over 50."""
+    points = graph.fixed(_symbol_points(spark, sf_dir))
+    n = points.count()
+    return balanced.balanced_kmeans(points, "symbol", "v", max(1, n // 12), min(5, n), 50, rounds=3)
+
+
+@query(None)
+def sparse_loadings(spark, sf_dir):
+    """The few symbols that two components of the returns' covariance load on."""
+    cov = matrix.covariance(price_returns(spark, sf_dir), "log_return")
+    out = spectrum.sparse_components(cov, "cov", 2, cut=0.4, rounds=15)
+    return out.select("symbol", *(r(F.col("v")[k]).alias(f"loading_{k}") for k in range(2))).where("loading_0 <> 0 or loading_1 <> 0")
+
+
 #: In SQL, whatever the groups are, their counts and sums are those of all rows.
 @query("SELECT CAST(count(*) AS BIGINT) AS n, round(sum(list_sum(list_transform(v, lambda x: x))), 3) AS total, round(sum(list_sum(list_transform(v, lambda x: x * x))), 3) AS squares FROM (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)")
 def birch_sums(spark, sf_dir):
