@@ -706,7 +706,7 @@ def affinity_exemplars(spark, sf_dir):
 
 @query(None)
 def mean_shift_symbols(spark, sf_dir):
-    labels, found = modes.mean_shift(_symbol_points(spark, sf_dir), "symbol", "v", 1.0)
+    labels, found = modes.mean_shift(_symbol_points(spark, sf_dir), "symbol", "v", 1.0, rounds=30, tolerance=0.02)
     return labels.join(found.withColumnRenamed("id", "cluster"), "cluster").select("id", "cluster", "n")
 
 
