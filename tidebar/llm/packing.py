@@ -37,9 +37,9 @@ _BINS = pa.schema([("node", pa.int64()), ("sequence_id", pa.int64()), ("fill", p
 #: A space that follows white space; it and a space at the start follow no visible character.
 _ODD_SPACE = re.compile(" (?<=[\\s\u180e] )")
 #: Bytes of pieces in each of two generations of a memory, and pieces that go to the library as one text.
-GENERATION, TOGETHER = 100 << 20, 500
+GENERATION, TOGETHER = 128 << 20, 500
 #: Bytes of texts that are cut at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 8 << 20
 #: BOUNDARY also lies between one of the letters and one of the marks.
 _LETTERS = frozenset(c for c in map(chr, range(256)) if re.match("[A-Za-zÀ-ÖØ-öø-ÿ]", c))
 _MARKS = frozenset(",.;:!?")
@@ -117,21 +117,33 @@ class Encoder:
     def _learn_after_space(self, pieces: set[str]) -> None:
         memory = self.after_space
         new = memory.unknown(pieces)
-        marked = [p for p in new if len(p) > 1 and p[-1] in _MARKS and p[-2] in _LETTERS]
-        heads = memory.unknown({p[:-1] for p in marked}) | new.difference(marked)
-        odd = [p for p in heads if not p or p[-1].isspace() or p[-1] == "\u180e"]
-        memory.add(self._together(list(heads.difference(odd))))
+        marked, heads, odd = [], [], []
+        for p in new:
+            last = p[-1:]
+            if last in _MARKS and p[-2:-1] in _LETTERS:
+                marked.append(p)
+            elif last.isspace() or not last or last == "\u180e":
+                odd.append(p)
+            else:
+                heads.append(p)
+        heads += memory.unknown({p[:-1] for p in marked}).difference(heads)
+        memory.add(self._together(heads))
         memory.add({p: x.tobytes() for p, x in zip(odd, self.encode([" " + p for p in odd]))})
         memory.add({p: memory.now[p[:-1]] + self.marks[p[-1]] for p in marked})
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each of a few texts."""
-        plain = [t.split(" ") if self.cuttable and t[:1] != " " and not _ODD_SPACE.search(t) else None for t in texts]
-        odd = [None if p else BOUNDARY.split(t) if self.cuttable else [t] for p, t in zip(plain, texts)]
-        self.known.add(self._whole(list(self.known.unknown({p[0] for p in plain if p}.union(*(o for o in odd if o))))))
-        self._learn_after_space(set().union(*(p[1:] for p in plain if p)))
+        cut = []  # of each text the pieces that stand as they are, and those behind a space
+        for t in texts:
+            if self.cuttable and t[:1] != " " and not _ODD_SPACE.search(t):
+                first, space, rest = t.partition(" ")
+                cut.append(((first,), rest.split(" ") if space else ()))
+            else:
+                cut.append((BOUNDARY.split(t) if self.cuttable else (t,), ()))
+        self.known.add(self._whole(list(self.known.unknown(set().union(*(whole for whole, _ in cut))))))
+        self._learn_after_space(set().union(*(behind for _, behind in cut)))
         known, after = self.known.now.__getitem__, self.after_space.now.__getitem__
-        out = [b"".join([known(p[0]), *map(after, p[1:])]) if p else b"".join(map(known, o)) for p, o in zip(plain, odd)]
+        out = [b"".join([*map(known, whole), *map(after, behind)]) for whole, behind in cut]
         self.known.age()
         self.after_space.age()
         return out
