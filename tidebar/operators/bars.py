@@ -106,8 +106,12 @@ def time_bins(ticks: DataFrame, keys: list[str], seconds: int = 3) -> DataFrame:
         *([mean("price_jma")] if "price_jma" in ticks.columns else []),
         F.max("price").alias("price_high"), F.min("price").alias("price_low"), (F.max("price") - F.min("price")).alias("price_range"),
     )
-    spine = inside.select(*keys, "date").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    out = spine.join(by_bin, [*keys, "date", "bin"], "left").fillna(0, ["tick_count", "volume", "side"])
+    # a key's empty bins are laid beside those that have ticks, so that they are neither shuffled nor joined
+    kinds = [(c, k) for c, k in by_bin.dtypes if c not in (*keys, "date")]
+    known = F.when(F.coalesce(*(F.when(F.col(c).isNull(), True) for c in (*keys, "date")), F.lit(False)), F.slice("_have", 1, 0)).otherwise(F.col("_have"))
+    packed = by_bin.groupBy(*keys, "date").agg(F.collect_list(F.struct(*(c for c, _ in kinds))).alias("_have")).withColumn("_have", known)
+    empty = F.transform(F.array_except(F.sequence(F.lit(0), F.lit(bins - 1)), F.col("_have.bin")), lambda x: F.struct(*(x.alias(c) if c == "bin" else F.lit(None).cast(k).alias(c) for c, k in kinds)))
+    out = packed.select(*keys, "date", F.inline(F.concat("_have", empty))).fillna(0, ["tick_count", "volume", "side"])
     at = lambda s: F.col("date").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.lit(34_200) + s).cast("decimal(18,6)"))
     return out.withColumns({"open_at": at(F.col("bin") * seconds), "close_at": at((F.col("bin") + 1) * seconds)})
 
