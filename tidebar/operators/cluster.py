@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from tidebar.operators.joins import all_pairs
 
 
+#: Most labels that are broadcast to the pairs of symbols.
+MOST_LABELS = 1_000_000
+
+
 def clusters(vectors: DataFrame, id_col: str, col: str, k: int, method: str = "kmeans", seed: int = 1) -> DataFrame:
     """id and cluster of each row. vectors: array column. Methods: kmeans, bisecting (hierarchical, from the top)."""
     rows = vectors.select(id_col, array_to_vector(F.col(col).cast("array<double>")).alias("features"))
@@ -86,10 +90,12 @@ def cluster_metrics(labels: DataFrame, distances: DataFrame, details: DataFrame)
     have = set(details.columns)
     more = [F.array_sort(F.collect_list("symbol")).alias("symbols")] + ([F.transform(F.array_sort(F.collect_list(F.struct("symbol", "name"))), lambda x: x["name"]).alias("names")] if "name" in have else [])
     more += [F.avg(c).alias(f"{c}_mean") for c in ("range_value_pct", "dollar_total") if c in have]
-    ways = F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), "distance"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    both = distances.select(F.inline(F.when(F.col("a") == F.col("b"), F.slice(ways, 1, 1)).otherwise(ways)))
-    la, lb = labels.select(F.col("symbol").alias("a"), F.col("cluster")), labels.select(F.col("symbol").alias("b"), F.col("cluster").alias("cb"))
-    near = both.join(la, "a").join(lb, "b").where("cluster = cb").groupBy("cluster", "b").agg(F.avg(F.nullif("distance", F.lit(0.0))).alias("m")).groupBy("cluster").agg((1 - F.avg("m")).alias("similarity"))
+    # pairs are many more than labels: these go to them as long as they fit, and only pairs within a cluster are turned round
+    few = labels.select("symbol").limit(MOST_LABELS + 1).count() <= MOST_LABELS
+    label = lambda s, c: (F.broadcast if few else lambda d: d)(labels.select(F.col("symbol").alias(s), F.col("cluster").alias(c)))
+    within = distances.join(label("a", "cluster"), "a").join(label("b", "cb"), "b").where("cluster = cb")
+    ends = F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("node")
+    near = within.select("cluster", ends, "distance").groupBy("cluster", "node").agg(F.avg(F.nullif("distance", F.lit(0.0))).alias("m")).groupBy("cluster").agg((1 - F.avg("m")).alias("similarity"))
     info = labels.join(details, "symbol", "left").groupBy("cluster").agg(
         F.count("*").alias("size"), (1 / F.nullif(F.count_distinct("sector"), F.lit(0))).alias("sector_purity"), (1 / F.nullif(F.count_distinct("industry"), F.lit(0))).alias("industry_purity"),
         F.mode("sector", True).alias("top_sector"), F.mode("industry", True).alias("top_industry"), *more,
