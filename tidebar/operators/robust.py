@@ -80,34 +80,41 @@ def order_statistic(rows: DataFrame, of: str, n: int, rank: int) -> list[tuple[f
     smaller; and how many are equal to it.
 
     As doubles that are not negative sort as their bits do, the value is found sixteen bits at a time: four counts of at most
-    65,536 groups each, however many rows there are.
+    65,536 groups each, made in every partition from the arrays as they are, however many rows there are.
     """
-    long = fixed(rows.select(F.col(of).alias("x")).mapInPandas(_bits, "k int, b long"))
-    found, below = [0] * n, [0] * n
+    arrays, found, below = rows.select(F.col(of).alias("x")), [0] * n, [0] * n
     for shift in (48, 32, 16, 0):
-        prefix = F.element_at(F.array(*(F.lit(p) for p in found)), F.col("k") + 1)
-        at = long.where(F.shiftright("b", shift + 16) == prefix) if shift < 48 else long
-        counts = at.groupBy("k", F.shiftright("b", shift).alias("p")).agg(F.count("*").alias("n")).collect()
+        counts = arrays.mapInPandas(_digits(shift, list(found)), "k int, p int, n long").groupBy("k", "p").agg(F.sum("n").alias("n")).toPandas()
         for k in range(n):
             left = rank - below[k]
-            for p, c in sorted((r["p"], r["n"]) for r in counts if r["k"] == k):
+            for p, c in counts.loc[counts["k"] == k, ["p", "n"]].sort_values("p").itertuples(index=False):
                 if left <= c:
-                    found[k], equal = p, c
+                    found[k], equal = found[k] << 16 | int(p), int(c)
                     break
-                left -= c
-                below[k] += c
+                left -= int(c)
+                below[k] += int(c)
             else:
                 raise ValueError("fewer rows than the rank")
             if shift == 0:
-                found[k] = (float(np.int64(p).view(np.float64)), below[k], equal)
+                found[k] = (float(np.int64(found[k]).view(np.float64)), below[k], equal)
     return found
 
 
-def _bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        if len(f):
-            x = np.stack(f["x"].to_list()) + 0.0
-            yield pd.DataFrame({"k": np.tile(np.arange(x.shape[1], dtype=np.int32), len(x)), "b": x.view(np.int64).ravel()})
+def _digits(shift: int, found: list[int]):
+    """What counts, for each place of the arrays, the sixteen bits above a shift of the numbers that begin with those found."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(found), 1 << 16), np.int64)
+        for f in frames:
+            if len(f):
+                bits = (np.stack(f["x"].to_list()) + 0.0).view(np.int64)
+                for k, prefix in enumerate(found):
+                    mine = bits[:, k] if shift == 48 else bits[bits[:, k] >> (shift + 16) == prefix, k]
+                    total[k] += np.bincount((mine >> shift) & 0xFFFF, minlength=1 << 16)
+        k, p = np.nonzero(total)
+        yield pd.DataFrame({"k": k.astype(np.int32), "p": p.astype(np.int32), "n": total[k, p]})
+
+    return run
 
 
 def _moments(rows: DataFrame, limits: list[tuple[float, float]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
