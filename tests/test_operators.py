@@ -180,3 +180,25 @@ def test_a_column_of_sizes_is_a_size(spark):
     a = bars.bar_ids(t, ["symbol"], Thresholds(renko_size=3.0, reversal=2)).select("seq", "bar_id", "bar_trigger")
     b = bars.bar_ids(t, ["symbol"], Thresholds(reversal=2), "my_size").select("seq", "bar_id", "bar_trigger")
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
+
+
+def test_fast_rounding_is_that_of_sql(spark):
+    from tidebar.queries import r_fast
+
+    values = [0.5e-6, -0.5e-6, 1.2345675, -1.2345675, 0.1234564999, -1e-9, 0.0, -0.0, 3.0, 123456.7654321, None]
+    con = __import__("duckdb").connect()
+    got = [x.y for x in spark.createDataFrame([(v,) for v in values], "x double").select(r_fast("x").alias("y")).collect()]
+    assert got == [con.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
+    assert "-0.0" not in map(str, got)
+
+
+def test_pairs_of_blocks_have_each_pair_once_in_order(spark, monkeypatch):
+    from tidebar.operators import matrix
+
+    monkeypatch.setattr(matrix, "BLOCK", 4)
+    rows = [(f"2020-01-{d:02d}", s, float((s * 7 + d * d * (s % 3 + 1)) % 11)) for s in range(13) for d in range(1, 6)]
+    x = {s: [v for _, t, v in rows if t == s] for s in range(13)}
+    got = matrix.covariance(spark.createDataFrame(rows, "date string, symbol long, v double"), "v").collect()
+    mean = {s: sum(v) / 5 for s, v in x.items()}
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(13) for b in range(a, 13)]
+    assert all(abs(r["cov"] - sum((p - mean[r.a]) * (q - mean[r.b]) for p, q in zip(x[r.a], x[r.b])) / 4) < 1e-9 for r in got)
