@@ -26,3 +26,20 @@ def test_same_as_summed_pairs(spark, monkeypatch, pairs, kind):
         rows = lambda d: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()), key=repr)
         assert rows(got) == rows(plain) and len(rows(got)) > 30
         assert "JOIN" not in got._jdf.queryExecution().toString().upper()
+
+
+def test_times_and_sums_are_made_by_the_task(spark, monkeypatch):
+    """Spark makes no time from numbers and no decimal for each row, and small batches give the same rows."""
+    from helpers import DATA
+    from tidebar import queries
+
+    for name in ("sync_bars", "sync_bars_legacy"):
+        out = queries.QUERIES[name](spark, DATA)
+        above = out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")[0]
+        assert "make_dt_interval" not in above and "decimal" not in above and "round(" not in above
+        whole = sorted(map(tuple, out.collect()))
+        monkeypatch.setattr(bars, "PAIRS", 50)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        assert sorted(map(tuple, queries.QUERIES[name](spark, DATA).collect())) == whole and len(whole) > 50
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        monkeypatch.undo()
